@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .chat_format import OP8_SQL, op8_chat_format
+from .quality_rules import op9_quality_rules
+from .source_mixing import op4_source_mixing
 from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op4_source_mixing": op4_source_mixing,
+    "op8_chat_format": op8_chat_format,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_chat_format": OP8_SQL}
