@@ -1,7 +1,7 @@
 """Quality rules: plain counts per text, then robust multivariate outliers per language and source.
 
 Each document gets a vector of transformed statistics (length, word length, and the shares
-of symbols, repeated words, repeated lines and capitals). For every language and source a
+of symbols, repeated words, doubled words and capitals). For every language and source a
 minimum-covariance-determinant estimate of centre and scatter is found by concentration
 steps over all documents: distances under the current estimate are binned, the nearest
 share of each cell is summed up to the next estimate. One pass over the statistics makes
@@ -29,15 +29,15 @@ from .common import Workspace, code_points, join_measured, mix64, read, span_has
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_twins"]
 #: The statistics' names and the least spread that each is given, in transformed units.
-FLOORS = {"length": 0.3, "word_length": 0.15, "symbols": 0.07, "repeats": 0.15, "dup_lines": 0.15, "capitals": 0.1}
+FLOORS = {"length": 0.3, "word_length": 0.15, "symbols": 0.05, "repeats": 0.15, "twins": 0.07, "capitals": 0.1}
 P = len(FLOORS)
 SUPPORT = 0.75
 MIN_CELL = 300
 STEPS = 3
 #: Share of regular documents beyond the cut-off under normality.
-TAIL = 1e-5
+TAIL = 1e-4
 
 _upper = np.array([chr(i).isupper() for i in range(0x250)] + [False])
 _symbol = np.isin(np.arange(0x251), [ord(c) for c in SYMBOLS])
@@ -68,6 +68,9 @@ def text_counts(texts: list) -> dict[str, np.ndarray]:
         ids = np.minimum(cps, 0x250)
         for name, values, edges in (("word_chars", ends - starts, offsets), ("n_symbols", _symbol[ids], bounds), ("n_upper", _upper[ids], bounds)):
             out[name][at] = np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[edges])
+        twin = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+        twin[offsets[:-1][np.diff(offsets) > 0]] = False
+        out["n_twins"][at] = np.diff(np.concatenate(([0], np.cumsum(twin, dtype=np.int64)))[offsets])
         n = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
         windows = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         owner = np.repeat(np.arange(len(chunk)), n)
@@ -78,7 +81,6 @@ def text_counts(texts: list) -> dict[str, np.ndarray]:
             out["n_repeat_words"][first + i] = repeated_words(words)
         for i, t in enumerate(chunk):
             lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-            out["n_lines"][first + i] = len(lines)
             out["n_dup_lines"][first + i] = len(lines) - len(set(lines))
     return out
 
@@ -111,7 +113,7 @@ def transformed(counts: str) -> list:
     share = lambda part, whole: F.asin(F.sqrt(F.least(c(part) / F.greatest(c(whole), F.lit(1.0)), F.lit(1.0))))
     return [
         F.log1p(c("n_words")), F.log1p(c("word_chars") / F.greatest(c("n_words"), F.lit(1.0))), share("n_symbols", "word_chars"),
-        share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines"), share("n_upper", "word_chars"),
+        share("n_repeat_words", "n_words"), share("n_twins", "n_words"), share("n_upper", "word_chars"),
     ]
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
 from .source_mixing import op4_source_mixing
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op4_source_mixing": op4_source_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
