@@ -7,8 +7,10 @@ from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
 from .source_mixing import op4_source_mixing
 from .token_counts import op10_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_chat_format": op8_chat_format,
