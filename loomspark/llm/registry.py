@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bestfit_packing import op5_bestfit_packing
 from .chat_format import OP8_SQL, op8_chat_format
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -12,6 +13,7 @@ from .toxicity import op3_toxicity
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
+    "op5_bestfit_packing": op5_bestfit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
