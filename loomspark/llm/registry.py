@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann_forest import op1_ann_forest
 from .bestfit_packing import op5_bestfit_packing
 from .chat_format import OP8_SQL, op8_chat_format
 from .quality_classifier import op6_quality_classifier
@@ -11,6 +12,7 @@ from .token_counts import op10_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_ann_forest": op1_ann_forest,
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_bestfit_packing": op5_bestfit_packing,
