@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann_forest import op1_ann_forest
 from .bestfit_packing import op5_bestfit_packing
 from .chat_format import OP8_SQL, op8_chat_format
+from .ngram_join import op7_ngram_join
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
 from .source_mixing import op4_source_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_bestfit_packing": op5_bestfit_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_ngram_join": op7_ngram_join,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
