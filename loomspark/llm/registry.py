@@ -9,11 +9,13 @@ from .ngram_join import op7_ngram_join
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
 from .source_mixing import op4_source_mixing
+from .substring_dedup import op2_substring_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_ann_forest": op1_ann_forest,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_bestfit_packing": op5_bestfit_packing,
