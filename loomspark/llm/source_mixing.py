@@ -100,15 +100,20 @@ def round_copies(ws: Workspace, hist: DataFrame, sources: DataFrame, n_sources:
 
 
 def mix_sources(
-    df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, steps: int = STEPS,
+    df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: int = CAP, steps: int = STEPS, keep_text: bool = False,
 ) -> DataFrame:
-    """df without text, with size, source_size, target, rate, copies and taken."""
+    """df (its text only if asked for) with size, source_size, target, rate, copies and taken."""
     ws = Workspace(df.sparkSession, "source-mixing")
     made = ("size", "source_size", "target", "rate", "copies", "taken")
     rest = [c for c in df.columns if c != text and c not in made]
+    whole = [c for c in df.columns if c not in made] if keep_text else []
     key = F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n"))  # joins treat null as a value
-    docs = df.select(*[F.col(f"`{c}`") for c in rest], key.alias("_s"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id).alias("_h"))
-    docs = ws.save(docs, "sizes")
+    docs = df.select(*[F.col(f"`{c}`") for c in whole or rest], key.alias("_s"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id).alias("_h"))
+    if keep_text:  # the texts wait in the saved table; only ids and sizes are shuffled until the copies are known
+        texts = ws.save(docs.select("*", F.monotonically_increasing_id().alias("_uid")), "sizes")
+        docs = texts.select(*{doc_id: 0, "_s": 0, "size": 0, "_h": 0, "_uid": 0})
+    else:
+        docs = ws.save(docs, "sizes")
     hist = ws.save(docs.groupBy("_s", "size").agg(F.count("*").alias("n")), "histogram")
     sources = hist.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     sources = sources.withColumn("source", F.when(F.col("_s") != "n", F.substring("_s", 2, 1 << 30)))
@@ -132,6 +137,8 @@ def mix_sources(
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_part").orderBy("_h", doc_id))
     copies = (F.floor(F.col("copies") / F.col("n")) + F.when(rank <= F.col("_given"), 1).otherwise(0)).cast("long")
     docs = docs.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    if keep_text:
+        return texts.drop("size").join(docs.select("_uid", *made), "_uid").select(*[F.col(f"`{c}`") for c in whole], *made)
     return docs.select(*[F.col(f"`{c}`") for c in rest], *made)
 
 
