@@ -134,9 +134,11 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
             parts.append(pa.StructArray.from_arrays([pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["n", "a", "b", "bands"]))
         return pa.concat_arrays(parts)
 
-    docs = df.select(*[F.col(f"`{c}`") for c in rest], F.monotonically_increasing_id().alias("_uid"), signed(F.coalesce(F.col(text), F.lit(""))).alias("_s"))
-    docs = ws.save(docs.select("*", "_s.*").drop("_s").withColumnsRenamed({"n": "_n", "a": "_a", "b": "_b", "bands": "_bands"}), "documents")
-    first = F.min(F.struct(F.isnull(doc_id).alias("none"), F.col(doc_id).alias("id"), F.col("_uid").alias("uid")))
+    # the input's columns stay in one struct, so that none can clash with the names in here
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.monotonically_increasing_id().alias("_uid"), signed(F.coalesce(F.col(text), F.lit(""))).alias("_s"))
+    docs = ws.save(docs.select("_row", "_uid", F.col("_s.n").alias("_n"), F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"), F.col("_s.bands").alias("_bands")), "documents")
+    row = lambda c: F.col("_row").getField(c)
+    first = F.min(F.struct(F.isnull(row(doc_id)).alias("none"), row(doc_id).alias("id"), F.col("_uid").alias("uid")))
     classes = docs.where("_n > 0").groupBy("_a", "_b").agg(first.alias("first"), F.count("*").alias("copies"), F.any_value("_bands").alias("bands"))
     classes = ws.save(classes.select(F.xxhash64("_a", "_b").alias("node"), "*"), "classes")
 
@@ -154,7 +156,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     spread = spread.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label"), F.lit(few))).otherwise(F.xxhash64("label", "lo", "hi"))
     # the texts of candidates only; a broadcast where they are few, else a shuffle
-    texts = docs.select("_uid", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select("_uid", F.coalesce(row(text), F.lit("")).alias("text"))
     spread = join_measured(texts, spread.withColumn("task", task), "_uid", "inner", n_active * 2)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -187,7 +189,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     out = docs.drop("_bands").join(named, ["_a", "_b"], "left")
     alone = F.col("_n") == 0
     return out.select(
-        *[F.col(f"`{c}`") for c in rest], F.when(alone, F.col(doc_id)).otherwise(F.col("class_id")).alias("class_id"),
+        *[row(c).alias(c) for c in rest], F.when(alone, row(doc_id)).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         (alone | (F.col("_uid") == F.col("_keeper"))).alias("keeper"))
 

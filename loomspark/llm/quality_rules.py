@@ -164,8 +164,9 @@ def quality_rules(
     """df with a struct column ``quality``: the counts, base_failed, distance (squared; null where none is estimated) and kept."""
     ws = Workspace(df.sparkSession, "quality-rules")
     own = F.to_json(F.array(F.lit("own"), F.col(lang).cast("string"), F.col(source).cast("string")), {"ignoreNullFields": "false"})
-    rest = [c for c in df.columns if c != text]
-    stats = df.select(*[F.col(f"`{c}`") for c in rest], F.col(lang).alias("_lang"), own.alias("_own"), counts_udf(F.coalesce(F.col(text), F.lit(""))).alias("quality"))
+    rest = [c for c in df.columns if c not in (text, "quality")]
+    # the input's columns stay in one struct, so that none can clash with the names in here
+    stats = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(lang).cast("string").alias("_lang"), own.alias("_own"), counts_udf(F.coalesce(F.col(text), F.lit(""))).alias("quality"))
     stats = stats.withColumns({f"x{i}": e for i, e in enumerate(transformed("quality"))})
     failed = (F.col("quality.n_words") < 20) | (100 * F.col("quality.n_repeat_words") > 30 * F.col("quality.n_words"))
     stats = ws.save(stats.withColumn("_failed", failed), "stats")
@@ -204,7 +205,7 @@ def quality_rules(
     judged = join_measured(stats, by_own, "_own", "left", n_cells).withColumn("_d2", distance())
     kept = ~F.col("_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= chi2_quantile(1 - tail, P))
     quality = F.struct(*[F.col(f"quality.{c}").alias(c) for c in COUNTS], F.col("_failed").alias("base_failed"), F.col("_d2").alias("distance"), kept.alias("kept"))
-    return judged.withColumn("quality", quality).select(*[F.col(f"`{c}`") for c in rest if c != "quality"], "quality")
+    return judged.withColumn("quality", quality).select(*[F.col("_row").getField(c).alias(c) for c in rest], "quality")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

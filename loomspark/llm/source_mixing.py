@@ -108,10 +108,11 @@ def mix_sources(
     rest = [c for c in df.columns if c != text and c not in made]
     whole = [c for c in df.columns if c not in made] if keep_text else []
     key = F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n"))  # joins treat null as a value
-    docs = df.select(*[F.col(f"`{c}`") for c in whole or rest], key.alias("_s"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id).alias("_h"))
+    # the input's columns stay in one struct, so that none can clash with the names in here
+    docs = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in whole or rest]).alias("_row"), F.col(doc_id).alias("_id"), key.alias("_s"), F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id).alias("_h"))
     if keep_text:  # the texts wait in the saved table; only ids and sizes are shuffled until the copies are known
         texts = ws.save(docs.select("*", F.monotonically_increasing_id().alias("_uid")), "sizes")
-        docs = texts.select(*{doc_id: 0, "_s": 0, "size": 0, "_h": 0, "_uid": 0})
+        docs = texts.select("_id", "_s", "size", "_h", "_uid")
     else:
         docs = ws.save(docs, "sizes")
     hist = ws.save(docs.groupBy("_s", "size").agg(F.count("*").alias("n")), "histogram")
@@ -134,12 +135,12 @@ def mix_sources(
     parts = parts.withColumn("_before", before)
     given = F.floor(F.col("_e") * (F.col("_before") + F.col("_c")) / F.col("_n")) - F.floor(F.col("_e") * F.col("_before") / F.col("_n"))
     docs = docs.join(parts.select("_s", "size", "_part", given.alias("_given")), ["_s", "size", "_part"])
-    rank = F.row_number().over(Window.partitionBy("_s", "size", "_part").orderBy("_h", doc_id))
+    rank = F.row_number().over(Window.partitionBy("_s", "size", "_part").orderBy("_h", "_id"))
     copies = (F.floor(F.col("copies") / F.col("n")) + F.when(rank <= F.col("_given"), 1).otherwise(0)).cast("long")
     docs = docs.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     if keep_text:
-        return texts.drop("size").join(docs.select("_uid", *made), "_uid").select(*[F.col(f"`{c}`") for c in whole], *made)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], *made)
+        return texts.drop("size").join(docs.select("_uid", *made), "_uid").select(*[F.col("_row").getField(c).alias(c) for c in whole], *made)
+    return docs.select(*[F.col("_row").getField(c).alias(c) for c in rest], *made)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
