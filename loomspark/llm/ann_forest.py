@@ -39,6 +39,8 @@ TREES = 16
 LEAVES = 32
 VISITS = 56
 SAMPLE = 8192
+#: Rows that a leaf holds at least, on average: small tables get smaller trees.
+LEAST_ROWS = 16
 ROWS, QUERIES = 8192, 4096  # of one leaf that one task takes at most, about
 
 
@@ -124,6 +126,7 @@ def nearest(vectors: DataFrame, query: Column, k: int, vec_id: str = "vec_id", v
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema)
     n, norm, d = sizes[0].n, sizes[0].norm, sizes[0].d
+    leaves = min(leaves, 1 << int(math.log2(max(n / LEAST_ROWS, 1))))
     v = v.where(F.size("x") == d)
     by_class = Window.partitionBy("a", "b").orderBy("id")
     members = v.select("id", "a", "b").withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1)
