@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, join_measured, mix64, read, shingle_hashes, text_chunks, word_spans
+from .common import Workspace, mix64, read, shingle_hashes, text_chunks, word_spans
 from .components import components
 
 N = 5
@@ -155,9 +155,9 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     spread = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     spread = spread.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label"), F.lit(few))).otherwise(F.xxhash64("label", "lo", "hi"))
-    # the texts of candidates only; a broadcast where they are few, else a shuffle
+    # one shuffle of the texts at any size: candidates grow with the corpus, so they are never broadcast
     texts = docs.select("_uid", F.coalesce(row(text), F.lit("")).alias("text"))
-    spread = join_measured(texts, spread.withColumn("task", task), "_uid", "inner", n_active * 2)
+    spread = texts.hint("merge").join(spread.withColumn("task", task), "_uid")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("label", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("tile", "ascending"), ("node", "ascending")])
