@@ -127,8 +127,10 @@ def prompt_prefix(c, token: str = ASSISTANT) -> Column:
 
 def truncated_prompt(c, limit: int, token: str = ASSISTANT) -> Column:
     """Cut to limit signs; a prompt that ends with the assistant token still does."""
-    c = col(c)
-    cut = F.when(F.endswith(c, F.lit(token)), F.concat(F.substring(c, 1, max(0, limit - len(token))), F.lit(token))).otherwise(F.substring(c, 1, limit))
+    c = F.coalesce(col(c), F.lit(""))
+    if limit <= 0:
+        return c
+    cut = F.when(F.endswith(c, F.lit(token)), F.concat(F.substring(c, 1, max(1, limit - len(token))), F.lit(token))).otherwise(F.substring(c, 1, limit))
     return F.when(F.length(c) > limit, cut).otherwise(c)
 
 

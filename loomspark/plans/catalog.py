@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import quality as Q
 from loomspark.functions import rewards as R
 from loomspark.functions import text as X
-from loomspark.operators import cases, curriculum, dedup, prm, ranking, retrieval, sampling, stats, templates, verify
+from loomspark.operators import cases, curriculum, dedup, prm, ranking, repair, retrieval, sampling, stats, templates, verify
 from loomspark.plans import views as V
 from loomspark.sources import readers
 
@@ -565,6 +565,14 @@ def execution_reward(spark, d):
     return c.select("prompt_id", "text", "l_shipdate", "l_quantity", "l_extendedprice", F.round(reward, 9).alias("reward"))
 
 
+@query(f"""WITH {V.FAILURES} SELECT event_id, CASE error_type {" ".join(f"WHEN '{k}' THEN '{p[0]}'" for k, p in repair.POLICIES.items())} ELSE '{repair.TYPE_POLICY[0]}' END AS policy,
+CASE error_type {" ".join(f"WHEN '{k}' THEN {p[1]}" for k, p in repair.POLICIES.items())} ELSE 0.25 END::double AS temperature,
+CASE error_type WHEN 'format' THEN least(12, greatest(greatest(1, rounds_used), 8)) WHEN 'syntax' THEN least(12, rounds_used + 1) WHEN 'timeout' THEN greatest(4, rounds_used - 1) ELSE greatest(1, rounds_used) END::int AS budget FROM failures""")
+def repair_policies(spark, d):
+    rows = V.failures(spark, d).withColumn("p", repair.repair_policy("error_type", F.lit("TypeError: x")))
+    return rows.select("event_id", "p.policy", "p.temperature", repair.error_budget("error_type", "rounds_used").cast("int").alias("budget"))
+
+
 # --- files ------------------------------------------------------------------------------
 
 @query()

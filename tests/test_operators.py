@@ -148,3 +148,18 @@ def test_code_checks_and_runs(spark):
         verify.run_verifier(df, "i", "c", "t")
     r = verify.run_verifier(df, "i", "c", "t", allow_execution=True).first()
     assert (r.error_type, r.score, r.assert_passed, r.assert_total) == ("assertion", 0.5, 1, 2)
+
+
+def test_repairs(spark):
+    from loomspark.operators import repair
+
+    df = spark.createDataFrame([("P", "said<|im_end|>", "code", "boom", "NameError: x", "out", 2)], "prefix string, said string, code string, error string, stderr string, stdout string, r int")
+    text = df.select(repair.repair_prompt("prefix", "said", "code", "error", "stderr", "stdout", "r")).first()[0]
+    assert text.startswith("P<|im_start|>assistant\nsaid<|im_end|>\n") and repair.NAME_POLICY[0] in text and text.endswith("<|im_start|>assistant\n")
+    assert "balanced" not in df.select(repair.patch_repair_prompt("prefix", "code", "r", F.lit("api_first"))).first()[0]
+    assert "Repository Context:\nout" in df.select(repair.context_prefix("said", "stdout")).first()[0]
+    shaped = spark.createDataFrame([([("", "t")], "s")], "a array<struct<content:string,text:string>>, b string")
+    assert shaped.select(repair.completion_text(shaped, "a"), repair.completion_text(shaped, "b")).first()[:] == ("t", "s")
+    assert repair.parse_temperatures("0.1,x,9") == [0.1, 1.5] and repair.parse_temperatures("") == [0.2, 0.8]
+    assert repair.parse_schedule("", 6) == [6, 4, 4] and repair.parse_schedule("3,0", 6) == [3, 1]
+    assert repair.parse_strategies("api_first,no") == ["api_first"] and repair.stage_drop("core_easy", repair.parse_stage_drops("easy:0.3,mid:x")) == 0.3
