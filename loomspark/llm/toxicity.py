@@ -119,12 +119,17 @@ class Automaton:
         return best
 
 
-FEATURES = ["any", "exact", "near", "loose", "kinds", "rate"]
+FEATURES = ["any", "amount", "kinds", "rate"]
+#: How much a near hit of a stem counts for its trust if clean documents have it.
+DISTRUST = 5.0
 
 
 @dataclass
 class ToxicityModel:
+    """Stems with their weights, and how far hits with an edit are trusted: (stem, whole word or not)."""
+
     stems: dict[str, float]
+    trust: dict[tuple[str, bool], float] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
 
 
@@ -170,20 +175,14 @@ class Scorer:
         return max(weight, 0.1)
 
     def features(self, text: str) -> list[float]:
-        exact = near = loose = 0.0
-        kinds = set()
+        total, best = 0.0, {}
         for stem, edits, after, weight in self.hits(text):
             worth = weight * self.model.stems[stem]
-            if edits == 0:
-                exact += worth
-                kinds.add(stem)
-            elif after == 0:
-                near += worth
-                kinds.add(stem)
-            else:
-                loose += worth
-        total = exact + near
-        return [min(total, 1.0), math.log1p(exact), math.log1p(near), math.log1p(loose), math.log1p(len(kinds)), total / (total + 0.005 * (len(text) / 6 + 20))]
+            if edits:
+                worth *= self.model.trust.get((stem, after == 0), 1.0 if after == 0 else 0.5)
+            total += worth
+            best[stem] = max(best.get(stem, 0.0), worth)
+        return [min(total, 1.0), math.log1p(total), math.log1p(sum(best.values())), total / (total + 0.005 * (len(text) / 6 + 20))]
 
     def score(self, text: str) -> float:
         x = self.features(text)
@@ -230,16 +229,45 @@ def learn_lexicon(rows: DataFrame, max_lexicon: int) -> tuple[dict[str, float],
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
-        w = w - np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+    """Intercept and weights, none of which is negative: a feature that would be is left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.column_stack((np.ones(len(x)), x[:, used]))
+        w = np.zeros(z.shape[1])
+        penalty = np.diag([1e-6] + [ridge] * len(used))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + penalty, z.T @ (p - y) + penalty @ w)
+            w = w - np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not used or w[1:].min() >= 0:
             break
-    return w
+        used.pop(int(w[1:].argmin()))
+    out = np.zeros(x.shape[1] + 1)
+    out[[0, *(i + 1 for i in used)]] = w
+    return out
+
+
+def learn_trust(rows: DataFrame, model: ToxicityModel, n_clean: int, n_toxic: int) -> dict[tuple[str, bool], float]:
+    """A stem's hits with an edit are trusted as far as clean documents lack them."""
+
+    def tally(batches):
+        scorer, counts = Scorer(model), {}
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for key in {(stem, edits, after == 0) for stem, edits, after, _ in scorer.hits(t)}:
+                    counts.setdefault(key, [0, 0])[y] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.bool_()), *(pa.array([counts[k][y] for k in keys], pa.int64()) for y in (0, 1))], names=["stem", "edits", "whole", "clean", "toxic"])
+
+    found = rows.mapInArrow(tally, "stem string, edits int, whole boolean, clean bigint, toxic bigint").groupBy("stem", "edits", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    exact: dict[str, int] = {}
+    for r in found:
+        if not r.edits:
+            exact[r.stem] = exact.get(r.stem, 0) + r.toxic
+    near = {(r.stem, r.whole): r.clean * n_toxic / n_clean for r in found if r.edits}
+    return {k: exact.get(k[0], 0) / max(exact.get(k[0], 0) + DISTRUST * v, 1e-9) for k, v in near.items()}
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, max_train: int, max_lexicon: int) -> ToxicityModel:
@@ -254,6 +282,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, l
         model.weights[0] = math.log((n_toxic + 0.5) / (n_clean + 0.5))
         return model
 
+    model.trust = learn_trust(rows, model, n_clean, n_toxic)
+
     def measure(batches):
         scorer = Scorer(model)
         for batch in batches:
