@@ -121,7 +121,7 @@ class Automaton:
 
 FEATURES = ["any", "amount", "kinds", "rate"]
 #: How much a near hit of a stem counts for its trust if clean documents have it.
-DISTRUST = 5.0
+DISTRUST = 50.0
 
 
 @dataclass
