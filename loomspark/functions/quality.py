@@ -146,7 +146,7 @@ def round_fractions(details, asserts) -> Column:
     return F.struct(passed.alias("assert_passed"), total.alias("assert_total"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("pass_fraction"), F.lit("fallback_round_scores").alias("fractional_mode"))
 
 
-def assert_counts(stdout, tag: str = "__SLM_ASSERT_COUNTS__") -> Column:
+def assert_counts(stdout, tag: str = "__ASSERT_COUNTS__") -> Column:
     """(passed, total) that an instrumented run printed."""
     found = lambda i: F.regexp_extract(F.coalesce(col(stdout), F.lit("")), rf"{tag}\D*(\d+)\D+(\d+)", i)
     return F.struct(F.try_to_number(found(1), F.lit("999999999")).cast("int").alias("passed"), F.try_to_number(found(2), F.lit("999999999")).cast("int").alias("total"))

@@ -23,7 +23,7 @@ ALLOWED_IMPORTS = {"math", "itertools", "functools", "collections", "heapq", "bi
 FORBIDDEN_CALLS = {"eval", "exec", "compile", "open", "__import__", "getattr", "setattr", "delattr", "globals", "locals", "input", "breakpoint"}
 FORBIDDEN_MODULES = {"os", "sys", "subprocess", "socket", "pathlib", "shutil", "ctypes", "multiprocessing", "threading", "asyncio", "signal"}
 # Fixed value: the mark before counts of an instrumented run.
-COUNT_TAG = "__SLM_ASSERT_COUNTS__"
+COUNT_TAG = "__ASSERT_COUNTS__"
 
 
 def violation(code: str) -> str:

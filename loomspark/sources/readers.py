@@ -18,7 +18,7 @@ CASE_LOG = (
     "history array<struct<round int, score double, pass_fraction double, error_type string, candidate_budget int, stderr string, round_scores array<double>>>"
 )
 # Folders that a repository walk leaves out, and files that it takes.
-IGNORED_DIRS = (".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "node_modules", "dist", "build", ".slm_cache")
+IGNORED_DIRS = (".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "node_modules", "dist", "build")
 EXTENSIONS = (".py", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg")
 TEST_KEYS = ("tests", "test", "unit_tests", "public_tests", "private_tests", "hidden_tests")
 

@@ -57,7 +57,7 @@ def test_quality(spark):
     assert value(spark, Q.patch_quality(F.lit(""))) == -2 and value(spark, Q.pair_weight(F.lit(9.0))) == 8
     assert value(spark, Q.sigmoid(F.lit(-800.0))) == 0 and value(spark, Q.sigmoid(F.lit(800.0))) == 1
     assert [value(spark, Q.score_fraction(F.lit(s), F.lit(e))) for s, e in ((2.0, ""), (0.5, "assertion"), (0.1, "runtime"), (-0.5, "timeout"), (0.6, ""), (0.2, ""), (0.0, ""))] == [1, 0.45, 0.1, 0, 0.35, 0.15, 0]
-    assert value(spark, Q.assert_counts(F.lit("x\n__SLM_ASSERT_COUNTS__ 2 3\n"))).asDict() == {"passed": 2, "total": 3}
+    assert value(spark, Q.assert_counts(F.lit("x\n__ASSERT_COUNTS__ 2 3\n"))).asDict() == {"passed": 2, "total": 3}
     d = value(spark, Q.round_fractions(F.array(F.struct(F.lit(2.0).alias("score"), F.lit("").alias("error_type")), F.struct(F.lit(0.1).alias("score"), F.lit("runtime").alias("error_type"))), F.lit(4)))
     assert (d.assert_passed, d.assert_total, d.fractional_mode) == (2, 4, "fallback_round_scores")
     assert value(spark, Q.macro_bucket(F.lit("Tool_Trajectory_Distill"), F.lit(""), F.lit(1), F.lit(""))) == "repo_resolution"

@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against its SQL in DuckDB."""
+"""Every registered query outside the corpus operators against its SQL in DuckDB."""
 
 import math
 import os
