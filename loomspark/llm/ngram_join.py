@@ -197,3 +197,16 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join(docs).select("doc_id", "class_id", "class_size", "n_links")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM split WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+classes AS (SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM reached GROUP BY x),
+numbers AS (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN numbers USING (doc_id)
+"""

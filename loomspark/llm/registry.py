@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann_forest import op1_ann_forest
 from .bestfit_packing import op5_bestfit_packing
 from .chat_format import OP8_SQL, op8_chat_format
-from .ngram_join import op7_ngram_join
+from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
 from .source_mixing import op4_source_mixing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES = {"op8_chat_format": OP8_SQL}
+ORACLES = {"op7_ngram_join": OP7_SQL, "op8_chat_format": OP8_SQL}
