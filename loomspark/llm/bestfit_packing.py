@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
-from .common import Workspace, read
+from .common import Workspace, read, tidy
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -71,6 +71,7 @@ def tokenised_pieces(df: DataFrame, path: str, capacity: int, end_token: int, wi
                         rows.append((doc, i, a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), *([ids[a:b].tolist()] if with_ids else [])))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            tidy()
 
     return df.mapInArrow(cut, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 

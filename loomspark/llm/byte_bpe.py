@@ -18,7 +18,7 @@ from .common import code_points, span_hashes, text_chunks
 
 #: Fixed value: the pre-token pattern of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_SIZE = 500_000
+CACHE_SIZE = 200_000
 _KNOWN = 0x250
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 
@@ -112,7 +112,7 @@ class ByteBPE:
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each whole text, as the library gives them without added special tokens."""
         out = [np.zeros(0, np.uint32)] * len(texts)
-        for first, chunk in text_chunks(texts, 1_500_000):
+        for first, chunk in text_chunks(texts, 600_000):
             plain = [i for i, t in enumerate(chunk) if self.is_plain(t)]
             ids, offsets = self.encode_plain([chunk[i] for i in plain])
             for k, i in enumerate(plain):

@@ -8,10 +8,11 @@ costs a re-read and never a local copy. Nothing here uses ``localCheckpoint``.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +60,6 @@ def join_measured(big: DataFrame, small: DataFrame, on, how: str, rows: int) ->
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def keep_columns(spark_df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    return spark_df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 # --- vectorised word hashing -------------------------------------------------------------
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +137,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return span_hashes(words, starts, ends), out
 
 
-def text_chunks(texts: list, max_chars: int = 1_000_000):
+def text_chunks(texts: list, max_chars: int = 400_000):
     """(first index, texts) runs of about max_chars, nulls as empty; a longer text stands alone."""
     start, size = 0, 0
     texts = [t or "" for t in texts]
@@ -151,3 +148,19 @@ def text_chunks(texts: list, max_chars: int = 1_000_000):
         size += len(t) + 1
     if start < len(texts):
         yield start, texts[start:]
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: idle Python workers share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def slices(column: pa.Array, rows: int = 512):
+    """The values of an Arrow column, so many rows at a time: a batch is never a Python list as a whole."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+    tidy()

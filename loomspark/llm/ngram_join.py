@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, mix64, read, shingle_hashes, text_chunks, word_spans
+from .common import Workspace, mix64, read, shingle_hashes, slices, text_chunks, tidy, word_spans
 from .components import components
 
 N = 5
@@ -128,7 +128,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("n", "a", "b")] + [T.StructField("bands", T.ArrayType(T.LongType()))]))
     def signed(column: pa.Array) -> pa.Array:
         parts = []
-        for _, chunk in text_chunks(column.to_pylist()):
+        for _, chunk in (c for texts in slices(column) for c in text_chunks(texts)):
             size, a, b, keys = signatures(chunk, n, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
             parts.append(pa.StructArray.from_arrays([pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], ["n", "a", "b", "bands"]))
@@ -174,6 +174,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
             own = node[s:e]
             for c, x in zip(out, (own, found[0], found[1], own[found[2]])):
                 c.append(x)
+        tidy()
         cat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.table(cat, names=["node", "link_texts", "link_docs", "root"])
 

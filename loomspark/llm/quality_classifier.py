@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, mix64, read, shingle_hashes, span_hashes, text_chunks, word_spans
+from .common import code_points, mix64, read, shingle_hashes, slices, span_hashes, text_chunks, word_spans
 
 BITS = 18
 MAX_TRAIN = 8_000
@@ -143,9 +143,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: in
 @F.arrow_udf(T.BinaryType())
 def indicators_udf(column: pa.Array) -> pa.Array:
     out = []
-    for _, chunk in text_chunks(column.to_pylist()):
-        features, offsets = indicators(chunk)
-        out += [features[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    for texts in slices(column):
+        for _, chunk in text_chunks(texts):
+            features, offsets = indicators(chunk)
+            out += [features[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
     return pa.array(out, pa.binary())
 
 
@@ -167,8 +168,8 @@ def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     @F.arrow_udf(T.DoubleType())
     def scored(column: pa.Array) -> pa.Array:
         out = []
-        for _, chunk in text_chunks(column.to_pylist()):
-            out.append(sent.value.scores(*indicators(chunk)))
+        for texts in slices(column):
+            out += [sent.value.scores(*indicators(chunk)) for _, chunk in text_chunks(texts)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return df.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, code_points, join_measured, mix64, read, span_hashes, text_chunks, word_spans
+from .common import Workspace, code_points, join_measured, mix64, read, slices, span_hashes, text_chunks, word_spans
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -87,8 +87,8 @@ def text_counts(texts: list) -> dict[str, np.ndarray]:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def counts_udf(column: pa.Array) -> pa.Array:
-    found = text_counts(column.to_pylist())
-    return pa.StructArray.from_arrays([pa.array(found[c]) for c in COUNTS], COUNTS)
+    found = [text_counts(texts) for texts in slices(column)] or [text_counts([])]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in COUNTS], COUNTS)
 
 
 def chi2_cdf(x: float, dof: int) -> float:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, slices
 from .quality_classifier import held_out
 
 MAX_TRAIN = 12_000
@@ -312,7 +312,7 @@ def score_toxicity(
         if key not in _workers:
             _workers.clear()
             _workers[key] = Scorer(sent.value)
-        return pa.array([_workers[key].score(t or "") for t in column.to_pylist()], pa.float64())
+        return pa.array([_workers[key].score(t or "") for texts in slices(column) for t in texts], pa.float64())
 
     return df.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
 
