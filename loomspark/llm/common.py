@@ -9,6 +9,7 @@ costs a re-read and never a local copy. Nothing here uses ``localCheckpoint``.
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -54,6 +55,11 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished jobs: it acts once the driver has collected its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def join_measured(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
     """Broadcasts ``small`` where its counted ``rows`` are within bound, else lets the join shuffle."""
