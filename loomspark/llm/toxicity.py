@@ -35,7 +35,7 @@ MAX_LEXICON = 500
 SHORTEST, LONGEST = 4, 16
 CONTEXT = 5
 CACHE_SIZE = 400_000
-_WORD = re.compile(r"[^\W_]+(?:[@$*!'’-]+[^\W_]+)*")
+_WORD = re.compile(r"[@$*!]*[^\W_]+(?:[@$*!'’-]+[^\W_]+)*")
 _LETTERS = re.compile(r"[^\W_]+")
 _QUOTES = "\"“”„«»‘’`"
 #: Words of reporting and of address, in the languages of the tables.
@@ -44,9 +44,13 @@ _ADDRESS = set("you your you're u ur du dein deine sie ihr tu vous votre ton ta
 
 
 class Automaton:
-    """Words that begin with a stem, or with one edit of it; determinised while it runs."""
+    """Words that begin with a stem, or with one edit of it; determinised while it runs.
 
-    def __init__(self, stems: dict[str, float]):
+    anywhere: edits of the first letter and of stems of four letters too, so all words within one edit.
+    """
+
+    def __init__(self, stems: dict[str, float], anywhere: bool = False):
+        self.anywhere = anywhere
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
         for stem in sorted(stems):
@@ -64,10 +68,10 @@ class Automaton:
         self.start = self.state(self.closure({(0, 0, "")}))
 
     def closure(self, items: set) -> frozenset:
-        """Adds deletions: a stem's character that the word leaves out (never the first)."""
+        """Adds deletions: a stem's character that the word leaves out (the first only with anywhere)."""
         out = set(items)
         for node, edits, wait in items:
-            if not wait and edits == 0 and node:
+            if not wait and edits == 0 and (node or self.anywhere):
                 out.update((child, 1, "") for child in self.children[node].values())
         return frozenset(out)
 
@@ -77,7 +81,7 @@ class Automaton:
             self.states.append(items)
             self.moves.append({})
             exact = [self.ends[n] for n, e, w in items if e == 0 and not w and n in self.ends]
-            near = [self.ends[n] for n, e, w in items if e == 1 and not w and n in self.ends and len(self.ends[n]) > 4]
+            near = [self.ends[n] for n, e, w in items if e == 1 and not w and n in self.ends and (self.anywhere or len(self.ends[n]) > 4)]
             self.found.append((min(exact, default=None), min(near, default=None)))
         return self.numbers[items]
 
@@ -92,10 +96,10 @@ class Automaton:
             if child is not None:
                 to.add((child, edits, ""))
             if edits == 0:
-                if node:
+                if node or self.anywhere:
                     to.add((node, 1, ""))
                 for x, other in self.children[node].items():
-                    if x != c and node:
+                    if x != c and (node or self.anywhere):
                         to.add((other, 1, ""))
                     after = self.children[other].get(c)
                     if after is not None and x != c:
@@ -138,7 +142,7 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel, cache_size: int = CACHE_SIZE):
         self.model, self.cache_size = model, cache_size
-        self.automaton = Automaton(model.stems)
+        self.automaton = Automaton(model.stems, anywhere=True)
         self.clean: set[str] = set()
         self.dirty: dict[str, tuple[str, int, int]] = {}
 
@@ -153,7 +157,7 @@ class Scorer:
             self.dirty = {}
         for w in new - self.dirty.keys():
             best = None
-            for part in _WORD.findall(w):
+            for part in (p for whole in _WORD.findall(w) for p in dict.fromkeys((whole.lstrip("@$*!"), whole))):  # a sign before a word may stand for its first letter
                 found = self.automaton.match(_LETTERS.sub(lambda m: m[0], part).replace("@", "a").replace("$", "s").replace("!", "i"))
                 if found and (best is None or found[1] < best[1]):
                     best = found

@@ -87,3 +87,21 @@ def test_hinge_separates():
     model = fit(rows, labels, bits=12)
     flat, offsets = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     assert ((model.scores(flat, offsets) > 0.5) == labels).mean() > 0.99
+
+
+def test_edits_anywhere_against_true_distance():
+    stems = ["idiot", "moron", "scum"]
+    a = Automaton(dict.fromkeys(stems, 1.0), anywhere=True)
+    rng = np.random.default_rng(2)
+    letters = list("idotmrnscux")
+    planted = ["xdiot", "diot", "xidiot", "dioit", "scam", "cum", "scm", "xcum", "csum", "oron"]
+    for word in planted + ["".join(rng.choice(letters, rng.integers(1, 8))) for _ in range(4000)]:
+        near = min(distance(word[:i], s) for s in stems for i in range(len(word) + 1))
+        found = a.match(word)
+        assert (found[1] if found else 2) == min(near, 2), word
+
+
+def test_masked_first_letters_are_hits():
+    s = Scorer(ToxicityModel({"abcde": 1.0, "idiot": 1.0, "scum": 1.0}))
+    for word, stem, edits in (("@bcde", "abcde", 0), ("!diot", "idiot", 0), ("$cum", "scum", 0), ("@idiot", "idiot", 0), ("*diot", "idiot", 1), ("scxm", "scum", 1), ("xdiots", "idiot", 1)):
+        assert [h[:2] for h in s.hits(f"a {word} here")] == [(stem, edits)], word
