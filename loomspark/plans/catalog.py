@@ -495,8 +495,8 @@ def prm_predict(spark, d):
 @query()
 def prm_train_exact(spark, d):
     """Rows only: sequential training."""
-    rows = V.read(spark, d, "documents").join(V.read(spark, d, "labels").where("quality IS NOT NULL"), "doc_id").select("doc_id", F.substring("text", 1, 400).alias("text"), "quality")
-    return prm.train(rows, "text", "quality", "doc_id", 1024, 2)
+    rows = V.read(spark, d, "documents").join(V.read(spark, d, "labels").where("quality IS NOT NULL"), "doc_id").select("doc_id", "text", "quality")
+    return prm.train(rows, "text", "quality", "doc_id")
 
 
 # --- rewards ----------------------------------------------------------------------------
