@@ -148,7 +148,7 @@ def round_fractions(details, asserts) -> Column:
 
 def assert_counts(stdout, tag: str = "__ASSERT_COUNTS__") -> Column:
     """(passed, total) that an instrumented run printed."""
-    found = lambda i: F.regexp_extract(F.coalesce(col(stdout), F.lit("")), rf"{tag}\D*(\d+)\D+(\d+)", i)
+    found = lambda i: F.regexp_extract(F.coalesce(col(stdout), F.lit("")), rf"{tag}\s+(\d+)\s+(\d+)", i)
     return F.struct(F.try_to_number(found(1), F.lit("999999999")).cast("int").alias("passed"), F.try_to_number(found(2), F.lit("999999999")).cast("int").alias("total"))
 
 

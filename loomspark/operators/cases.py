@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import strip
+from loomspark.sources.readers import exists
+from . import stats
 from .dedup import keep_first
 
 KEY = ["benchmark", "mode", "id"]
@@ -139,3 +141,51 @@ def primary_score(lcb, bcb, swe, agent, fmt) -> Column:
     """(mean, low, high) of the composite from intervals; low takes the format rate's high, and vice versa."""
     part = lambda i, j: 0.35 * F.col(lcb)[i] + 0.25 * F.col(bcb)[i] + 0.20 * F.col(swe)[i] + 0.10 * F.col(agent)[i] + 0.10 * (1.0 - F.col(fmt)[j])
     return F.array(part(0, 0), part(1, 2), part(2, 1))
+
+
+def report_with_intervals(log: DataFrame, by: str, order: str, samples: int, seed: int = 3407) -> DataFrame:
+    """The evaluation report: per group the number of cases, and mean, low and high of each metric.
+
+    by: the group column; order: a case's key, by which resampling numbers the rows. Each metric is resampled on its own.
+    """
+    rows = log.select(by, order, metric("pass").alias("pass_at_1"), F.coalesce("pass_at_k", F.lit(False)).cast("double").alias("pass_at_k"), format_error_rate().alias("format_error_rate"), F.coalesce("rounds_used", F.lit(1)).cast("double").alias("rounds"))
+    out = rows.groupBy(by).agg(F.count("*").alias("total"), F.avg("rounds").alias("avg_rounds"))
+    for name in ("pass_at_1", "pass_at_k", "format_error_rate"):
+        ci = stats.bootstrap_ci(rows.select(by, order, F.col(name).alias("value")), samples, [order], by, seed)
+        out = out.join(ci.select(by, F.array("mean", "low", "high").alias(f"{name}_ci")), by)
+    return out
+
+
+def report_groups(log: DataFrame, groups: dict[str, list[str]], column: str = "grp") -> DataFrame:
+    """Cases once for each group of benchmarks that they are in, and once for all."""
+    mapping = log.sparkSession.createDataFrame([(g, b) for g, bs in groups.items() for b in bs], f"{column} string, benchmark string")
+    return log.join(F.broadcast(mapping), "benchmark").unionByName(log.withColumn(column, F.lit("global")))
+
+
+def interval_of(values) -> Column:
+    """(mean, low, high) of a report's list: a single value stands for all three, an empty list is an error."""
+    v = F.col(values) if isinstance(values, str) else values
+    empty = F.raise_error(F.lit("a report lacks a metric")).cast("array<double>")
+    three = F.transform(F.slice(v, 1, 3), lambda x: x.cast("double"))
+    one = F.try_element_at(v, F.lit(1)).cast("double")
+    return F.when(F.coalesce(F.size(v), F.lit(0)) < 1, empty).when(F.size(v) >= 3, three).otherwise(F.array(one, one, one))
+
+
+def gate_inputs(base: DataFrame, post: DataFrame, p_value: DataFrame) -> DataFrame:
+    """The gate's row (post_format, gain, gain_low, p_value) from two one-row frames (score, format_rate: mean, low, high) and one with p_value."""
+    b = base.select(interval_of("score").alias("_b"))
+    p = post.select(interval_of("score").alias("_p"), interval_of("format_rate")[0].alias("post_format"))
+    gain = lambda after, before: (after - before) / F.greatest(F.lit(1e-6), before)
+    rows = b.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(p_value.select("p_value")))
+    return rows.select("post_format", gain(F.col("_p")[0], F.col("_b")[0]).alias("gain"), gain(F.col("_p")[1], F.col("_b")[2]).alias("gain_low"), "p_value")
+
+
+# What a finished run has left in its folder.
+ARTIFACTS = ["run_manifest.txt", *(f"{side}_eval_{kind}{end}" for side in ("baseline", "posttrain") for kind in ("classic", "agentic") for end in (".json", "_cases.jsonl"))]
+
+
+def require_artifacts(spark, folder: str, *more: str) -> None:
+    """An error that names the files which a run should have left and hasn't."""
+    missing = [p for p in (*(f"{folder.rstrip('/')}/{a}" for a in ARTIFACTS), *more) if not exists(spark, p)]
+    if missing:
+        raise FileNotFoundError("missing artifacts: " + ", ".join(missing))

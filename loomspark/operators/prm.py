@@ -29,8 +29,8 @@ def predict(df: DataFrame, key: str, text: str, weights: DataFrame, bias: float,
 def record_text(prompt, error_type, history, tests, code) -> Column:
     """The text that the model reads of a case: up to eight rounds of history (struct error_type, score)."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rounds = F.transform(F.slice(F.coalesce(F.col(history), F.array().cast("array<struct<error_type:string,score:double>>")), 1, 8), lambda h: F.concat(F.lit("round_error="), F.coalesce(h["error_type"], F.lit("")), F.lit(" round_score="), F.coalesce(h["score"].cast("string"), F.lit(""))))
-    return F.concat(F.lit("prompt="), empty(prompt), F.lit("\nerror_type="), empty(error_type), F.lit("\nhistory="), F.array_join(rounds, " | "), F.lit("\ntests="), empty(tests), F.lit("\ncode="), empty(code))
+    rounds = F.transform(F.slice(F.col(history), 1, 8), lambda h: F.concat(F.lit("round_error="), F.coalesce(h["error_type"], F.lit("")), F.lit(" round_score="), F.coalesce(h["score"].cast("string"), F.lit(""))))
+    return F.concat(F.lit("prompt="), empty(prompt), F.lit("\nerror_type="), empty(error_type), F.lit("\nhistory="), F.coalesce(F.array_join(rounds, " | "), F.lit("")), F.lit("\ntests="), empty(tests), F.lit("\ncode="), empty(code))
 
 
 def label(all_passed, pass_at_1) -> Column:

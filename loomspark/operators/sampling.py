@@ -41,15 +41,21 @@ def head(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def head_per_source(df: DataFrame, source: str, n: int, order: str) -> DataFrame:
+    """The first n rows of each source in order of arrival; the limit reaches below the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def shuffled_head(df: DataFrame, n: int, row_key: str, seed: int = SEED) -> DataFrame:
     """n rows by hash order, if n is positive."""
     return df.orderBy(seeded(row_key, seed), row_key).limit(n) if n > 0 else df
 
 
 def hash_split(key: Column, holdout: float = 0.10, val: float = 0.05) -> Column:
-    """holdout, val or train by the key's hash modulo 1000."""
-    h = int(1000 * min(max(holdout, 0.0), 0.9))
-    v = int(1000 * min(max(val, 0.0), 0.9))
+    """holdout, val or train by the key's hash modulo 1000; shares are kept within 0.01 to 0.5 and 0.4."""
+    h = max(1, int(1000 * min(max(holdout, 0.01), 0.5)))
+    v = max(1, int(1000 * min(max(val, 0.01), 0.4)))
     bucket = hash8(key) % 1000
     return F.when(bucket < h, "holdout").when(bucket < h + v, "val").otherwise("train")
 

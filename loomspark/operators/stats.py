@@ -1,8 +1,9 @@
 """Bootstrap intervals and sign-flip tests with a hash as random numbers.
 
 Draw i of replicate r is row sha256(seed|r|i) modulo n: the same in any engine and on any
-cluster. Values are indexed 0..n-1 by a stated order; replicates times rows are joined by
-index, so work spreads over replicates.
+cluster. Values are indexed 0..n-1 by a stated order and written once; up to a counted number
+of them the table of values goes to every task, so that the replicates times rows draws are
+never shuffled, beyond it draws and values are joined by index.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import SEED, hash8
+from loomspark.sources.work import Work
+
+#: Values (some 40 bytes each) up to which their table is broadcast.
+BROADCAST_VALUES = 200_000
 
 
 def indexed(values: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
     """values (value, and by) with idx from 0 and n; one value per case, so a group fits a window."""
     w = Window.partitionBy(*([by] if by else [F.lit(0)]))
-    return values.withColumns({"idx": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    rows = values.withColumns({"idx": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)}).select(*([by] if by else []), "idx", "n", "value")
+    return Work(values.sparkSession, "resampling").save(rows, "values")
 
 
 def replicates(values: DataFrame, samples: int, seed: int, by: str | None, draw) -> DataFrame:
@@ -26,7 +32,8 @@ def replicates(values: DataFrame, samples: int, seed: int, by: str | None, draw)
     grid = values.select(*keys, "n", F.col("idx").alias("i"), reps)
     parts = [F.lit(seed), *([F.col(by)] if by else []), F.col("rep"), F.col("i")]
     grid = grid.withColumn("idx", (hash8(F.concat_ws("|", *[p.cast("string") for p in parts])) % F.col("n")).cast("int"))
-    return grid.join(values.select(*keys, "idx", "value"), [*keys, "idx"]).groupBy(*keys, "rep").agg(draw.alias("mean"))
+    drawn = values.select(*keys, "idx", "value")
+    return grid.join(F.broadcast(drawn) if values.count() <= BROADCAST_VALUES else drawn, [*keys, "idx"]).groupBy(*keys, "rep").agg(draw.alias("mean"))
 
 
 def interval(reps: DataFrame, samples: int, by: list[str]) -> DataFrame:

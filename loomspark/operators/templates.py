@@ -143,28 +143,28 @@ def affected_files(df: DataFrame, keys=FILE_KEYS) -> Column:
     return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], none)
 
 
-def swe_record(df: DataFrame, system: str, issue: Column, trajectory: Column, patch: Column, reasoning: Column, source: str) -> DataFrame:
+def swe_record(df: DataFrame, system: str, issue: Column, trajectory: Column, patch: Column, reasoning: Column, source: str, row_key: str | None = None) -> DataFrame:
     files = affected_files(df)
     listing = F.array_join(F.transform(F.slice(files, 1, 20), lambda p: F.concat(F.lit("- "), p)), "\n")
     user = F.concat(F.lit("Issue:\n"), issue, F.when(listing != "", F.concat(F.lit("\nAffected files:\n"), listing)).otherwise(""), F.when(trajectory.isNotNull(), F.concat(F.lit("\n\nTrajectory:\n"), trajectory)).otherwise(""))
     text = chat(system, user, assistant_block(patch, reasoning))
     return df.select(
-        text.alias("text"), prompt_prefix(text).alias("prompt"), swe_tests(df).alias("tests"), issue.alias("issue"), F.array_join(F.slice(files, 1, 50), "\n").alias("affected_files"),
+        *([F.col(row_key).alias("row_key")] if row_key else []), text.alias("text"), prompt_prefix(text).alias("prompt"), swe_tests(df).alias("tests"), issue.alias("issue"), F.array_join(F.slice(files, 1, 50), "\n").alias("affected_files"),
         patch.alias("patch"), F.coalesce(trajectory, F.lit("")).alias("trajectory"), F.lit(source).alias("source"), F.lit("repo_level").alias("swe_granularity"))
 
 
-def format_swe_bug(df: DataFrame, source: str = "swe_bug", context: int = 6000) -> DataFrame:
+def format_swe_bug(df: DataFrame, source: str = "swe_bug", context: int = 6000, row_key: str | None = None) -> DataFrame:
     issue = truncated(column_text(df, "problem_statement", "issue", "prompt"), context)
     patch = strip(column_text(df, "patch", "gold_patch", "solution_patch"))
-    return swe_record(df, SYSTEM_SWE_BUG, issue, F.lit(None).cast("string"), patch, column_text(df, "analysis", "hints"), source)
+    return swe_record(df, SYSTEM_SWE_BUG, issue, F.lit(None).cast("string"), patch, column_text(df, "analysis", "hints"), source, row_key)
 
 
-def format_swe_trajectory(df: DataFrame, source: str = "swe_trajectory", context: int = 6000) -> DataFrame:
+def format_swe_trajectory(df: DataFrame, source: str = "swe_trajectory", context: int = 6000, row_key: str | None = None) -> DataFrame:
     issue = truncated(column_text(df, "problem_statement", "issue", "instance_id"), context)
     first = F.slice(F.coalesce(F.col("trajectory"), F.array().cast("array<struct<action:string,observation:string>>")), 1, 60)
     lines = F.flatten(F.transform(first, lambda s: F.filter(F.array(F.concat(F.lit("[ACTION] "), truncated(s["action"], 280)), F.concat(F.lit("[OBS] "), truncated(s["observation"], 360))), lambda x: ~x.isin("[ACTION] ", "[OBS] "))))
     trace = F.array_join(lines, "\n")
-    return swe_record(df, SYSTEM_SWE_TRAJECTORY, issue, trace, strip(first_truthy(df, PATCH_KEYS)), F.substring(trace, 1, 1200), source)
+    return swe_record(df, SYSTEM_SWE_TRAJECTORY, issue, trace, strip(first_truthy(df, PATCH_KEYS)), F.substring(trace, 1, 1200), source, row_key)
 
 
 def case_prompt(prompt, mode) -> Column:
@@ -172,14 +172,14 @@ def case_prompt(prompt, mode) -> Column:
     return chat(system, F.col(prompt), F.lit(ASSISTANT))
 
 
-def format_rl(df: DataFrame, min_asserts: int = 2, min_lines: int = 3, min_score: float = 2.5) -> DataFrame:
+def format_rl(df: DataFrame, min_asserts: int = 2, min_lines: int = 3, min_score: float = 2.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """Prompts wrapped unless they are templates already, tests with their quality flags."""
     user = first_truthy(df, ("prompt", "text"))
     wrapped = chat(SYSTEM_RL, user, F.lit(ASSISTANT))
     ready = F.contains(user, F.lit("<|im_start|>assistant")) & F.contains(user, F.lit("<|im_start|>system"))
     tests = strip(first_truthy(df, ("tests", "test_list")))
     named = lambda n, default: F.coalesce(F.nullif(F.lower(strip(column_text(df, n))), F.lit("")), F.lit(default))
-    out = df.select(F.when(ready, user).otherwise(wrapped).alias("prompt"), tests.alias("answer"), named("source", "unknown").alias("source"), named("benchmark", "unknown").alias("benchmark"), named("error_type", "").alias("error_type"))
+    out = df.select(*keep, F.when(ready, user).otherwise(wrapped).alias("prompt"), tests.alias("answer"), named("source", "unknown").alias("source"), named("benchmark", "unknown").alias("benchmark"), named("error_type", "").alias("error_type"))
     q = test_quality("answer")
     return out.withColumn("_q", q).select("*", (F.col("answer") != "").alias("has_tests"), sufficient("_q", min_asserts, min_lines, min_score).alias("tests_quality_ok"), F.col("_q.quality_score").alias("test_quality_score"), F.col("_q.assert_count").alias("test_assert_count")).drop("_q")
 
@@ -189,16 +189,18 @@ def rendered_history(history, most: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(F.col(history), 1, most), lambda h, i: F.format_string("[Round %d] error=%s score=%.3f stderr=%s", i + 1, F.coalesce(h["error_type"], F.lit("")), F.coalesce(h["score"], F.lit(0.0)), F.substring(F.coalesce(h["stderr"], F.lit("")), 1, 220))), "\n")
 
 
+# What stands around a distilled trajectory's task and history, and the sentence that opens its rationale.
+DISTILL_SYSTEM = "You are an autonomous SWE agent. Use tool feedback loops to repair code."
+DISTILL_HISTORY = "Agent Tool/Test History:"
+DISTILL_OPENING = "I reviewed prior failing attempts, extracted the dominant error signatures, and produced a corrected implementation consistent with test feedback.\nHistory summary:\n"
+
+
 def trajectory_prompt(task, history_text) -> Column:
-    return F.concat(
-        F.lit("<|im_start|>system\nYou are an autonomous SWE agent. Use tool feedback loops to repair code.\n<|im_end|>\n<|im_start|>user\nTask:\n"), task,
-        F.lit("\n\nAgent Tool/Test History:\n"), history_text, F.lit("\n<|im_end|>\n" + ASSISTANT))
+    return F.concat(F.lit(f"<|im_start|>system\n{DISTILL_SYSTEM}\n<|im_end|>\n<|im_start|>user\nTask:\n"), task, F.lit(f"\n\n{DISTILL_HISTORY}\n"), history_text, F.lit("\n<|im_end|>\n" + ASSISTANT))
 
 
 def trajectory_text(prompt, code, history_text) -> Column:
-    # Fixed value: the sentence that opens a distilled rationale.
-    opening = "I reviewed prior failing attempts, extracted the dominant error signatures, and produced a corrected implementation consistent with test feedback.\nHistory summary:\n"
-    return F.concat(prompt, F.lit("<reasoning>\n" + opening), history_text, F.lit("\n</reasoning>\n<answer>\n"), strip(F.coalesce(code, F.lit(""))), F.lit("\n</answer><|im_end|>"))
+    return F.concat(prompt, F.lit("<reasoning>\n" + DISTILL_OPENING), history_text, F.lit("\n</reasoning>\n<answer>\n"), strip(F.coalesce(code, F.lit(""))), F.lit("\n</answer><|im_end|>"))
 
 
 def align_columns(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

@@ -24,6 +24,8 @@ FORBIDDEN_CALLS = {"eval", "exec", "compile", "open", "__import__", "getattr", "
 FORBIDDEN_MODULES = {"os", "sys", "subprocess", "socket", "pathlib", "shutil", "ctypes", "multiprocessing", "threading", "asyncio", "signal"}
 # Fixed value: the mark before counts of an instrumented run.
 COUNT_TAG = "__ASSERT_COUNTS__"
+#: Between code and tests, so that code which seeds or draws when it is loaded doesn't change the tests' numbers.
+SEEDING = "import random as _random_\n_random_.seed({seed})"
 
 
 def violation(code: str) -> str:
@@ -105,7 +107,9 @@ def counted(code: str, tests: str, seconds: float) -> tuple[int, int]:
     body = instrumented(tests)
     if not body:
         return 0, 0
-    out = run(f"_total_ = _passed_ = 0\n{code}\n{body}\nprint('{COUNT_TAG}', _passed_, _total_)", seconds)["stdout"]
+    # whatever ends the tests, the counts up to there are printed
+    block = "\n".join("    " + line for line in body.split("\n"))
+    out = run(f"{code}\n{SEEDING.format(seed=0)}\n_total_ = _passed_ = 0\ntry:\n{block}\nexcept Exception:\n    pass\nfinally:\n    print('{COUNT_TAG}', _passed_, _total_)", seconds)["stdout"]
     found = re.search(rf"{COUNT_TAG} (\d+) (\d+)", out)
     return (int(found[1]), int(found[2])) if found else (0, 0)
 
@@ -114,10 +118,10 @@ def verify(code: str, tests: str, rounds: int = 1, seconds: float = 2.0, retry:
     """One result per seed; a timeout is tried again with more time and kept if better."""
     out = []
     for seed in range(max(1, rounds)):
-        whole = f"import random\nrandom.seed({seed})\n{code}\n{tests}"
+        whole = f"{code}\n{SEEDING.format(seed=seed)}\n{tests}"
         result = run(whole, seconds)
         if result["error_type"] == "timeout" and retry > 1:
-            again = run(whole, seconds * retry)
+            again = run(whole, max(seconds * retry, seconds + 0.25))
             result = again if again["score"] > result["score"] else result
         out.append(result | {"round": seed})
     return out

@@ -12,7 +12,6 @@ from loomspark.functions import rewards as R
 from loomspark.functions import text as X
 from loomspark.operators import cases, curriculum, dedup, prm, ranking, repair, retrieval, sampling, stats, templates, verify
 from loomspark.plans import views as V
-from loomspark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,12 +133,12 @@ PATCHES = ["diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b", "--- a\n
 
 
 def patch_rows(spark, d):
-    """One of a few literal patches, with a document's first line after it."""
+    """One of a few literal patches, with a document's whole text after every second one."""
     texts = F.array(*[F.lit(p) for p in PATCHES])
-    return V.read(spark, d, "documents").select("doc_id", F.concat(F.element_at(texts, (F.col("doc_id") % len(PATCHES) + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), F.substring_index("text", "\n", 1))).otherwise("")).alias("patch"))
+    return V.read(spark, d, "documents").select("doc_id", F.concat(F.element_at(texts, (F.col("doc_id") % len(PATCHES) + 1).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), F.col("text"))).otherwise("")).alias("patch"))
 
 
-PATCH_SQL = "p AS (SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '" + p.replace("\n", "' || chr(10) || '") + "'" for i, p in enumerate(PATCHES)) + " END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || split_part(text, chr(10), 1) ELSE '' END AS patch FROM documents)"
+PATCH_SQL = "p AS (SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '" + p.replace("\n", "' || chr(10) || '") + "'" for i, p in enumerate(PATCHES)) + " END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || text ELSE '' END AS patch FROM documents)"
 
 
 @query(f"""WITH {PATCH_SQL}, s AS (SELECT doc_id, {V.strip_sql('patch')} AS a, lower({V.strip_sql('patch')}) AS low FROM p),
@@ -369,46 +368,66 @@ def group_report(spark, d):
     return cases.group_report(sides(spark, d)[0], {"core": ["click", "view"], "money": ["purchase", "view"]}).withColumns(nine("pass_at_1", "pass_at_k", "format_error_rate", "avg_rounds"))
 
 
+#: Replicates of the resampling queries, and the places of the interval's ends among them.
+SAMPLES = 1000
+LOW, HIGH = int(0.025 * (SAMPLES - 1)) + 1, int(0.975 * (SAMPLES - 1)) + 1
 CI_SQL = f"""{V.CASE_LOGS}, v AS (SELECT benchmark, pass_at_1::int::double AS value, row_number() OVER (PARTITION BY benchmark ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY benchmark) AS n FROM base),
-draws AS (SELECT benchmark, rep, {V.hash8_sql("'3407|' || benchmark || '|' || rep || '|' || idx")} % n AS idx FROM v, range(40) t(rep)),
+draws AS (SELECT benchmark, rep, {V.hash8_sql("'3407|' || benchmark || '|' || rep || '|' || idx")} % n AS idx FROM v, range({SAMPLES}) t(rep)),
 reps AS (SELECT d.benchmark, rep, avg(value) AS mean FROM draws d JOIN v ON v.benchmark = d.benchmark AND v.idx = d.idx GROUP BY ALL), ranked_reps AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY mean) AS r FROM reps),
 means AS (SELECT benchmark, avg(value) AS mean, count(*) AS n FROM v GROUP BY benchmark)"""
 
 
-@query(f"WITH {CI_SQL} SELECT m.benchmark, round(m.mean, 9) AS mean, round(max(r.mean) FILTER (r.r = 1), 9) AS low, round(max(r.mean) FILTER (r.r = 39), 9) AS high, m.n FROM means m JOIN ranked_reps r USING (benchmark) GROUP BY m.benchmark, m.mean, m.n")
+@query(f"WITH {CI_SQL} SELECT m.benchmark, round(m.mean, 9) AS mean, round(max(r.mean) FILTER (r.r = {LOW}), 9) AS low, round(max(r.mean) FILTER (r.r = {HIGH}), 9) AS high, m.n FROM means m JOIN ranked_reps r USING (benchmark) GROUP BY m.benchmark, m.mean, m.n")
 def bootstrap_ci(spark, d):
     values = sides(spark, d)[0].select("event_id", "benchmark", F.col("pass_at_1").cast("double").alias("value"))
-    return stats.bootstrap_ci(values, 40, ["event_id"], "benchmark").withColumns(nine("mean", "low", "high"))
+    return stats.bootstrap_ci(values, SAMPLES, ["event_id"], "benchmark").withColumns(nine("mean", "low", "high"))
 
 
 INDEXED_SQL = f"{OBJECTIVE_SQL}, v AS (SELECT component, diff AS value, row_number() OVER (PARTITION BY component ORDER BY benchmark, id, diff) - 1 AS idx, count(*) OVER (PARTITION BY component) AS n FROM diffs), observed AS (SELECT sum(w * mean) AS observed FROM (SELECT {WEIGHT_SQL} AS w, avg(value) AS mean FROM v GROUP BY component))"
 DIFF_ORDER = ["benchmark", "id", "value"]
 
 
-@query(f"""WITH {INDEXED_SQL}, draws AS (SELECT component, rep, {V.hash8_sql("'3407|' || component || '|' || rep || '|' || idx")} % n AS idx FROM v, range(40) t(rep)),
+@query(f"""WITH {INDEXED_SQL}, draws AS (SELECT component, rep, {V.hash8_sql("'3407|' || component || '|' || rep || '|' || idx")} % n AS idx FROM v, range({SAMPLES}) t(rep)),
 reps AS (SELECT rep, sum(w * mean) AS mean FROM (SELECT d.component, rep, {WEIGHT_SQL.replace('component', 'd.component')} AS w, avg(value) AS mean FROM draws d JOIN v ON v.component = d.component AND v.idx = d.idx GROUP BY ALL) GROUP BY rep),
-r AS (SELECT *, row_number() OVER (ORDER BY mean) AS r FROM reps) SELECT round(any_value(observed), 9)::double AS observed, round(max(mean) FILTER (r = 1), 9)::double AS low, round(max(mean) FILTER (r = 39), 9)::double AS high FROM observed, r""")
+r AS (SELECT *, row_number() OVER (ORDER BY mean) AS r FROM reps) SELECT round(any_value(observed), 9)::double AS observed, round(max(mean) FILTER (r = {LOW}), 9)::double AS low, round(max(mean) FILTER (r = {HIGH}), 9)::double AS high FROM observed, r""")
 def bootstrap_weighted_diff(spark, d):
-    return stats.weighted_diff_ci(objective(spark, d), cases.COMPONENTS, 40, DIFF_ORDER).withColumns(nine("observed", "low", "high"))
+    return stats.weighted_diff_ci(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER).withColumns(nine("observed", "low", "high"))
 
 
-@query(f"""WITH {INDEXED_SQL}, flips AS (SELECT component, rep, CASE WHEN {V.hash8_sql("'3407|flip|' || component || '|' || rep || '|' || idx")} % 2 = 0 THEN value ELSE -value END AS value FROM v, range(40) t(rep)),
-nulls AS (SELECT rep, sum(w * mean) AS stat FROM (SELECT component, rep, {WEIGHT_SQL} AS w, avg(value) AS mean FROM flips GROUP BY ALL) GROUP BY rep)
-SELECT round(any_value(observed), 9)::double AS observed, round((count(*) FILTER (round(stat, 12) >= round(observed, 12)) + 1) / 41.0, 9)::double AS p_value FROM observed, nulls""")
+FLIP_SQL = f"""{INDEXED_SQL}, flips AS (SELECT component, rep, CASE WHEN {V.hash8_sql("'3407|flip|' || component || '|' || rep || '|' || idx")} % 2 = 0 THEN value ELSE -value END AS value FROM v, range({SAMPLES}) t(rep)),
+nulls AS (SELECT rep, sum(w * mean) AS stat FROM (SELECT component, rep, {WEIGHT_SQL} AS w, avg(value) AS mean FROM flips GROUP BY ALL) GROUP BY rep),
+tested AS (SELECT any_value(observed) AS observed, (count(*) FILTER (round(stat, 12) >= round(observed, 12)) + 1) / {SAMPLES + 1}.0 AS p_value FROM observed, nulls)"""
+SCORE_SQL = "0.35 * avg(pass_at_1::int) FILTER (benchmark = 'click') + 0.25 * avg(pass_at_1::int) FILTER (benchmark = 'view') + 0.2 * avg(pass_at_1::int) FILTER (benchmark = 'purchase') + 0.1 * avg(pass_at_1::int) + 0.1 * (1 - avg(format_errors / 100.0))"
+
+
+@query(f"WITH {FLIP_SQL} SELECT round(observed, 9)::double AS observed, round(p_value, 9)::double AS p_value FROM tested")
 def sign_flip_pvalue(spark, d):
-    return stats.sign_flip(objective(spark, d), cases.COMPONENTS, 40, DIFF_ORDER).withColumns(nine("observed", "p_value"))
+    return stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER).withColumns(nine("observed", "p_value"))
 
 
-@query(f"""WITH {V.CASE_LOGS}, r AS (SELECT benchmark, side, avg(pass_at_1::int) AS pass_mean, avg(format_errors / 100.0)::double AS format_mean FROM logs GROUP BY ALL),
+@query(f"""WITH {FLIP_SQL}, r AS (SELECT benchmark, side, avg(pass_at_1::int) AS pass_mean, avg(format_errors / 100.0)::double AS format_mean FROM logs GROUP BY ALL),
 c AS (SELECT b.benchmark, p.pass_mean + 1e-6 >= b.pass_mean - 0.01 AND p.pass_mean - 0.05 + 1e-6 >= b.pass_mean - 0.05 - 0.02 AS pass_ok, p.format_mean <= b.format_mean + 0.01 AS format_ok FROM r b JOIN r p USING (benchmark) WHERE b.side = 'base' AND p.side = 'post'),
-f AS (SELECT avg(format_errors / 100.0)::double AS post_format FROM post) SELECT CASE WHEN post_format >= 0.02 THEN 'format_error_rate,' ELSE '' END || 'relative_improvement' || coalesce((SELECT ',' || string_agg('no_regression:' || benchmark, ',' ORDER BY benchmark) FROM c WHERE NOT (pass_ok AND format_ok)), '') AS failures, false AS passed FROM f""")
+s AS (SELECT (SELECT avg(format_errors / 100.0)::double FROM post) AS post_format, (SELECT {SCORE_SQL} FROM base) AS b, (SELECT {SCORE_SQL} FROM post) AS p),
+g AS (SELECT post_format, (p - b) / b AS gain, (p - 0.046 - b - 0.046) / (b + 0.046) AS gain_low, p_value FROM s, tested)
+SELECT array_to_string(list_filter([CASE WHEN post_format >= 0.02 THEN 'format_error_rate' END, CASE WHEN gain < 0.15 THEN 'relative_improvement' END, CASE WHEN gain_low < 0.05 THEN 'relative_improvement_lower_bound' END, CASE WHEN p_value > 0.05 THEN 'significance' END,
+(SELECT string_agg('no_regression:' || benchmark, ',' ORDER BY benchmark) FROM c WHERE NOT (pass_ok AND format_ok))], lambda x: x IS NOT NULL), ',') AS failures, round(gain, 9)::double AS gain, round(gain_low, 9)::double AS gain_low, round(p_value, 9)::double AS p_value FROM g""")
 def gate_checks(spark, d):
+    """The acceptance gate from its inputs: composite scores with intervals of both runs, the sign-flip test, and reports per benchmark."""
+    around = lambda mean, width: F.array(mean, mean - width, mean + width)
+
     def report(log):
         return log.groupBy("benchmark").agg(F.avg(cases.metric("pass")).alias("pass_mean"), F.avg(cases.format_error_rate()).alias("format_mean")).withColumn("pass_low", F.col("pass_mean") - 0.05)
 
+    def scores(log):
+        passed = lambda b: around(F.avg(F.when(F.col("benchmark") == b, cases.metric("pass"))), 0.05)
+        one = log.agg(*[passed(b).alias(c) for c, b in V.BENCHMARKS.items()], around(F.avg(cases.metric("pass")), 0.05).alias("agent"), around(F.avg(cases.format_error_rate()), 0.01).alias("format_rate"))
+        return one.select(cases.primary_score(*V.BENCHMARKS, "agent", "format_rate").alias("score"), "format_rate")
+
     base, post = sides(spark, d)
-    scores = post.agg(F.avg(cases.format_error_rate()).alias("post_format")).select("post_format", F.lit(0.0).alias("gain"), F.lit(0.1).alias("gain_low"), F.lit(0.01).alias("p_value"))
-    return cases.gate_failures(scores, cases.regression_checks(report(base), report(post))).select(F.array_join("failures", ",").alias("failures"), "passed")
+    tested = stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER)
+    inputs = cases.gate_inputs(scores(base), scores(post), tested)
+    failed = cases.gate_failures(inputs, cases.regression_checks(report(base), report(post)))
+    return failed.select(F.array_join("failures", ",").alias("failures"), "gain", "gain_low", "p_value").withColumns(nine("gain", "gain_low", "p_value"))
 
 
 @query(f"WITH {V.CANDIDATES} SELECT prompt_id, bool_and(score >= 1.99) AS all_passed, min(score) AS min_score, max(score) AS max_score, min(exec_time) FILTER (score >= 1.99) AS best_time, max(exec_time) AS max_time FROM candidates GROUP BY prompt_id")
@@ -508,12 +527,12 @@ def completions(spark, d):
     kind = (F.col("conv_id") + F.col("turn")) % 3
     rows = c.join(after, ["conv_id", "turn"]).withColumnRenamed("text", "prompt")
     tagged = F.concat(F.lit("<reasoning>First, the test step because\nassert x edge case "), "reply", F.lit("</reasoning>"))
-    answer = F.concat(F.lit("<answer>"), F.substring("reply", 1, 60), F.lit("</answer>"))
+    answer = F.concat(F.lit("<answer>"), F.col("reply"), F.lit("</answer>"))
     return rows.select("conv_id", "turn", "prompt", F.when(kind == 0, F.concat(tagged, answer)).when(kind == 1, answer).otherwise(F.col("reply")).alias("text"), F.when(F.col("turn") % 2 == 0, "assert a\nassert b").otherwise("").alias("tests"))
 
 
 COMPLETIONS = """c AS (SELECT a.conv_id, a.turn, a.text AS prompt, (a.conv_id + a.turn) % 3 AS kind, b.text AS reply, CASE WHEN a.turn % 2 = 0 THEN 'assert a' || chr(10) || 'assert b' ELSE '' END AS tests FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-completions AS (SELECT *, CASE kind WHEN 0 THEN '<reasoning>First, the test step because' || chr(10) || 'assert x edge case ' || reply || '</reasoning>' ELSE '' END || CASE WHEN kind < 2 THEN '<answer>' || substr(reply, 1, 60) || '</answer>' ELSE reply END AS text FROM c)"""
+completions AS (SELECT *, CASE kind WHEN 0 THEN '<reasoning>First, the test step because' || chr(10) || 'assert x edge case ' || reply || '</reasoning>' ELSE '' END || CASE WHEN kind < 2 THEN '<answer>' || reply || '</answer>' ELSE reply END AS text FROM c)"""
 
 
 @query(f"WITH {COMPLETIONS} SELECT conv_id, turn, CASE kind WHEN 0 THEN 0.8 WHEN 1 THEN 0.4 ELSE -1.5 END::double AS reward FROM completions")
@@ -535,17 +554,17 @@ def self_verification(spark, d):
     return completions(spark, d).select("conv_id", "turn", R.self_check_reward("text").alias("reward"))
 
 
-@query(f"""WITH {COMPLETIONS}, f AS (SELECT conv_id, turn, conv_id % 7 AS grp, substr(regexp_replace(lower({V.strip_sql("CASE WHEN kind < 2 THEN substr(reply, 1, 60) ELSE text END")}), '\\s+', ' ', 'g'), 1, 3) AS fp FROM completions),
+@query(f"""WITH {COMPLETIONS}, f AS (SELECT conv_id, turn, conv_id % 7 AS grp, substr(regexp_replace(lower({V.strip_sql("CASE WHEN kind < 2 THEN reply ELSE text END")}), '\\s+', ' ', 'g'), 1, 500) AS fp FROM completions),
 n AS (SELECT *, row_number() OVER (PARTITION BY grp, fp ORDER BY conv_id, turn) - 1 AS seen FROM f) SELECT conv_id, turn, round(CASE WHEN seen = 0 THEN 0.08 ELSE -least(0.25, 0.10 + 0.05 * seen) END, 9)::double AS reward FROM n""")
 def diversity_reward(spark, d):
-    rows = completions(spark, d).select("conv_id", "turn", (F.col("conv_id") % 7).cast("string").alias("prompt"), F.substring(R.answer_fingerprint("text"), 1, 3).alias("text"))
+    rows = completions(spark, d).select("conv_id", "turn", (F.col("conv_id") % 7).cast("string").alias("prompt"), "text")
     return rows.select("conv_id", "turn", F.round(R.diversity_reward("prompt", "text", F.struct("conv_id", "turn")), 9).alias("reward"))
 
 
 ANY_SQL = lambda *ws: "(" + " OR ".join(f"contains(low, '{w}')" for w in ws) + ")::int"
 
 
-@query(f"""WITH {COMPLETIONS}, r AS (SELECT *, CASE WHEN kind = 0 THEN {V.strip_sql("'First, the test step because' || chr(10) || 'assert x edge case ' || reply")} ELSE '' END AS reasoning, CASE WHEN kind < 2 THEN {V.strip_sql('substr(reply, 1, 60)')} ELSE '' END AS answer FROM completions),
+@query(f"""WITH {COMPLETIONS}, r AS (SELECT *, CASE WHEN kind = 0 THEN {V.strip_sql("'First, the test step because' || chr(10) || 'assert x edge case ' || reply")} ELSE '' END AS reasoning, CASE WHEN kind < 2 THEN {V.strip_sql('reply')} ELSE '' END AS answer FROM completions),
 m AS (SELECT *, lower(reasoning) AS low, {WORDS_SQL('reasoning')} AS n, {WORDS_SQL('answer')} AS na, len(list_intersect({SYMBOLS_SQL("prompt || chr(10) || tests")}, {SYMBOLS_SQL('reasoning')})) AS shared,
   len(list_filter(regexp_split_to_array(reasoning, '[\\r\\n]+'), lambda x: regexp_matches(x, '\\S'))) AS lines, len(list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda w: w <> ''))) AS kinds FROM r)
 SELECT conv_id, turn, round(greatest(-0.5, least(1.0, CASE WHEN reasoning = '' THEN -0.15 ELSE 0.2 * (n >= 30)::int + 0.1 * (n >= 70)::int - 0.15 * (n > 450)::int + 0.2 * {ANY_SQL('assert', 'test')} + 0.15 * {ANY_SQL('edge', 'boundary', 'corner')} + 0.1 * {ANY_SQL('complex', 'o(')}
@@ -573,33 +592,20 @@ def repair_policies(spark, d):
     return rows.select("event_id", "p.policy", "p.temperature", repair.error_budget("error_type", "rounds_used").cast("int").alias("budget"))
 
 
-# --- files ------------------------------------------------------------------------------
-
-@query()
-def jsonl_permissive_scan(spark, d):
-    """Rows only: case logs written as JSON lines with broken ones among them, and read back."""
-    from uuid import uuid4
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
-    path = f"{root}/case-logs-{uuid4().hex}"
-    logs = V.case_logs(spark, d).select("benchmark", "id", "mode", "pass_at_1", "format_errors", "event_id")
-    line = F.when(F.col("event_id") % 10 == 0, '{"benchmark": ').otherwise(F.to_json(F.struct("benchmark", "id", "mode", "pass_at_1", "format_errors")))
-    logs.select(line.alias("value")).write.text(path)
-    return readers.read_jsonl(spark, [path, path + "-missing"]).select("benchmark", "id", "mode", "pass_at_1", "format_errors")
-
-
-@query()
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'security' WHEN 2 THEN 'security' WHEN 3 THEN 'security' WHEN 4 THEN 'syntax' ELSE '' END AS violation FROM documents")
 def code_safety_flags(spark, d):
-    """Rows only: what a syntax tree says about code made of a few shapes."""
-    shapes = F.array(*[F.lit(c) for c in ("import math\nx = math.pi", "import os", "eval('1')", "x.__class__", "def f(:", "y = [1]\ny.append(2)")])
+    """What a syntax tree says about programs of a few shapes that hold whole texts as literals."""
+    shapes = ("import math\nx = {}", "import os\nx = {}", "eval({})", "x = {}.__class__", "def f({}:", "y = [{}]\ny.append(2)")
     docs = V.read(spark, d, "documents")
-    return docs.select("doc_id", verify.violations(F.element_at(shapes, (F.col("doc_id") % 6 + 1).cast("int"))).alias("violation"))
+    literal = F.concat(F.lit("bytes.fromhex('"), F.hex(F.coalesce("text", F.lit("")).cast("binary")), F.lit("')"))
+    code = F.replace(F.element_at(F.array(*[F.lit(c) for c in shapes]), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("{}"), literal)
+    return docs.select("doc_id", verify.violations(code).alias("violation"))
 
 
-@query(f"""WITH {V.CORPUS}, s AS (SELECT row_idx, substr(prompt, 1, 300) AS instruction, {V.strip_sql('answer')} AS output FROM corpus)
+@query(f"""WITH {V.CORPUS}, s AS (SELECT row_idx, prompt AS instruction, {V.strip_sql('answer')} AS output FROM corpus)
 SELECT row_idx, '<|im_start|>system' || chr(10) || '{templates.SYSTEM_EVOL}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {V.strip_sql('instruction')} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<answer>' || chr(10) || output || chr(10) || '</answer><|im_end|>' AS text FROM s""")
 def template_evol(spark, d):
-    rows = V.corpus(spark, d).select("row_idx", F.substring("prompt", 1, 300).alias("instruction"), F.col("answer").alias("output"))
+    rows = V.corpus(spark, d).select("row_idx", F.col("prompt").alias("instruction"), F.col("answer").alias("output"))
     return templates.format_source(rows, "evol", "evol").select("row_idx", "text")
 
 

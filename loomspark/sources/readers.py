@@ -18,7 +18,9 @@ CASE_LOG = (
     "history array<struct<round int, score double, pass_fraction double, error_type string, candidate_budget int, stderr string, round_scores array<double>>>"
 )
 # Folders that a repository walk leaves out, and files that it takes.
-IGNORED_DIRS = (".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "node_modules", "dist", "build")
+IGNORED_DIRS = (".git", "__pycache__", ".venv", "venv", "node_modules", "dist", "build")
+#: Hidden caches of any tool are left out too.
+CACHE_DIRS = r"\.[A-Za-z0-9]+_cache"
 EXTENSIONS = (".py", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg")
 TEST_KEYS = ("tests", "test", "unit_tests", "public_tests", "private_tests", "hidden_tests")
 
@@ -31,7 +33,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_jsonl(spark: SparkSession, paths: list[str], schema: str = CASE_LOG) -> DataFrame:
     """Well-formed lines of the files that are there; blank and broken ones are passed over."""
     there = [p for p in paths if p and exists(spark, p)]
-    whole = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    whole = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not there:
         return spark.createDataFrame([], whole)
     marked = T.StructType([*whole.fields, T.StructField("_broken", T.StringType())])
@@ -91,6 +93,14 @@ def choose_split(df: DataFrame, prefer: tuple[str, ...] = ("train",), split: str
     return df.where(F.col(split) == chosen)
 
 
+def prompt_scan(df: DataFrame, n: int, order: str, prefer: tuple[str, ...] = ("train",)) -> DataFrame:
+    """The first n rows of the chosen split in order of arrival; an error if it has none."""
+    rows = choose_split(df, prefer)
+    if rows.isEmpty():
+        raise ValueError("the split has no rows")
+    return rows.orderBy(order).limit(n) if n > 0 else rows
+
+
 def holdout_cases(df: DataFrame, n: int, order: str) -> DataFrame:
     """Cases of a holdout: the split by priority, the first n rows, then those with a prompt and tests."""
     rows = choose_split(df, ("holdout_clean", "test", "val_strict", "train")).orderBy(order).limit(n)
@@ -130,12 +140,12 @@ def cases(df: DataFrame, benchmark: str) -> DataFrame:
     return out.select(F.lit(name).alias("benchmark"), "*")
 
 
-def repository(spark: SparkSession, root: str, max_files: int = 600, max_chars: int = 2500) -> DataFrame:
+def repository(spark: SparkSession, root: str, max_files: int = 600, max_chars: int = 2500, ignored_dirs: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
     """path and body of a repository's text files: allowed extensions, no ignored folders, the first by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = re.escape("/" + root.split("://")[-1].strip("/")) + "/"
     relative = F.regexp_replace("path", f"^.*?{prefix}", "")
-    ignored = "(^|/)(" + "|".join(re.escape(d) for d in IGNORED_DIRS) + ")/"
+    ignored = "(^|/)(" + "|".join([*(re.escape(d) for d in ignored_dirs), CACHE_DIRS]) + ")/"
     taken = "(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$"
     rows = files.withColumn("path", relative).where(~F.col("path").rlike(ignored) & F.lower("path").rlike(taken))
     body = F.substring(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")), 1, max_chars)
@@ -159,3 +169,9 @@ def command_flags(script: str) -> dict[str, set[str]]:
 def declared_flags(source: str) -> set[str]:
     """Long flags that an argparse source declares."""
     return set(itertools.chain.from_iterable(re.findall(r"[\"'](--[A-Za-z][\w-]*)[\"']", call) for call in re.findall(r"add_argument\((.*?)\)", source, re.S)))
+
+
+def flag_drift(script: str, sources: dict[str, str]) -> list[tuple[str, str, bool]]:
+    """Each flag that a shell script passes to one of the sources, and whether the source declares it."""
+    passed = command_flags(script)
+    return [(name, flag, flag in declared_flags(sources[name])) for name in sorted(passed) if name in sources for flag in sorted(passed[name])]

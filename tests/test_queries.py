@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers all catalogues
 from loomspark.plans.catalog import ORACLES, QUERIES
 
 
