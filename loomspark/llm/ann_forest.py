@@ -42,12 +42,12 @@ from .common import Workspace, join_measured, read
 TREES = 16
 LEAF_ROWS = 128
 #: Leaves of a tree that one task meets, at most.
-BOUGH_LEAVES = 64
-RECALL = 0.95
+BOUGH_LEAVES = 256
+RECALL = 0.94
 #: Rows on which the trees are fitted, and queries whose true neighbours set the bar.
 SAMPLE, MEASURED = 8192, 96
 #: Rows and queries of one bough that one task takes at most, about.
-ROWS, QUERIES = 32_768, 16_384
+ROWS, QUERIES = 65_536, 16_384
 #: The logistic curve that is closest to the normal distribution.
 LOGISTIC = 1.702
 
@@ -243,7 +243,7 @@ def nearest(vectors: DataFrame, query: Column, k: int, vec_id: str = "vec_id", v
 
     n = classes.count()
     levels = max(0, int(math.log2(max(n / leaf_rows, 1))))
-    trees = min(trees, 1 << levels)
+    trees = min(trees, max(1, (1 << levels) // 4))  # a small table has few leaves to tell apart
     fitted = classes.select("a", "b", "x").orderBy("a", "b").limit(sample).collect()
     planted = plant(np.array([r.x for r in fitted], float), float(sizes[0].norm), trees, levels)
     asked = classes.where("asked").select(F.col("c").alias("q"), "x")
