@@ -29,31 +29,58 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared work folder: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
+    """The shared work folder: ``spark.checkpoint.dir``. A local session without it works below its warehouse; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return root.rstrip("/")
 
 
 class Workspace:
-    """Parquet tables of one operator call, each in a folder of its own below ``shared_dir``."""
+    """Parquet tables of one operator call, each in a folder of its own below ``shared_dir``.
+
+    A frame that an operator returns may read them, so they stay until ``close``, or until the
+    driver ends; ``inner`` tells which were made since a point, so that a caller that has
+    written an operator's result can close them.
+    """
+
+    made: list["Workspace"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept = False
+        Workspace.made.append(self)
+
+    @classmethod
+    def inner(cls, since: int) -> list["Workspace"]:
+        found = cls.made[since:]
+        del cls.made[since:]
+        return found
+
+    def close(self) -> None:
+        """Deletes all tables of this call."""
+        self.delete(self.root)
+
+    def delete(self, name: str, at_exit: bool = False) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.deleteOnExit(path) if at_exit else files.delete(path, True)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and returns a frame that reads it: lineage ends here."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.kept:
+            self.delete(self.root, at_exit=True)
+            self.kept = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.delete(f"{self.root}/{name}")
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of finished jobs: it acts once the driver has collected its garbage."""
@@ -156,6 +183,19 @@ def text_chunks(texts: list, max_chars: int = 400_000):
         yield start, texts[start:]
 
 
+#: Classes of letters are told for code points below this one (all scripts that have capitals).
+LETTERS = 0x20000
+
+
+def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of values[offsets[i]:offsets[i + 1]], the same whatever stands beside it; 0 where there is none."""
+    out = np.zeros(len(offsets) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[some])
+    return out
+
+
 def tidy() -> None:
     """Gives freed memory back to the system: idle Python workers share an executor with its JVM."""
     pa.default_memory_pool().release_unused()

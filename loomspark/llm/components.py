@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-ROUNDS = 40
+#: Rounds grow with the logarithm of the longest path; more than so many would mean an error.
+ROUNDS = 200
 
 
 def components(ws: Workspace, edges: DataFrame, name: str = "components") -> DataFrame:
@@ -31,5 +32,7 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't stable after {ROUNDS} rounds")
     stars = current.groupBy("u").agg(F.min("v").alias("label"))
     return stars.select(F.col("u").alias("node"), "label").union(stars.select(F.col("label").alias("node"), "label").distinct())
