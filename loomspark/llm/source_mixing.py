@@ -51,6 +51,11 @@ def targets(sources: DataFrame, weights, share: float, cap: int) -> DataFrame:
     return weighed.withColumn("target", F.coalesce(F.least(most, level * F.col("w")), most)).select("_s", "source_size", "target")
 
 
+def exact(x):
+    """A sum that doesn't depend on the order of rows."""
+    return F.sum(x.cast("decimal(38,6)")).cast("double")
+
+
 def solve_dual(ws: Workspace, hist: DataFrame, sources: DataFrame, n_sources: int, cap: int, steps: int) -> DataFrame:
     """_s and lam: Newton steps on the logarithm of each source's tokens, bisecting where a step leaves its bracket."""
     top = math.log(cap)
@@ -63,7 +68,7 @@ def solve_dual(ws: Workspace, hist: DataFrame, sources: DataFrame, n_sources: in
         z = F.col("size") / F.col("mean")
         tokens = F.col("n") * F.col("size") * F.exp(F.least(F.col("lam") * z, F.lit(top)))
         slope = F.when(F.col("lam") * z < top, tokens * z).otherwise(0.0)
-        sums = join_measured(hist, state.where("NOT done"), "_s", "inner", n_sources).groupBy("_s").agg(F.sum(tokens).alias("g"), F.sum(slope).alias("h"))
+        sums = join_measured(hist, state.where("NOT done"), "_s", "inner", n_sources).groupBy("_s").agg(exact(tokens).alias("g"), exact(slope).alias("h"))
         state = join_measured(state, sums, "_s", "left", n_sources)
         under = F.col("g") < F.col("target")
         low, high = F.when(under, F.col("lam")).otherwise(F.col("low")), F.when(under, F.col("high")).otherwise(F.col("lam"))

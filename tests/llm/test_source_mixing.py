@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -58,3 +59,24 @@ def test_awkward_rows(spark):
         assert all(r.taken == 0 for r in rows if r.size == 0)
         assert mix_sources(table(spark, []), keep_text=keep).count() == 0
     assert set(out.columns) >= {"text", "_uid", "label"}
+
+
+def test_rates_against_a_plain_convex_solve(spark, tiny):
+    """The tilt of each source by bisection over its documents; reruns on other partitions agree to the last bit."""
+    out = op4_source_mixing(spark, tiny).collect()
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "source").collect()}
+    by_source = defaultdict(list)
+    for r in out:
+        by_source[docs[r.doc_id]].append(r)
+    for rows in by_source.values():
+        mean, target = sum(r.size for r in rows) / len(rows), rows[0].target
+        if target >= 2 * rows[0].source_size:
+            continue
+        low, high = -60.0 * mean, 60.0 * mean
+        total = lambda lam: sum(r.size * min(2.0, math.exp(min(lam * r.size / mean, 1))) for r in rows)
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if total(mid) < target else (low, mid)
+        assert all(r.rate == pytest.approx(min(2.0, math.exp(min(low * r.size / mean, 1))), rel=1e-5) for r in rows if r.size)
+    again = mix_sources(spark.read.parquet(f"{tiny}/documents.parquet").repartition(7)).select("doc_id", "rate", "taken")
+    assert {(r.doc_id, r.rate, r.taken) for r in again.collect()} == {(r.doc_id, r.rate, r.taken) for r in out}
