@@ -6,8 +6,8 @@ kept, with a mark on a word that repeats the one before). Indicators are hashed,
 the log-count ratio of the two classes, and a linear hinge-loss model is fitted by dual
 coordinate descent; a sigmoid fitted on rows kept from training turns margins into scores.
 
-The model is fitted on at most ``max_train`` labelled rows, chosen by a hash of the id; all
-documents are scored, each whole.
+The model is fitted on at most about ``max_train`` labelled rows, chosen by a hash of the id, of
+MAX_INDICATORS indicators together; all documents are scored, each whole.
 
 Edge cases: null and empty texts have no indicators and get the intercept's score; rows with
 null labels or ids teach nothing; if only one class (or none) is labelled every score is that
@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import code_points, mix64, read, shingle_hashes, slices, span_hashes, text_chunks, word_spans
+from .common import LETTERS, Workspace, code_points, join_measured, mix64, read, shingle_hashes, slices, span_hashes, summed, text_chunks, word_spans
 
 BITS = 18
 MAX_TRAIN = 8_000
+#: Indicators of all training rows together, 4 bytes each on the driver: rows beyond aren't learned from.
+MAX_INDICATORS = 40_000_000
 EPOCHS = 12
 
 _shape = np.arange(0x110000, dtype=np.uint32)
-for _c in range(0x250):
+for _c in range(LETTERS):
     if chr(_c).isalpha():
         _shape[_c] = 65 if chr(_c).isupper() else 97
     elif chr(_c).isdigit():
@@ -79,10 +81,8 @@ class Model:
     intercept: float
 
     def margins(self, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n = np.diff(offsets)
-        sums = np.diff(np.concatenate(([0.0], np.cumsum(self.weights[0][features])))[offsets])
-        norms = np.sqrt(np.diff(np.concatenate(([0.0], np.cumsum(self.weights[1][features])))[offsets]))
-        return np.where(n > 0, sums / np.maximum(norms, 1e-12), 0.0) + self.bias
+        sums, norms = (summed(w[features], offsets) for w in self.weights)
+        return sums / np.maximum(np.sqrt(norms), 1e-12) + self.bias
 
     def scores(self, features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(features, offsets) + self.intercept, -30, 30)))
@@ -155,7 +155,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, la
     labels = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(doc_id, label)
     share = max_train / max(labels.count(), 1)
     chosen = labels.where(F.pmod(F.xxhash64(doc_id, F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * min(share, 1.0)))
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("d"), F.col(label).alias("y"), indicators_udf(F.coalesce(F.col(text), F.lit(""))).alias("x")).collect()
+    ws = Workspace(docs.sparkSession, "quality-classifier")
+    joined = join_measured(docs.select(doc_id, text), chosen, doc_id, "inner", chosen.count())
+    rows = ws.save(joined.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("d"), F.col(label).alias("y"), indicators_udf(F.coalesce(F.col(text), F.lit(""))).alias("x")), "train")
+    total, last = 0, None
+    for h, size in sorted(rows.groupBy("h").agg(F.sum(F.octet_length("x")).alias("size")).collect()):  # at most about max_train rows
+        total += size // 4
+        if total > MAX_INDICATORS and last is not None:
+            break
+        last = h
+    rows = rows.where(F.col("h") <= last).collect() if last is not None else []
     rows.sort(key=lambda r: (r.h, r.d, r.x))
     return fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([r.y for r in rows], np.int64))
 
