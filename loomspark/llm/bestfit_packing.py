@@ -35,6 +35,7 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 10
+MOST_TASKS = 20_000
 
 _workers: dict[str, ByteBPE] = {}
 
@@ -198,7 +199,8 @@ def pack_documents(
                     numbers, fewer, filled = evolve(row["sizes"], capacity, seed, row["elites"] or [])
                     yield pa.RecordBatch.from_pydict({"block": [row["block"]], "island": [row["island"]], "numbers": [numbers], "fewer": [fewer], "filled": [float(filled)]}, schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("numbers", pa.binary()), ("fewer", pa.int32()), ("filled", pa.float64())]))
 
-        spread = state.select("block", "island", "sizes", "elites").repartition("block", "island")
+        # a number of partitions that stays: by bytes, many islands would be one task
+        spread = state.select("block", "island", "sizes", "elites").repartition(min(blocks * islands, MOST_TASKS), "block", "island")
         evolved = ws.save(spread.mapInArrow(live, "block bigint, island int, numbers binary, fewer int, filled double"), f"epoch{epoch}")
         if epoch < epochs - 1:  # each island keeps its own elite and takes in its neighbour's
             theirs = evolved.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.struct(F.lit(1).alias("k"), "numbers").alias("e"))

@@ -19,6 +19,8 @@ from .common import code_points, span_hashes, text_chunks
 #: Fixed value: the pre-token pattern of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_SIZE = 200_000
+#: Longer pre-tokens are encoded each time, so that a cache of so many entries is bounded in bytes, too.
+LONGEST_CACHED = 64
 _KNOWN = 0x250
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 
@@ -81,8 +83,10 @@ class ByteBPE:
         found = list(map(self.cache.get, pieces))
         for i, known in enumerate(found):
             if known is None:
-                ids = self.merges._encode_single_piece(pieces[i])
-                found[i] = self.cache[pieces[i]] = struct.pack(f"<{len(ids)}I", *ids)
+                ids = self.merges.encode_ordinary(pieces[i])
+                found[i] = struct.pack(f"<{len(ids)}I", *ids)
+                if len(pieces[i]) <= LONGEST_CACHED:
+                    self.cache[pieces[i]] = found[i]
         return found
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
