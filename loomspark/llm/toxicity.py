@@ -6,8 +6,11 @@ within one edit (insertion, deletion, substitution, or swap of neighbours) of a
 product of the trie with an edit counter; its states are made when first met and kept, so a
 word costs one table look-up per character and most words die within a few.
 
-Each hit is weighed by the words around it: quotation marks and words of reporting lower it,
-words of address raise it. A logistic model over the weighed counts gives the score.
+Each hit is weighed by its context: whether it stands within quotation marks (spans from an
+opening to a closing sign; an apostrophe within a word is none), near words of reporting, near
+words of address. What each context weighs is learned from the labelled rows, starting from a
+prior. Letters set apart by signs (i-d-i-o-t) are read together. A logistic model over the
+weighed counts gives the score.
 
 Edge cases: null and empty texts have no hits and get the score of a text without hits; rows
 with null labels or ids teach nothing; with no toxic label every score is near 0, with no clean
@@ -27,17 +30,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, slices
+from .common import Workspace, join_measured, read, slices
 from .quality_classifier import held_out
 
+#: Labelled rows to learn from, at most about; they bound the lexicon, too.
 MAX_TRAIN = 12_000
-MAX_LEXICON = 500
+#: Letters of the shortest stem, and of the longest beginning that may become one.
 SHORTEST, LONGEST = 4, 16
 CONTEXT = 5
 CACHE_SIZE = 400_000
+#: Longer words are looked up each time, so that the memory of so many words is bounded in bytes, too.
+LONGEST_CACHED = 64
 _WORD = re.compile(r"[@$*!]*[^\W_]+(?:[@$*!'’-]+[^\W_]+)*")
 _LETTERS = re.compile(r"[^\W_]+")
-_QUOTES = "\"“”„«»‘’`"
+#: Single letters (or signs for them) set apart by signs.
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_@$!]|[@$!0-9])(?:[-.*_·]+(?:[^\W\d_]|[@$!0-9])(?![^\W_])){3,}")
+_SIGNS = str.maketrans({"@": "a", "$": "s", "!": "i"})
+#: Opening signs of quotations with the signs that close them, and the most words that one spans.
+_QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "`": "`"}
+QUOTED_WORDS = 100
+_MARKS = ".,;:!?()[]{}<>…-—–"
 #: Words of reporting and of address, in the languages of the tables.
 _REPORTING = set("said says wrote word words term quote quoted called quotes phrase reported sagte schrieb wort zitat dit mot terme cité dijo palabra término cita".split())
 _ADDRESS = set("you your you're u ur du dein deine sie ihr tu vous votre ton ta tú usted ustedes".split())
@@ -126,6 +138,25 @@ class Automaton:
 FEATURES = ["any", "amount", "kinds", "rate"]
 #: How much a near hit of a stem counts for its trust if clean documents have it.
 DISTRUST = 50.0
+#: What a hit weighs before anything is learned: less when quoted or reported, more when addressed to someone.
+PRIOR = {(q, r, a): max(1.0 - 0.6 * q - 0.3 * r + 0.3 * a, 0.1) for q in (0, 1) for r in (0, 1) for a in (0, 1)}
+#: The prior counts as so many documents of each context.
+PRIOR_DOCS = 20
+
+
+def quotations(words: list[str]) -> list[bool]:
+    """Which words stand between an opening and a closing quotation sign; one that isn't closed within QUOTED_WORDS opens nothing."""
+    inside, start, close = [False] * len(words), -1, ""
+    for i, word in enumerate(words):
+        body = word.strip(_MARKS)
+        if start >= 0 and i - start > QUOTED_WORDS:
+            start = -1
+        if start < 0 and body and body[0] in _QUOTES:
+            start, close, body = i, _QUOTES[body[0]], body[1:]
+        if start >= 0 and body and body.rstrip(_MARKS)[-1:] and body.rstrip(_MARKS)[-1] in close:
+            inside[start : i + 1] = [True] * (i + 1 - start)
+            start = -1
+    return inside
 
 
 @dataclass
@@ -134,6 +165,7 @@ class ToxicityModel:
 
     stems: dict[str, float]
     trust: dict[tuple[str, bool], float] = field(default_factory=dict)
+    contexts: dict[tuple[int, int, int], float] = field(default_factory=lambda: dict(PRIOR))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
 
 
@@ -146,8 +178,24 @@ class Scorer:
         self.clean: set[str] = set()
         self.dirty: dict[str, tuple[str, int, int]] = {}
 
+    def look_up(self, word: str) -> tuple[str, int, int] | None:
+        """The best hit in one word: in its parts, in the whole with signs as letters, in letters set apart."""
+        best = None
+        forms = [p for whole in _WORD.findall(word) for p in (whole.lstrip("@$*!"), whole)]  # a sign before a word may stand for its first letter
+        forms += [piece for whole in _WORD.findall(word) if "-" in whole for piece in whole.split("-") if len(piece) >= SHORTEST]
+        forms += ["".join(c for c in m[0] if c not in "-.*_·") for m in _SPACED.finditer(word)]
+        for form in dict.fromkeys(forms):
+            found = self.automaton.match(form.translate(_SIGNS))
+            if found and (best is None or found[1] < best[1]):
+                best = found
+        return best
+
     def hits(self, text: str) -> list[tuple[str, int, int, float]]:
         """(stem, edits, letters after it, context weight) of each hit in order."""
+        return [(stem, edits, after, self.model.contexts[context]) for stem, edits, after, context in self.found(text)]
+
+    def found(self, text: str) -> list[tuple[str, int, int, tuple[int, int, int]]]:
+        """(stem, edits, letters after it, context) of each hit in order."""
         words = text.lower().split()
         kinds = set(words)
         new = kinds - self.clean
@@ -155,28 +203,26 @@ class Scorer:
             self.clean = set()
         if len(self.dirty) > self.cache_size:
             self.dirty = {}
-        for w in new - self.dirty.keys():
-            best = None
-            for part in (p for whole in _WORD.findall(w) for p in dict.fromkeys((whole.lstrip("@$*!"), whole))):  # a sign before a word may stand for its first letter
-                found = self.automaton.match(_LETTERS.sub(lambda m: m[0], part).replace("@", "a").replace("$", "s").replace("!", "i"))
-                if found and (best is None or found[1] < best[1]):
-                    best = found
+        own: dict[str, tuple[str, int, int]] = {}
+        for w in new:
+            best = self.dirty.get(w) or self.look_up(w)
             if best:
-                self.dirty[w] = best
-            else:
-                self.clean.add(w)
-        if not (kinds & self.dirty.keys()):
+                own[w] = best
+            if len(w) <= LONGEST_CACHED:
+                if best:
+                    self.dirty[w] = best
+                else:
+                    self.clean.add(w)
+        if not own:
             return []
-        return [(*self.dirty[w], self.context(words, i)) for i, w in enumerate(words) if w in self.dirty]
+        quoted = quotations(words)
+        return [(*own[w], self.context(words, i, quoted[i])) for i, w in enumerate(words) if w in own]
 
     @staticmethod
-    def context(words: list[str], i: int) -> float:
-        near = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-        plain = {w.strip(".,;:!?()" + _QUOTES) for w in near}
-        opened = any(q in w for q in _QUOTES for w in words[max(0, i - CONTEXT) : i + 1])
-        closed = any(q in w for q in _QUOTES for w in words[i : i + CONTEXT + 1])
-        weight = 1.0 - 0.6 * (opened and closed) - 0.3 * bool(plain & _REPORTING) + 0.3 * bool(plain & _ADDRESS)
-        return max(weight, 0.1)
+    def context(words: list[str], i: int, quoted: bool) -> tuple[int, int, int]:
+        """Whether a word is quoted, near words of reporting, near words of address."""
+        plain = {w.strip(_MARKS + "".join(_QUOTES) + "”’") for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
+        return int(quoted), int(bool(plain & _REPORTING)), int(bool(plain & _ADDRESS))
 
     def features(self, text: str) -> list[float]:
         total, best = 0.0, {}
@@ -198,7 +244,7 @@ def beginnings(text: str) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def learn_lexicon(rows: DataFrame, max_lexicon: int) -> tuple[dict[str, float], int, int]:
+def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], int, int]:
     """Stems with their weight (0 to 1) from (t, y) rows, and the rows of either class."""
 
     def tally(batches):
@@ -219,7 +265,7 @@ def learn_lexicon(rows: DataFrame, max_lexicon: int) -> tuple[dict[str, float],
     least = max(3, n_toxic // 200)
     odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * n_clean / n_toxic
     counted = rows.mapInArrow(tally, "stem string, clean bigint, toxic bigint").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = counted.where((F.col("toxic") >= least) & (odds >= 20)).orderBy(F.desc("toxic"), "stem").limit(20_000).collect()
+    found = counted.where((F.col("toxic") >= least) & (odds >= 20)).collect()  # as many as the training rows allow
     toxic = {r.stem: r.toxic for r in found}
     clean = {r.stem: r.clean for r in found}
     stems: dict[str, float] = {}
@@ -229,7 +275,7 @@ def learn_lexicon(rows: DataFrame, max_lexicon: int) -> tuple[dict[str, float],
         while longer := [s for s in toxic if len(s) == len(stem) + 1 and s.startswith(stem) and toxic[s] >= 0.9 * toxic[stem]]:
             stem = max(longer, key=toxic.get)
         stems[stem] = toxic[stem] / (toxic[stem] + clean[stem] * n_toxic / n_clean)
-    return dict(sorted(stems.items(), key=lambda x: -toxic[x[0]])[:max_lexicon]), n_clean, n_toxic
+    return stems, n_clean, n_toxic
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -253,6 +299,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
     return out
 
 
+def learn_contexts(rows: DataFrame, model: ToxicityModel, n_clean: int, n_toxic: int) -> dict[tuple[int, int, int], float]:
+    """What a hit weighs in each context: how much likelier than elsewhere a document with it there is toxic, from the prior on."""
+
+    def tally(batches):
+        scorer, counts = Scorer(model), {}
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for key in {context for _, edits, _, context in scorer.found(t) if not edits}:
+                    counts.setdefault(key, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], pa.int32()) for i in range(3)), *(pa.array([v[y] for v in counts.values()], pa.int64()) for y in (0, 1))], names=["q", "r", "a", "clean", "toxic"])
+
+    found = rows.mapInArrow(tally, "q int, r int, a int, clean bigint, toxic bigint").groupBy("q", "r", "a").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    share = {(x.q, x.r, x.a): (x.toxic, x.toxic + x.clean * n_toxic / n_clean) for x in found}
+    base = sum(t for t, _ in share.values()) / max(sum(n for _, n in share.values()), 1e-9)
+    out = {}
+    for key, prior in PRIOR.items():
+        toxic, n = share.get(key, (0, 0))
+        rate = (toxic + PRIOR_DOCS * min(prior * base, 1.0)) / (n + PRIOR_DOCS)
+        out[key] = min(max(rate / max(base, 1e-9), 0.1), 1.5)
+    return out
+
+
 def learn_trust(rows: DataFrame, model: ToxicityModel, n_clean: int, n_toxic: int) -> dict[tuple[str, bool], float]:
     """A stem's hits with an edit are trusted as far as clean documents lack them."""
 
@@ -274,18 +342,20 @@ def learn_trust(rows: DataFrame, model: ToxicityModel, n_clean: int, n_toxic: in
     return {k: exact.get(k[0], 0) / max(exact.get(k[0], 0) + DISTRUST * v, 1e-9) for k, v in near.items()}
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, max_train: int, max_lexicon: int) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, max_train: int) -> ToxicityModel:
     """labels: rows to learn from. At most about max_train of them, by a hash of the id, are used."""
     labels = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(doc_id, label)
     share = max_train / max(labels.count(), 1)
     chosen = labels.where(F.pmod(F.xxhash64(doc_id, F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * min(share, 1.0)))
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    stems, n_clean, n_toxic = learn_lexicon(rows, max_lexicon)
+    rows = join_measured(docs.select(doc_id, text), chosen, doc_id, "inner", chosen.count()).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
+    rows = Workspace(docs.sparkSession, "toxicity").save(rows, "train")
+    stems, n_clean, n_toxic = learn_lexicon(rows)
     model = ToxicityModel(stems)
     if not n_clean or not n_toxic:
         model.weights[0] = math.log((n_toxic + 0.5) / (n_clean + 0.5))
         return model
 
+    model.contexts = learn_contexts(rows, model, n_clean, n_toxic)
     model.trust = learn_trust(rows, model, n_clean, n_toxic)
 
     def measure(batches):
@@ -305,10 +375,10 @@ _workers: dict[str, Scorer] = {}
 
 
 def score_toxicity(
-    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN, max_lexicon: int = MAX_LEXICON, score: str = "score",
+    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN, score: str = "score",
 ) -> DataFrame:
     """df with a score from 0 to 1: how likely the label is 1."""
-    model = train_toxicity(df, labels, text, doc_id, label, max_train, max_lexicon)
+    model = train_toxicity(df, labels, text, doc_id, label, max_train)
     sent, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf(T.DoubleType())

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from loomspark.llm.quality_classifier import fit, op6_quality_classifier, score_quality
-from loomspark.llm.toxicity import Automaton, Scorer, ToxicityModel, op3_toxicity, score_toxicity
+from loomspark.llm.toxicity import PRIOR, Automaton, Scorer, ToxicityModel, op3_toxicity, quotations, score_toxicity, train_toxicity
 
 from .helpers import awkward, table
 
@@ -46,6 +46,34 @@ def test_quotation_weighs_less_than_abuse():
     assert quoted < plain < abuse
 
 
+def test_quotation_spans():
+    assert quotations('a "b c" d'.split()) == [False, True, True, False]
+    assert quotations("you’re such a moron, don’t".split()) == [False] * 5
+    assert quotations("« un deux » trois “x” y".split()) == [True, True, True, True, False, True, False]
+    assert quotations('he said "never closed at all'.split()) == [False] * 6
+    assert quotations(("“x, y.” (z) " + '"' + "w " * 200 + '"').split())[:3] == [True, True, False]
+    s = Scorer(ToxicityModel({"moron": 1.0}))
+    assert s.found("you’re such a moron, don’t")[0][3] == (0, 0, 0) and s.found("you are «a moron»")[0][3] == (1, 0, 1)
+
+
+def test_letters_set_apart():
+    s = Scorer(ToxicityModel({"idiot": 1.0, "scum": 1.0}))
+    for word in ("i-d-i-o-t", "i.d.i.o.t!", "s_c_u_m", "$-c-u-m", "total-idiot", "i*d*i*o*t"):
+        assert [h[1] for h in s.hits(f"a {word} here")] == [0], word
+    for text in ("a-b-c-d-e-f", "e.g. u.s.a. and so on", "well-known"):
+        assert s.hits(text) == [], text
+
+
+def test_contexts_are_learned(spark):
+    """Words of reporting stand beside the term in toxic texts only, so they don't excuse it; quotations keep their prior."""
+    rows = [(i, f"the word was scumbag again {i}", 1) for i in range(80)] + [(100 + i, f"what a scumbag that is {i}", 1) for i in range(20)] + [(1000 + i, f"a quiet day {i}", 0) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = train_toxicity(docs, labels, "text", "doc_id", "toxic", 1000)
+    assert any("scumbag".startswith(s) for s in model.stems)
+    assert PRIOR[0, 1, 0] < 0.85 < model.contexts[0, 1, 0] and model.contexts[1, 0, 0] == PRIOR[1, 0, 0]
+
+
 def held(doc_id, mod, rest):
     return zlib.crc32(str(doc_id).encode()) % mod == rest
 
