@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from hashlib import sha256
@@ -21,9 +22,13 @@ def featurise(df: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> Dat
 
 
 def predict(df: DataFrame, key: str, text: str, weights: DataFrame, bias: float, buckets: int = BUCKETS) -> DataFrame:
-    """key and score: the weights are one row per bucket, so their size is bounded by the number of buckets."""
-    found = featurise(df, key, text, buckets).join(F.broadcast(weights), "bucket").groupBy(key).agg(F.sum(F.col("weight") * F.col("value")).alias("dot"))
-    return df.select(key).join(found, key, "left").select(key, sigmoid(F.coalesce("dot", F.lit(0.0)) + bias).alias("score"))
+    """key and score, without a shuffle: a row's own buckets meet the weights as one literal array, whose size is the number of buckets."""
+    table = [0.0] * buckets
+    for r in weights.collect():
+        table[r.bucket] = r.weight
+    array = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    dot = F.aggregate(features(text, buckets), F.lit(0.0), lambda total, b: total + F.get(array, b))
+    return df.select(key, sigmoid(F.coalesce(dot, F.lit(0.0)) + bias).alias("score"))
 
 
 def record_text(prompt, error_type, history, tests, code) -> Column:

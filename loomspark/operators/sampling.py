@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import SEED, hash8, hash_order
+from loomspark.sources.work import Work
 
 # Default shares of source categories.
 DEFAULT_WEIGHTS = {"code": 0.55, "repo": 0.30, "reasoning": 0.15}
@@ -94,20 +95,15 @@ def mix_by_category(df: DataFrame, category: str, weights: dict[str, float], row
     if all(quotas[c] == counts[c] for c in counts):
         return df
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(seeded(row_key, seed), row_key))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= quota[F.col(category)]).drop("_rank")
+    return first_of_each(df, category, [seeded(row_key, seed), F.col(row_key)], quota[F.col(category)])
 
 
 def share_cap(df: DataFrame, by: str, share: float, score: str, order: str, total: int | None = None) -> DataFrame:
     """At most share of all rows (one at least) of each key, hardest first; total: the share's base where it isn't df's own size."""
     if share <= 0 or share >= 1:
         return df
-    n = F.lit(total) if total is not None else F.count("*").over(Window.partitionBy())
-    if total is None:  # a one-row aggregate, joined, keeps the rows distributed
-        df = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
-        n = F.col("_n")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(n * share))).drop("_rank", "_n")
+    n = df.count() if total is None else total
+    return first_of_each(df, by, [-F.col(score), F.col(order)], F.lit(max(1, int(n * share))))
 
 
 def replicate(df: DataFrame, copies: Column, number: str = "copy") -> DataFrame:
@@ -115,16 +111,43 @@ def replicate(df: DataFrame, copies: Column, number: str = "copy") -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Exact order statistics: values at 0-based places computed from n.
+    """Exact order statistics: values at 0-based places computed from n (and the keys); null where there are fewer.
 
-    Values are counted first and ranked by running counts, so only distinct values are ever sorted together.
+    Distinct values are counted and dealt by ranges of keys and value, each range is ranked alone, and the ranges'
+    totals (one row per range and key) say how many values come before. So no task sorts a whole key.
     """
     keys = by or []
     counts = df.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    whole = Window.partitionBy(*keys)
-    counts = counts.withColumns({"upto": F.sum("c").over(whole.orderBy("v")), "n": F.sum("c").over(whole)})
+    ranged = counts.repartitionByRange(*keys, "v").withColumn("_range", F.spark_partition_id())
+    counts = Work(df.sparkSession, "order-statistics").save(ranged, "counts")
+    totals = counts.groupBy("_range", *keys).agg(F.sum("c").alias("_t"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_t").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("_range", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], before.alias("_before"), F.sum("_t").over(whole).alias("n"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = counts.join(totals.withColumnRenamed("_range", "_r"), same)
+    rows = rows.withColumn("upto", F.col("_before") + F.sum("c").over(Window.partitionBy("_range", *keys).orderBy("v")))
     at = {name: F.min(F.when(F.col("upto") > place, F.col("v"))).alias(name) for name, place in places.items()}
-    return counts.groupBy(*keys).agg(*at.values(), F.first("n").alias("n"))
+    return rows.groupBy(*keys).agg(*at.values(), F.first("n").alias("n"))
+
+
+def first_of_each(df: DataFrame, by: str | None, order: list[Column], most: Column) -> DataFrame:
+    """The first ``most`` rows (a column of the key, n and whatever df's rows of a key agree in) of each key by an order without ties.
+
+    The last place's value is found by ranges, then rows are compared with it: a key that holds most rows is never sorted in one task.
+    """
+    placed = df.withColumn("_place", F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]))
+    keys = [by] if by else []
+    cuts = order_statistics(placed, "_place", {"_cut": most - 1}, keys)
+    cuts = cuts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_cut", most.alias("_most"))
+    if by:
+        placed = placed.join(cuts, F.col(by).eqNullSafe(F.col("_key0"))).drop("_key0")
+    else:
+        placed = placed.crossJoin(F.broadcast(cuts))
+    kept = (F.col("_most") > 0) & (F.col("_cut").isNull() | (F.col("_place") <= F.col("_cut")))
+    return placed.where(kept).drop("_place", "_cut", "_most")
 
 
 def gap_copies(df: DataFrame, weight: str, most: float = 4.0) -> DataFrame:
@@ -137,14 +160,16 @@ def gap_copies(df: DataFrame, weight: str, most: float = 4.0) -> DataFrame:
 
 def upsample(df: DataFrame, priority: Column, boost: float, row_key: str, seed: int = SEED) -> DataFrame:
     """Priority rows again: whole cycles of all of them, then the first by hash order, round((boost - 1) * n) in all."""
-    n = F.broadcast(df.agg(F.count_if(priority).alias("_n")))
-    rows = df.crossJoin(n).withColumn("_extra", F.bround((boost - 1.0) * F.col("_n")).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(seeded(row_key, seed), row_key))
-    chosen = rows.withColumn("_p", priority).where("_p").withColumn("_rank", rank)
-    again = F.floor(F.col("_extra") / F.col("_n")) + F.when(F.col("_rank") <= F.col("_extra") % F.col("_n"), 1).otherwise(0)
-    more = chosen.withColumn("_again", again).where("_again > 0")
-    more = replicate(more, F.col("_again").cast("int")).select(*df.columns, "copy")
-    return df.withColumn("copy", F.lit(0)).unionByName(more)
+    chosen = df.where(priority)
+    n = chosen.count()
+    extra = round((boost - 1.0) * n)
+    out = df.withColumn("copy", F.lit(0))
+    cycles, rest = divmod(extra, n) if n else (0, 0)
+    if cycles > 0:
+        out = out.unionByName(replicate(chosen, F.lit(cycles)))
+    if rest > 0:
+        out = out.unionByName(first_of_each(chosen, None, [seeded(row_key, seed), F.col(row_key)], F.lit(rest)).withColumn("copy", F.lit(cycles + 1)))
+    return out
 
 
 def eval_size(n: int, fraction: float) -> int:
@@ -153,10 +178,10 @@ def eval_size(n: int, fraction: float) -> int:
 
 
 def train_eval_split(df: DataFrame, fraction: float, row_key: str, seed: int = SEED) -> DataFrame:
-    """df with split: the first rows by hash order are eval. The cut is one key, found by a top-n."""
+    """df with split: the first rows by hash order are eval. The cut is one key, found by ranges."""
     n = eval_size(df.count(), fraction)
     if not n:
         return df.withColumn("split", F.lit("train"))
-    cut = df.select(seeded(row_key, seed).alias("_h"), F.col(row_key).alias("_k")).orderBy("_h", "_k").limit(n).agg(F.max(F.struct("_h", "_k")).alias("_cut"))
     here = F.struct(seeded(row_key, seed).alias("_h"), F.col(row_key).alias("_k"))
+    cut = order_statistics(df.select(here.alias("_here")), "_here", {"_cut": F.lit(n - 1)}).select("_cut")
     return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(here <= F.col("_cut"), "eval").otherwise("train")).drop("_cut")
