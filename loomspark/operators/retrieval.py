@@ -60,11 +60,12 @@ def by_tasks(docs: DataFrame, asked: DataFrame, symbols: DataFrame, k: int) -> D
     paths = asked.select("query", "term").collect()
     sent = docs.sparkSession.sparkContext.broadcast((
         Postings([(r.term, number[r["query"]], r.weight) for r in rows]), Postings([(r.term, number[r["query"]], PATH_BONUS) for r in paths]), Postings([(r.s, number[r["query"]], SYMBOL_BONUS) for r in marks])))
-    n = len(names)
+    n, kind = len(names), docs.schema["doc"].dataType.simpleString()
 
     def score(batches):
-        best = Best(n, k)
+        best, docs_type = Best(n, k), pa.int64()
         for batch in batches:
+            docs_type = batch.column(0).type
             step = max(1, 4_000_000 // max(n, 1))
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
@@ -73,10 +74,10 @@ def by_tasks(docs: DataFrame, asked: DataFrame, symbols: DataFrame, k: int) -> D
                 norm = K1 * (1.0 - B + B * lengths / mean_len)
                 for column, table, part in ((1, sent.value[0], lambda tf, d: tf * (K1 + 1.0) / (tf + norm[d])), (3, sent.value[1], lambda tf, d: tf), (4, sent.value[2], lambda tf, d: tf)):
                     table.add(scores, some.column(column), part)
-                best.take(some.column(0).to_numpy(), np.round(scores, 9))
-        yield best.batch()
+                best.take(some.column(0).to_numpy(zero_copy_only=False), np.round(scores, 9))
+        yield best.batch(docs_type)
 
-    found = docs.select("doc", "terms", "doc_len", "path_terms", "symbols").mapInArrow(score, "_q int, doc bigint, score double")
+    found = docs.select("doc", "terms", "doc_len", "path_terms", "symbols").mapInArrow(score, f"_q int, doc {kind}, score double")
     labels = docs.sparkSession.createDataFrame([(i, name) for i, name in enumerate(names)], T.StructType([T.StructField("_q", T.IntegerType()), asked.schema["query"]]))
     return found.join(F.broadcast(labels), "_q").select("query", "doc", "score")
 
@@ -109,7 +110,7 @@ class Best:
     """The k best documents of each query so far: by score, then document."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.docs, self.scores = k, [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
+        self.k, self.docs, self.scores = k, [None] * n, [np.zeros(0)] * n
 
     def take(self, docs: np.ndarray, scores: np.ndarray) -> None:
         for q in range(scores.shape[1]):
@@ -117,14 +118,14 @@ class Best:
             least = self.scores[q][-1] if len(self.scores[q]) == self.k else 0.0
             some = np.flatnonzero((own > 0) & (own >= least))
             if len(some):
-                d, s = np.concatenate((self.docs[q], docs[some])), np.concatenate((self.scores[q], own[some]))
-                order = np.lexsort((d, -s))[: self.k]
+                d, s = docs[some] if self.docs[q] is None else np.concatenate((self.docs[q], docs[some])), np.concatenate((self.scores[q], own[some]))
+                order = np.lexsort((np.unique(d, return_inverse=True)[1], -s))[: self.k]
                 self.docs[q], self.scores[q] = d[order], s[order]
 
-    def batch(self) -> pa.RecordBatch:
-        sizes = [len(d) for d in self.docs]
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)), pa.array(flat(self.docs, np.int64)), pa.array(flat(self.scores, float))], names=["_q", "doc", "score"])
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        found = [(q, d.tolist(), s.tolist()) for q, (d, s) in enumerate(zip(self.docs, self.scores)) if d is not None]
+        columns = [q for q, d, _ in found for _ in d], [x for _, d, _ in found for x in d], [x for _, _, s in found for x in s]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), kind, pa.float64()))], names=["_q", "doc", "score"])
 
 
 def by_joins(docs: DataFrame, asked: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Bootstrap intervals and sign-flip tests with a hash as random numbers.
 
-Draw i of replicate r is row sha256(seed|r|i) modulo n: the same in any engine and on any
-cluster. Values are indexed 0..n-1 by a stated order and written once; up to a counted number
+Draw i of replicate r is row h modulo n, where h is word r mod 8 (eight hexadecimal digits) of
+sha256(seed|r div 8|i); sign i of replicate r is the parity of digit r mod 64 of
+sha256(seed|flip|r div 64|i): the same in any engine and on any cluster. Values are indexed 0..n-1 by a stated order and written once; up to a counted number
 of them the table of values goes to every task, so that the replicates times rows draws are
 never shuffled, beyond it draws and values are joined by index.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import SEED, hash8
+from loomspark.functions.text import SEED
 from loomspark.sources.work import Work
 
 #: Values (some 40 bytes each) up to which their table is broadcast.
@@ -28,10 +29,12 @@ def indexed(values: DataFrame, order: list[str], by: str | None = None) -> DataF
 def replicates(values: DataFrame, samples: int, seed: int, by: str | None, draw) -> DataFrame:
     """(by, rep, mean) of each replicate; draw: an aggregate over value after the rows are drawn."""
     keys = [by] if by else []
-    reps = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep")
-    grid = values.select(*keys, "n", F.col("idx").alias("i"), reps)
-    parts = [F.lit(seed), *([F.col(by)] if by else []), F.col("rep"), F.col("i")]
-    grid = grid.withColumn("idx", (hash8(F.concat_ws("|", *[p.cast("string") for p in parts])) % F.col("n")).cast("int"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 8))).alias("block")
+    parts = [F.lit(seed), *([F.col(by)] if by else []), F.col("block"), F.col("idx")]
+    grid = values.select(*keys, "n", "idx", blocks).select(*keys, "n", "block", F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256).alias("h"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(F.col("h"), 8 * j + 1, F.lit(8)), 16, 10).cast("bigint"))
+    grid = grid.select(*keys, "n", "block", F.posexplode(words).alias("j", "w")).withColumn("rep", 8 * F.col("block") + F.col("j"))
+    grid = grid.where(F.col("rep") < samples).withColumn("idx", (F.col("w") % F.col("n")).cast("int"))
     drawn = values.select(*keys, "idx", "value")
     return grid.join(F.broadcast(drawn) if values.count() <= BROADCAST_VALUES else drawn, [*keys, "idx"]).groupBy(*keys, "rep").agg(draw.alias("mean"))
 
@@ -80,9 +83,11 @@ def sign_flip(diffs: DataFrame, weights: dict[str, float], samples: int, order:
     observed = rows.groupBy("component").agg(F.avg("value").alias("mean")).agg(F.sum(weights_of(weights) * F.col("mean")).alias("observed"))
     if samples <= 0:
         return observed.withColumn("p_value", F.lit(1.0))
-    grid = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    coin = hash8(F.concat_ws("|", F.lit(str(seed)), F.lit("flip"), "component", F.col("rep").cast("string"), F.col("idx").cast("string"))) % 2 == 0
-    means = grid.groupBy("component", "rep").agg(F.avg(F.when(coin, F.col("value")).otherwise(-F.col("value"))).alias("mean"))
+    grid = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 64))))
+    digits = F.split(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("flip"), "component", F.col("block").cast("string"), F.col("idx").cast("string")).cast("binary"), 256), "")
+    grid = grid.select("component", "value", "block", F.posexplode(digits).alias("j", "digit")).withColumn("rep", 64 * F.col("block") + F.col("j"))
+    coin = F.col("digit").isin(*"02468ace")
+    means = grid.where((F.col("j") < 64) & (F.col("rep") < samples)).groupBy("component", "rep").agg(F.avg(F.when(coin, F.col("value")).otherwise(-F.col("value"))).alias("mean"))
     null = means.groupBy("rep").agg(F.sum(weights_of(weights) * F.col("mean")).alias("stat"))
     extreme = null.crossJoin(F.broadcast(observed)).agg(F.count_if(F.round("stat", 12) >= F.round("observed", 12)).alias("extreme"))
     return observed.crossJoin(extreme).select("observed", ((F.col("extreme") + 1) / (samples + 1)).alias("p_value"))

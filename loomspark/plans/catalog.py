@@ -368,11 +368,17 @@ def group_report(spark, d):
     return cases.group_report(sides(spark, d)[0], {"core": ["click", "view"], "money": ["purchase", "view"]}).withColumns(nine("pass_at_1", "pass_at_k", "format_error_rate", "avg_rounds"))
 
 
+def draws_sql(by: str, samples: int) -> str:
+    """Of v (by, idx, n): the row that each replicate draws at each place."""
+    hashed = f"SELECT {by}, n, block, sha256('3407|' || {by} || '|' || block || '|' || idx) AS h FROM v, range({(samples - 1) // 8 + 1}) t(block)"
+    return f"SELECT {by}, 8 * block + j AS rep, cast('0x' || substr(h, 8 * j::int + 1, 8) AS bigint) % n AS idx FROM ({hashed}), range(8) u(j) WHERE 8 * block + j < {samples}"
+
+
 #: Replicates of the resampling queries, and the places of the interval's ends among them.
 SAMPLES = 1000
 LOW, HIGH = int(0.025 * (SAMPLES - 1)) + 1, int(0.975 * (SAMPLES - 1)) + 1
 CI_SQL = f"""{V.CASE_LOGS}, v AS (SELECT benchmark, pass_at_1::int::double AS value, row_number() OVER (PARTITION BY benchmark ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY benchmark) AS n FROM base),
-draws AS (SELECT benchmark, rep, {V.hash8_sql("'3407|' || benchmark || '|' || rep || '|' || idx")} % n AS idx FROM v, range({SAMPLES}) t(rep)),
+draws AS ({draws_sql('benchmark', SAMPLES)}),
 reps AS (SELECT d.benchmark, rep, avg(value) AS mean FROM draws d JOIN v ON v.benchmark = d.benchmark AND v.idx = d.idx GROUP BY ALL), ranked_reps AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY mean) AS r FROM reps),
 means AS (SELECT benchmark, avg(value) AS mean, count(*) AS n FROM v GROUP BY benchmark)"""
 
@@ -387,14 +393,14 @@ INDEXED_SQL = f"{OBJECTIVE_SQL}, v AS (SELECT component, diff AS value, row_numb
 DIFF_ORDER = ["benchmark", "id", "value"]
 
 
-@query(f"""WITH {INDEXED_SQL}, draws AS (SELECT component, rep, {V.hash8_sql("'3407|' || component || '|' || rep || '|' || idx")} % n AS idx FROM v, range({SAMPLES}) t(rep)),
+@query(f"""WITH {INDEXED_SQL}, draws AS ({draws_sql('component', SAMPLES)}),
 reps AS (SELECT rep, sum(w * mean) AS mean FROM (SELECT d.component, rep, {WEIGHT_SQL.replace('component', 'd.component')} AS w, avg(value) AS mean FROM draws d JOIN v ON v.component = d.component AND v.idx = d.idx GROUP BY ALL) GROUP BY rep),
 r AS (SELECT *, row_number() OVER (ORDER BY mean) AS r FROM reps) SELECT round(any_value(observed), 9)::double AS observed, round(max(mean) FILTER (r = {LOW}), 9)::double AS low, round(max(mean) FILTER (r = {HIGH}), 9)::double AS high FROM observed, r""")
 def bootstrap_weighted_diff(spark, d):
     return stats.weighted_diff_ci(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER).withColumns(nine("observed", "low", "high"))
 
 
-FLIP_SQL = f"""{INDEXED_SQL}, flips AS (SELECT component, rep, CASE WHEN {V.hash8_sql("'3407|flip|' || component || '|' || rep || '|' || idx")} % 2 = 0 THEN value ELSE -value END AS value FROM v, range({SAMPLES}) t(rep)),
+FLIP_SQL = f"""{INDEXED_SQL}, flips AS (SELECT component, 64 * block + j AS rep, CASE WHEN contains('02468ace', substr(h, j::int + 1, 1)) THEN value ELSE -value END AS value FROM (SELECT component, value, block, sha256('3407|flip|' || component || '|' || block || '|' || idx) AS h FROM v, range({(SAMPLES - 1) // 64 + 1}) t(block)), range(64) u(j) WHERE 64 * block + j < {SAMPLES}),
 nulls AS (SELECT rep, sum(w * mean) AS stat FROM (SELECT component, rep, {WEIGHT_SQL} AS w, avg(value) AS mean FROM flips GROUP BY ALL) GROUP BY rep),
 tested AS (SELECT any_value(observed) AS observed, (count(*) FILTER (round(stat, 12) >= round(observed, 12)) + 1) / {SAMPLES + 1}.0 AS p_value FROM observed, nulls)"""
 SCORE_SQL = "0.35 * avg(pass_at_1::int) FILTER (benchmark = 'click') + 0.25 * avg(pass_at_1::int) FILTER (benchmark = 'view') + 0.2 * avg(pass_at_1::int) FILTER (benchmark = 'purchase') + 0.1 * avg(pass_at_1::int) + 0.1 * (1 - avg(format_errors / 100.0))"
@@ -445,8 +451,11 @@ def classic_pass_at_k(spark, d):
 @query("SELECT user_id, array_to_string(list_transform(list_sort(list(struct_pack(i := event_id, e := event_type, v := value)))[1:6], lambda h, i: '[Round ' || i || '] error=' || h.e || ' score=' || printf('%.3f', h.v) || ' stderr='), chr(10)) AS history, greatest(1, sum(cast(regexp_extract(props, '(\\d+)', 1) AS int)))::int AS budget FROM events GROUP BY user_id")
 def history_render(spark, d):
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
-    rows = V.read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("error_type"), F.col("value").alias("score"), F.lit("").alias("stderr"), k.alias("k")))).alias("history"))
-    return rows.select("user_id", templates.rendered_history("history").alias("history"), cases.candidate_budget(F.col("history.k"), F.lit(None).cast("int")).alias("budget"))
+    e = V.read(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("error_type"), F.col("value").alias("score"), F.lit("").alias("stderr"), k.alias("k"))
+    # the rounds that are shown are ranked first, so that no more of them are ever listed together
+    shown = ranking.top_per_group(e, "user_id", [F.asc("event_id")], 6).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "error_type", "score", "stderr"))).alias("history"))
+    budget = e.groupBy("user_id").agg(F.greatest(F.lit(1), F.sum("k")).cast("int").alias("budget"))
+    return shown.join(budget, "user_id").select("user_id", templates.rendered_history("history").alias("history"), "budget")
 
 
 # --- retrieval, token overlap, scorer ---------------------------------------------------

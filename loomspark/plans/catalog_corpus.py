@@ -8,7 +8,7 @@ from loomspark.functions import text as X
 from loomspark.operators import cases, corpus, patches, prm, rl, templates, trajectories
 from loomspark.plans import views as V
 from loomspark.sources.work import Work
-from .catalog import nine, query
+from .catalog import draws_sql, nine, query
 
 NL = "chr(10)"
 
@@ -285,7 +285,7 @@ GROUPS = {"core": ["click", "view"], "money": ["purchase", "view"]}
 SAMPLES = 200
 REPORT_SQL = f"""{V.CASE_LOGS}, g AS (SELECT * FROM (VALUES ('core', 'click'), ('core', 'view'), ('money', 'purchase'), ('money', 'view')) t(grp, benchmark)),
 v AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT grp, event_id, pass_at_1::int::double AS a, pass_at_k::int::double AS b, format_errors / 100.0::double AS c, rounds_used::double AS rounds FROM base JOIN g USING (benchmark) UNION ALL SELECT 'global', event_id, pass_at_1::int::double, pass_at_k::int::double, format_errors / 100.0::double, rounds_used::double FROM base)),
-draws AS (SELECT grp, rep, {V.hash8_sql("'3407|' || grp || '|' || rep || '|' || idx")} % n AS idx FROM v, range({SAMPLES}) t(rep)),
+draws AS ({draws_sql('grp', SAMPLES)}),
 reps AS (SELECT d.grp, rep, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM draws d JOIN v ON v.grp = d.grp AND v.idx = d.idx GROUP BY ALL),
 sorted AS (SELECT grp, list(a ORDER BY a) AS a, list(b ORDER BY b) AS b, list(c ORDER BY c) AS c FROM reps GROUP BY grp),
 means AS (SELECT grp, count(*) AS total, avg(rounds) AS avg_rounds, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM v GROUP BY grp)"""
