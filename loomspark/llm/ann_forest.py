@@ -243,7 +243,7 @@ def nearest(vectors: DataFrame, query: Column, k: int, vec_id: str = "vec_id", v
 
     n = classes.count()
     levels = max(0, int(math.log2(max(n / leaf_rows, 1))))
-    trees = min(trees, max(1, (1 << levels) // 4))  # a small table has few leaves to tell apart
+    trees = min(trees, (1 << levels) // 4 if levels > 3 else 1)  # a small table has few leaves to tell apart
     fitted = classes.select("a", "b", "x").orderBy("a", "b").limit(sample).collect()
     planted = plant(np.array([r.x for r in fitted], float), float(sizes[0].norm), trees, levels)
     asked = classes.where("asked").select(F.col("c").alias("q"), "x")
