@@ -296,3 +296,11 @@ def parsed_settings(spark, d):
         "stage_drop_default": repair.stage_drop("core_other", drops), "weights": sampling.parse_weights("code:2,repo:1,reasoning:1"),
     }
     return spark.createDataFrame([(k, as_json(v)) for k, v in rows.items()], "setting string, value string")
+
+
+@query("""SELECT n_nationkey, n_nationkey % 6 = 0 AS is_repository FROM nation""")
+def model_names(spark, d):
+    shapes = ("owner/{}", "/models/{}", "./{}", "{}", "a b/{}", "owner/{}/x")
+    name = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    rows = V.read(spark, d, "nation").select("n_nationkey", F.replace(name, F.lit("{}"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))).alias("name"))
+    return rows.select("n_nationkey", readers.looks_like_repository("name").alias("is_repository"))

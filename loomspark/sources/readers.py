@@ -175,3 +175,16 @@ def flag_drift(script: str, sources: dict[str, str]) -> list[tuple[str, str, boo
     """Each flag that a shell script passes to one of the sources, and whether the source declares it."""
     passed = command_flags(script)
     return [(name, flag, flag in declared_flags(sources[name])) for name in sorted(passed) if name in sources for flag in sorted(passed[name])]
+
+
+def looks_like_repository(name) -> Column:
+    """Whether a model's name is an owner and a repository rather than a path."""
+    v = strip(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")))
+    path = F.startswith(v, F.lit("/")) | F.startswith(v, F.lit("./")) | F.startswith(v, F.lit("../")) | F.startswith(v, F.lit("~")) | F.contains(v, F.lit("\\")) | F.contains(v, F.lit(" "))
+    parts = F.split(v, "/")
+    return (v != "") & ~path & (F.size(parts) == 2) & F.forall(parts, lambda p: strip(p) != "")
+
+
+def adapter_only(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds an adapter's settings and no model's."""
+    return exists(spark, f"{folder.rstrip('/')}/adapter_config.json") and not exists(spark, f"{folder.rstrip('/')}/config.json")
