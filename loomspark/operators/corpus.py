@@ -70,7 +70,7 @@ def quality_metrics(df: DataFrame, before_dedup: Column | int, removed: Column |
         F.count_if(F.contains(strip(tests), F.lit("assert "))).alias("with_asserts"), F.count_if(kind == "code").alias("code_answers"), F.count_if(kind == "patch").alias("patch_answers"),
         F.count_if(flag("answer_ast_ok")).alias("ast_ok"), F.count_if(flag("answer_patch_ok")).alias("patch_ok"), F.count_if(flag("answer_quality_ok")).alias("quality_ok"))
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    counts = counts.withColumns({"before_dedup": as_column(before_dedup), "removed": as_column(removed)})
+    counts = counts.withColumns({"before_dedup": as_column(before_dedup).cast("long"), "removed": as_column(removed).cast("long")})
     return counts.withColumns({name: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)) for name, (a, b) in RATIOS.items()})
 
 
