@@ -83,8 +83,9 @@ class Workspace:
         self.delete(f"{self.root}/{name}")
 
     def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished jobs: it acts once the driver has collected its garbage."""
+        """Lets Spark's cleaner delete the shuffle files of finished jobs: it acts once the driver has collected its garbage. Gives the driver's freed memory back, too."""
         gc.collect()
+        tidy()
         self.spark._jvm.System.gc()
 
 

@@ -34,5 +34,7 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components") -> Dat
         before = now
     else:
         raise RuntimeError(f"components aren't stable after {ROUNDS} rounds")
+    del both, smallest, large, linked, small  # their plans are held in the driver as long as these names are
+    ws.release()
     stars = current.groupBy("u").agg(F.min("v").alias("label"))
     return stars.select(F.col("u").alias("node"), "label").union(stars.select(F.col("label").alias("node"), "label").distinct())

@@ -180,6 +180,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
     links = spread.groupBy("task").applyInArrow(compare, "node bigint, link_texts bigint, link_docs bigint, root bigint")
     links = ws.save(links, "links")
+    ws.release()
     ends = components(ws, links.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")), "joined")
     numbers = links.groupBy("node").agg(F.sum("link_texts").alias("link_texts"), F.sum("link_docs").alias("link_docs"))
     named = classes.drop("bands").join(numbers, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -166,7 +166,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, la
         last = h
     rows = rows.where(F.col("h") <= last).collect() if last is not None else []
     rows.sort(key=lambda r: (r.h, r.d, r.x))
-    return fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([r.y for r in rows], np.int64))
+    model = fit([np.frombuffer(r.x, np.int32) for r in rows], np.array([r.y for r in rows], np.int64))
+    del rows
+    ws.close()
+    ws.release()
+    return model
 
 
 def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN, score: str = "score") -> DataFrame:

@@ -127,6 +127,7 @@ def mix_sources(
     sources = ws.save(targets(sources, weights, share, cap).join(sources.select("_s", mean.alias("mean")), "_s"), "sources")
     n_sources = sources.count()
     duals = solve_dual(ws, hist, sources, n_sources, cap, steps)
+    ws.release()
     hist = join_measured(hist, sources.join(duals, "_s"), "_s", "inner", n_sources)
     hist = hist.withColumn("rate", F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))).withColumn("rate", F.when(F.col("size") > 0, F.col("rate")).otherwise(0.0))
     hist = round_copies(ws, hist, sources, n_sources, cap).select("_s", "size", "n", "source_size", "target", "rate", "copies")
