@@ -5,9 +5,11 @@ from __future__ import annotations
 from .ann_forest import op1_ann_forest
 from .bestfit_packing import op5_bestfit_packing
 from .chat_format import OP8_SQL, op8_chat_format
+from .embedding_whitening import op12_embedding_whitening
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
+from .secret_scan import op13_secret_scan
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op2_substring_dedup
 from .token_counts import op10_token_counts
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES = {"op7_ngram_join": OP7_SQL, "op8_chat_format": OP8_SQL}
