@@ -9,6 +9,7 @@ from .embedding_whitening import op12_embedding_whitening
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op9_quality_rules
+from .sale_enrichment import OP11_SQL, op11_sale_enrichment
 from .secret_scan import op13_secret_scan
 from .source_mixing import op4_source_mixing
 from .substring_dedup import op2_substring_dedup
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_sale_enrichment": op11_sale_enrichment,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_secret_scan": op13_secret_scan,
 }
 
-ORACLES = {"op7_ngram_join": OP7_SQL, "op8_chat_format": OP8_SQL}
+ORACLES = {"op7_ngram_join": OP7_SQL, "op8_chat_format": OP8_SQL, "op11_sale_enrichment": OP11_SQL}
