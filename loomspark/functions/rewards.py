@@ -65,6 +65,13 @@ def structure_score(reasoning, prompt, tests) -> Column:
     return F.when(r == "", -0.05).otherwise(score)
 
 
+def process_record(prompt, text, tests) -> Column:
+    """The text that a learned scorer reads of a completion."""
+    empty = lambda c: F.coalesce(col(c), F.lit(""))
+    parts = [("prompt=", empty(prompt)), ("\nreasoning=", tag_content(text, "reasoning")), ("\ntests=", empty(tests)), ("\nanswer=", tag_content(text, "answer"))]
+    return F.concat(*[x for label, value in parts for x in (F.lit(label), F.coalesce(value, F.lit("")))])
+
+
 def process_reward(prompt, text, tests, prm=None) -> Column:
     """Keyword rules on the reasoning, its structure, the answer's length and a learned scorer (0.5 without one)."""
     r, answer = tag_content(text, "reasoning"), tag_content(text, "answer")

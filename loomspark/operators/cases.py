@@ -143,15 +143,15 @@ def primary_score(lcb, bcb, swe, agent, fmt) -> Column:
     return F.array(part(0, 0), part(1, 2), part(2, 1))
 
 
-def report_with_intervals(log: DataFrame, by: str, order: str, samples: int, seed: int = 3407) -> DataFrame:
+def report_with_intervals(log: DataFrame, by: str, samples: int, seed: int = 3407) -> DataFrame:
     """The evaluation report: per group the number of cases, and mean, low and high of each metric.
 
-    by: the group column; order: a case's key, by which resampling numbers the rows. Each metric is resampled on its own.
+    by: the group column. Each metric is resampled on its own.
     """
-    rows = log.select(by, order, metric("pass").alias("pass_at_1"), F.coalesce("pass_at_k", F.lit(False)).cast("double").alias("pass_at_k"), format_error_rate().alias("format_error_rate"), F.coalesce("rounds_used", F.lit(1)).cast("double").alias("rounds"))
+    rows = log.select(by, metric("pass").alias("pass_at_1"), F.coalesce("pass_at_k", F.lit(False)).cast("double").alias("pass_at_k"), format_error_rate().alias("format_error_rate"), F.coalesce("rounds_used", F.lit(1)).cast("double").alias("rounds"))
     out = rows.groupBy(by).agg(F.count("*").alias("total"), F.avg("rounds").alias("avg_rounds"))
     for name in ("pass_at_1", "pass_at_k", "format_error_rate"):
-        ci = stats.bootstrap_ci(rows.select(by, order, F.col(name).alias("value")), samples, [order], by, seed)
+        ci = stats.bootstrap_ci(rows.select(by, F.col(name).alias("value")), samples, by, seed)
         out = out.join(ci.select(by, F.array("mean", "low", "high").alias(f"{name}_ci")), by)
     return out
 

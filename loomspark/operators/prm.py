@@ -1,16 +1,19 @@
-"""A tiny process reward model: hashed tokens, logistic scores, sequential training."""
+"""A tiny process reward model: hashed tokens, logistic scores, training in sequence and at scale."""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.quality import features, sigmoid
+from loomspark.sources.work import Work
 
 BUCKETS = 8192
 
@@ -20,14 +23,27 @@ def featurise(df: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> Dat
     return df.select(key, F.explode(features(text, buckets)).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("value"))
 
 
-def predict(df: DataFrame, key: str, text: str, weights: DataFrame, bias: float, buckets: int = BUCKETS) -> DataFrame:
-    """key and score, without a shuffle: a row's own buckets meet the weights as one literal array, whose size is the number of buckets."""
+def scorer(weights: DataFrame, bias: float, buckets: int = BUCKETS, mean: bool = False) -> Callable[[Column], Column]:
+    """What a model makes of a text, as a column: its buckets meet the weights as one literal array, whose size is the number of buckets.
+
+    mean: the model is of ``fit_logistic``, on the mean over tokens; else of ``train``, on their sum.
+    """
     table = [0.0] * buckets
     for r in weights.collect():
         table[r.bucket] = r.weight
     array = F.from_json(F.lit(json.dumps(table)), "array<double>")
-    dot = F.aggregate(features(text, buckets), F.lit(0.0), lambda total, b: total + F.get(array, b))
-    return df.select(key, sigmoid(F.coalesce(dot, F.lit(0.0)) + bias).alias("score"))
+
+    def score(text) -> Column:
+        dot = F.aggregate(features(text, buckets), F.lit(0.0), lambda total, b: total + F.get(array, b))
+        dot = dot / F.greatest(F.lit(1), F.size(features(text, buckets))) if mean else dot
+        return sigmoid(F.coalesce(dot, F.lit(0.0)) + bias)
+
+    return score
+
+
+def predict(df: DataFrame, key: str, text, weights: DataFrame, bias: float, buckets: int = BUCKETS, mean: bool = False) -> DataFrame:
+    """key and score, without a shuffle."""
+    return df.select(key, scorer(weights, bias, buckets, mean)(text).alias("score"))
 
 
 def record_text(prompt, error_type, history, tests, code) -> Column:
@@ -41,6 +57,119 @@ def label(all_passed, pass_at_1) -> Column:
     return F.when(F.coalesce(F.col(all_passed), F.lit(False)) | F.coalesce(F.col(pass_at_1), F.lit(False)), 1).otherwise(0)
 
 
+def packed(df: DataFrame, text: str, target: str, buckets: int, order: str | None = None) -> DataFrame:
+    """Labelled texts as (o,) y and x: each row's different buckets and their counts, 8 bytes an entry."""
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for row in batch.column(batch.num_columns - 1):
+                found, counts = np.unique(row.values.to_numpy(), return_counts=True)
+                out.append(np.stack((found, counts)).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "x"])
+
+    first = [F.col(order).alias("o")] if order else []
+    rows = df.select(*first, F.col(target).cast("int").alias("y"), features(F.coalesce(F.col(text), F.lit("")), buckets).alias("t"))
+    return rows.mapInArrow(pack, (f"o {df.schema[order].dataType.simpleString()}, " if order else "") + "y int, x binary")
+
+
+@dataclass
+class Logistic:
+    """A fitted model on the mean over a text's tokens: weights of the buckets, the bias, the mean loss with its penalty, and the passes over the data that it took."""
+
+    weights: np.ndarray
+    bias: float
+    loss: float
+    passes: int
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """bucket and weight, as ``predict`` takes them."""
+        return spark.createDataFrame([(int(b), float(self.weights[b])) for b in np.flatnonzero(self.weights)], "bucket int, weight double")
+
+
+def loss_and_gradient(batches, w: np.ndarray):
+    """Of packed rows, each as shares of its tokens: their number, the sums of the loss and of its gradient (the bias last), and of the squares."""
+    size = len(w) - 1
+    n, loss, gradient, squares = 0, 0.0, np.zeros(size + 1), np.zeros(size)
+    for batch in batches:
+        y = batch.column(0).to_numpy(zero_copy_only=False) > 0
+        rows = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in batch.column(1)]
+        at = np.cumsum([0] + [r.shape[1] for r in rows])
+        found, counts = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), np.int32)
+        owner = np.repeat(np.arange(len(rows)), np.diff(at))
+        counts = counts / np.bincount(owner, counts, minlength=len(rows))[owner]
+        z = np.bincount(owner, w[found] * counts, minlength=len(rows)) + w[-1]
+        signed = np.where(y, -z, z)
+        loss += float(np.logaddexp(0, signed).sum())
+        off = np.exp(-np.logaddexp(0, -signed)) * np.where(y, -1.0, 1.0)
+        gradient[:size] += np.bincount(found, off[owner] * counts, minlength=size)
+        gradient[size] += off.sum()
+        squares += np.bincount(found, counts**2, minlength=size)
+        n += len(rows)
+    return n, loss, gradient, squares
+
+
+def fit_logistic(df: DataFrame, text: str, target: str, buckets: int = BUCKETS, l2: float = 1e-6, tolerance: float = 1e-8, most: int = 500) -> Logistic:
+    """Logistic regression on hashed tokens, for any number of rows: the optimum of the mean log loss plus ``l2 / 2`` times
+    the squared weights (the bias is free), which, unlike ``train``'s, doesn't depend on the order of rows. A text counts
+    by the shares of its tokens, so that long ones don't outweigh all others.
+
+    Texts are hashed once and written packed. Each step is a pass over them: every partition sums loss and gradient, the
+    sums meet in a tree, and the driver, which holds a few vectors of ``buckets`` numbers, takes a limited-memory BFGS step
+    from curvatures that the first pass has estimated bucket by bucket. Ends when a step is expected to gain less than
+    ``tolerance``; an error if it doesn't within ``most`` passes. Rows without a label are left out.
+    """
+    buckets, work = max(256, int(buckets)), Work(df.sparkSession, "prm-logistic")
+    rows = work.save(packed(df.where(F.col(target).isNotNull()), text, target, buckets), "packed")
+
+    def total(w: np.ndarray):
+        def partial(batches):
+            n, loss, gradient, squares = loss_and_gradient(batches, w)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([np.concatenate((gradient, squares)).tobytes()], pa.binary())], ["n", "loss", "sums"])
+
+        parts = rows.mapInArrow(partial, "n long, loss double, sums binary").rdd.map(lambda r: (r.n, r.loss, np.frombuffer(r.sums)))
+        return parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
+
+    if rows.isEmpty():
+        raise ValueError("no labelled rows")
+    w = np.zeros(buckets + 1)
+    n, loss, sums = total(w)
+    curvature = np.concatenate((0.25 * sums[buckets + 1 :] / n + l2, [0.25]))
+    penal = np.concatenate((np.full(buckets, l2), [0.0]))
+    value, gradient, passes = loss / n, sums[: buckets + 1] / n, 1
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        direction, alphas = gradient.copy(), []
+        for s, y in reversed(steps):
+            alphas.append((s @ direction) / (s @ y))
+            direction -= alphas[-1] * y
+        if steps:
+            s, y = steps[-1]
+            direction *= (s @ y) / (y @ (y / curvature))
+        direction /= curvature
+        for (s, y), alpha in zip(steps, reversed(alphas)):
+            direction += s * (alpha - (y @ direction) / (s @ y))
+        gain = float(gradient @ direction)
+        if gain < tolerance:
+            return Logistic(w[:buckets], float(w[buckets]), value, passes)
+        length = 1.0
+        while True:
+            if passes >= most:
+                raise ArithmeticError(f"no optimum within {most} passes")
+            there = w - length * direction
+            n, loss, sums = total(there)
+            passes += 1
+            reached = loss / n + 0.5 * float(penal @ there**2)
+            if reached <= value - 1e-4 * length * gain:
+                break
+            length /= 2
+        slope = sums[: buckets + 1] / n + penal * there
+        if (there - w) @ (slope - gradient) > 0:
+            steps = [*steps[-9:], (there - w, slope - gradient)]
+        w, value, gradient = there, reached, slope
+
+
 def train(df: DataFrame, text: str, target: str, order: str, buckets: int = BUCKETS, epochs: int = 3, rate: float = 0.08, l2: float = 1e-6) -> DataFrame:
     """bucket and weight (bucket -1: the bias) by one pass after another over the rows in order.
 
@@ -49,14 +178,6 @@ def train(df: DataFrame, text: str, target: str, order: str, buckets: int = BUCK
     """
     buckets, epochs = max(256, int(buckets)), max(1, int(epochs))
 
-    def pack(batches):
-        for batch in batches:
-            out = []
-            for row in batch.column(2):
-                found, counts = np.unique(row.values.to_numpy(), return_counts=True)
-                out.append(np.stack((found, counts)).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["o", "y", "x"])
-
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("o")
         targets, packed = table["y"].to_numpy(), table["x"]
@@ -71,7 +192,5 @@ def train(df: DataFrame, text: str, target: str, order: str, buckets: int = BUCK
         used = np.flatnonzero(w)
         return pa.table({"bucket": pa.array(np.concatenate(([-1], used)).astype(np.int32)), "weight": pa.array(np.concatenate(([bias], w[used])))})
 
-    kind = df.schema[order].dataType.simpleString()
-    rows = df.select(F.col(order).alias("o"), F.col(target).cast("int").alias("y"), features(F.coalesce(F.col(text), F.lit("")), buckets).alias("t"))
-    rows = rows.mapInArrow(pack, f"o {kind}, y int, x binary").withColumn("g", F.lit(0))
+    rows = packed(df, text, target, buckets, order).withColumn("g", F.lit(0))
     return rows.groupBy("g").applyInArrow(lambda table: learn(table.drop_columns("g")), "bucket int, weight double")

@@ -1,11 +1,4 @@
-"""Bootstrap intervals and sign-flip tests with a hash as random numbers.
-
-Draw i of replicate r is row h modulo n, where h is word r mod 8 (eight hexadecimal digits) of
-sha256(seed|r div 8|i); sign i of replicate r is the parity of digit r mod 64 of
-sha256(seed|flip|r div 64|i): the same in any engine and on any cluster. Values are indexed 0..n-1 by a stated order and written once; up to a counted number
-of them the table of values goes to every task, so that the replicates times rows draws are
-never shuffled, beyond it draws and values are joined by index.
-"""
+"""Bootstrap intervals and sign-flip tests over counted distinct values, with a hash as random numbers (see ``resampling``)."""
 
 from __future__ import annotations
 
@@ -13,54 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import SEED
-from loomspark.sources.work import Work
-
-#: Values (some 40 bytes each) up to which their table is broadcast.
-BROADCAST_VALUES = 200_000
-
-
-def indexed(values: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
-    """values (value, and by) with idx from 0 and n; one value per case, so a group fits a window."""
-    w = Window.partitionBy(*([by] if by else [F.lit(0)]))
-    rows = values.withColumns({"idx": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)}).select(*([by] if by else []), "idx", "n", "value")
-    return Work(values.sparkSession, "resampling").save(rows, "values")
-
-
-def replicates(values: DataFrame, samples: int, seed: int, by: str | None, draw) -> DataFrame:
-    """(by, rep, mean) of each replicate; draw: an aggregate over value after the rows are drawn."""
-    keys = [by] if by else []
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 8))).alias("block")
-    parts = [F.lit(seed), *([F.col(by)] if by else []), F.col("block"), F.col("idx")]
-    grid = values.select(*keys, "n", "idx", blocks).select(*keys, "n", "block", F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256).alias("h"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(F.col("h"), 8 * j + 1, F.lit(8)), 16, 10).cast("bigint"))
-    grid = grid.select(*keys, "n", "block", F.posexplode(words).alias("j", "w")).withColumn("rep", 8 * F.col("block") + F.col("j"))
-    grid = grid.where(F.col("rep") < samples).withColumn("idx", (F.col("w") % F.col("n")).cast("int"))
-    drawn = values.select(*keys, "idx", "value")
-    return grid.join(F.broadcast(drawn) if values.count() <= BROADCAST_VALUES else drawn, [*keys, "idx"]).groupBy(*keys, "rep").agg(draw.alias("mean"))
+from loomspark.operators.resampling import flipped, replicates
 
 
 def interval(reps: DataFrame, samples: int, by: list[str]) -> DataFrame:
+    """low and high of each group: order statistics of its replicates, which are ``samples`` rows."""
     low, high = int(0.025 * (samples - 1)) + 1, int(0.975 * (samples - 1)) + 1
     rank = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("mean"))
     return reps.withColumn("_r", rank).groupBy(*by).agg(F.max(F.when(F.col("_r") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("_r") == high, F.col("mean"))).alias("high"))
 
 
-def bootstrap_ci(values: DataFrame, samples: int, order: list[str], by: str | None = None, seed: int = SEED) -> DataFrame:
-    """mean, low and high per group; a single value or no samples give the mean three times."""
-    keys = [by] if by else []
-    rows = indexed(values, order, by)
-    mean = rows.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+def bootstrap_ci(values: DataFrame, samples: int, by: str | None = None, seed: int = SEED) -> DataFrame:
+    """mean, low and high of ``value`` per group, and n; a single value or no samples give the mean three times. Nulls don't count."""
+    named = [F.col("by").cast(values.schema[by].dataType).alias(by)] if by else []
+    observed, reps = replicates(values, max(samples, 1), seed, by)
     if samples <= 0:
-        return mean.select(*keys, "mean", F.col("mean").alias("low"), F.col("mean").alias("high"), "n")
-    ci = interval(replicates(rows, samples, seed, by, F.avg("value")), samples, keys)
-    joined = mean.join(ci, keys) if keys else mean.crossJoin(ci)
+        return observed.select(*named, "mean", F.col("mean").alias("low"), F.col("mean").alias("high"), "n")
+    ends = observed.join(interval(reps, samples, ["by"]), "by")
     one = F.col("n") == 1
-    return joined.select(*keys, "mean", F.when(one, F.col("mean")).otherwise(F.col("low")).alias("low"), F.when(one, F.col("mean")).otherwise(F.col("high")).alias("high"), "n")
+    return ends.select(*named, "mean", F.when(one, F.col("mean")).otherwise(F.col("low")).alias("low"), F.when(one, F.col("mean")).otherwise(F.col("high")).alias("high"), "n")
 
 
 def weights_of(weights: dict[str, float]):
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.col("component")), F.lit(0.0))
+    return F.coalesce(F.try_element_at(table, F.col("by")), F.lit(0.0))
 
 
 def require_components(diffs: DataFrame, weights: dict[str, float]) -> None:
@@ -69,25 +38,20 @@ def require_components(diffs: DataFrame, weights: dict[str, float]) -> None:
         raise ValueError(f"no shared cases for {missing[0]}")
 
 
-def weighted_diff_ci(diffs: DataFrame, weights: dict[str, float], samples: int, order: list[str], seed: int = SEED) -> DataFrame:
+def weighted_diff_ci(diffs: DataFrame, weights: dict[str, float], samples: int, seed: int = SEED) -> DataFrame:
     """The composite difference and its interval: components are resampled alone, then weighed."""
-    rows = indexed(diffs.withColumnRenamed("diff", "value"), order, "component")
-    observed = rows.groupBy("component").agg(F.avg("value").alias("mean")).agg(F.sum(weights_of(weights) * F.col("mean")).alias("observed"))
-    reps = replicates(rows, samples, seed, "component", F.avg("value")).groupBy("rep").agg(F.sum(weights_of(weights) * F.col("mean")).alias("mean"))
-    return observed.crossJoin(interval(reps, samples, []))
+    means, reps = replicates(diffs.withColumnRenamed("diff", "value"), samples, seed, "component")
+    observed = means.agg(F.sum(weights_of(weights) * F.col("mean")).alias("observed"))
+    whole = reps.groupBy("rep").agg(F.sum(weights_of(weights) * F.col("mean")).alias("mean"))
+    return observed.crossJoin(interval(whole, samples, []))
 
 
-def sign_flip(diffs: DataFrame, weights: dict[str, float], samples: int, order: list[str], seed: int = SEED) -> DataFrame:
-    """One-sided p-value of the composite difference: signs drawn by hash parity."""
-    rows = indexed(diffs.withColumnRenamed("diff", "value"), order, "component")
-    observed = rows.groupBy("component").agg(F.avg("value").alias("mean")).agg(F.sum(weights_of(weights) * F.col("mean")).alias("observed"))
+def sign_flip(diffs: DataFrame, weights: dict[str, float], samples: int, seed: int = SEED) -> DataFrame:
+    """One-sided p-value of the composite difference under random signs."""
+    means, reps = flipped(diffs.withColumnRenamed("diff", "value"), max(samples, 1), seed, "component")
+    observed = means.agg(F.sum(weights_of(weights) * F.col("mean")).alias("observed"))
     if samples <= 0:
         return observed.withColumn("p_value", F.lit(1.0))
-    grid = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 64))))
-    digits = F.split(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("flip"), "component", F.col("block").cast("string"), F.col("idx").cast("string")).cast("binary"), 256), "")
-    grid = grid.select("component", "value", "block", F.posexplode(digits).alias("j", "digit")).withColumn("rep", 64 * F.col("block") + F.col("j"))
-    coin = F.col("digit").isin(*"02468ace")
-    means = grid.where((F.col("j") < 64) & (F.col("rep") < samples)).groupBy("component", "rep").agg(F.avg(F.when(coin, F.col("value")).otherwise(-F.col("value"))).alias("mean"))
-    null = means.groupBy("rep").agg(F.sum(weights_of(weights) * F.col("mean")).alias("stat"))
+    null = reps.groupBy("rep").agg(F.sum(weights_of(weights) * F.col("mean")).alias("stat"))
     extreme = null.crossJoin(F.broadcast(observed)).agg(F.count_if(F.round("stat", 12) >= F.round("observed", 12)).alias("extreme"))
     return observed.crossJoin(extreme).select("observed", ((F.col("extreme") + 1) / (samples + 1)).alias("p_value"))

@@ -11,6 +11,7 @@ from loomspark.functions import quality as Q
 from loomspark.functions import rewards as R
 from loomspark.functions import text as X
 from loomspark.operators import cases, curriculum, dedup, prm, ranking, repair, retrieval, sampling, stats, templates, verify
+from loomspark.operators.resampling import flipped_sql, replicates_sql
 from loomspark.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,71 +369,83 @@ def group_report(spark, d):
     return cases.group_report(sides(spark, d)[0], {"core": ["click", "view"], "money": ["purchase", "view"]}).withColumns(nine("pass_at_1", "pass_at_k", "format_error_rate", "avg_rounds"))
 
 
-def draws_sql(by: str, samples: int) -> str:
-    """Of v (by, idx, n): the row that each replicate draws at each place."""
-    hashed = f"SELECT {by}, n, block, sha256('3407|' || {by} || '|' || block || '|' || idx) AS h FROM v, range({(samples - 1) // 8 + 1}) t(block)"
-    return f"SELECT {by}, 8 * block + j AS rep, cast('0x' || substr(h, 8 * j::int + 1, 8) AS bigint) % n AS idx FROM ({hashed}), range(8) u(j) WHERE 8 * block + j < {samples}"
+#: Replicates of the resampling queries.
+SAMPLES = 1000
+ENDS_SQL = lambda x, samples: f"max({x}) FILTER (r = {int(0.025 * (samples - 1)) + 1}) AS low, max({x}) FILTER (r = {int(0.975 * (samples - 1)) + 1}) AS high"
 
 
-#: Replicates of the resampling queries, and the places of the interval's ends among them.
-SAMPLES = 1000
-LOW, HIGH = int(0.025 * (SAMPLES - 1)) + 1, int(0.975 * (SAMPLES - 1)) + 1
-CI_SQL = f"""{V.CASE_LOGS}, v AS (SELECT benchmark, pass_at_1::int::double AS value, row_number() OVER (PARTITION BY benchmark ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY benchmark) AS n FROM base),
-draws AS ({draws_sql('benchmark', SAMPLES)}),
-reps AS (SELECT d.benchmark, rep, avg(value) AS mean FROM draws d JOIN v ON v.benchmark = d.benchmark AND v.idx = d.idx GROUP BY ALL), ranked_reps AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY mean) AS r FROM reps),
-means AS (SELECT benchmark, avg(value) AS mean, count(*) AS n FROM v GROUP BY benchmark)"""
+def interval_sql(name: str, key: str, samples: int, levels: int) -> str:
+    """CTEs from ``name`` (cell, value) to ``name``_ci (cell, mean, low, high, n)."""
+    ends = f"SELECT cell, {ENDS_SQL('mean', samples)} FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY mean) AS r FROM {name}_means) GROUP BY cell"
+    return f"{replicates_sql(name, key, samples, levels)}, {name}_ci AS (SELECT cell, m.mean, CASE WHEN n = 1 THEN m.mean ELSE low END AS low, CASE WHEN n = 1 THEN m.mean ELSE high END AS high, n FROM ({ends}) JOIN (SELECT cell, sum(value * c) / sum(c) AS mean, sum(c)::bigint AS n FROM {name}_c GROUP BY cell) m USING (cell))"
 
 
-@query(f"WITH {CI_SQL} SELECT m.benchmark, round(m.mean, 9) AS mean, round(max(r.mean) FILTER (r.r = {LOW}), 9) AS low, round(max(r.mean) FILTER (r.r = {HIGH}), 9) AS high, m.n FROM means m JOIN ranked_reps r USING (benchmark) GROUP BY m.benchmark, m.mean, m.n")
+@query(f"WITH {V.CASE_LOGS}, v AS (SELECT benchmark, pass_at_1::int::double AS value FROM base), {interval_sql('v', 'benchmark', SAMPLES, 1)} SELECT cell AS benchmark, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high, n FROM v_ci")
 def bootstrap_ci(spark, d):
-    values = sides(spark, d)[0].select("event_id", "benchmark", F.col("pass_at_1").cast("double").alias("value"))
-    return stats.bootstrap_ci(values, SAMPLES, ["event_id"], "benchmark").withColumns(nine("mean", "low", "high"))
+    values = sides(spark, d)[0].select("benchmark", F.col("pass_at_1").cast("double").alias("value"))
+    return stats.bootstrap_ci(values, SAMPLES, "benchmark").withColumns(nine("mean", "low", "high"))
 
 
-INDEXED_SQL = f"{OBJECTIVE_SQL}, v AS (SELECT component, diff AS value, row_number() OVER (PARTITION BY component ORDER BY benchmark, id, diff) - 1 AS idx, count(*) OVER (PARTITION BY component) AS n FROM diffs), observed AS (SELECT sum(w * mean) AS observed FROM (SELECT {WEIGHT_SQL} AS w, avg(value) AS mean FROM v GROUP BY component))"
-DIFF_ORDER = ["benchmark", "id", "value"]
+WEIGHTED = WEIGHT_SQL.replace("component", "cell")
 
 
-@query(f"""WITH {INDEXED_SQL}, draws AS ({draws_sql('component', SAMPLES)}),
-reps AS (SELECT rep, sum(w * mean) AS mean FROM (SELECT d.component, rep, {WEIGHT_SQL.replace('component', 'd.component')} AS w, avg(value) AS mean FROM draws d JOIN v ON v.component = d.component AND v.idx = d.idx GROUP BY ALL) GROUP BY rep),
-r AS (SELECT *, row_number() OVER (ORDER BY mean) AS r FROM reps) SELECT round(any_value(observed), 9)::double AS observed, round(max(mean) FILTER (r = {LOW}), 9)::double AS low, round(max(mean) FILTER (r = {HIGH}), 9)::double AS high FROM observed, r""")
+#: Differences of format rates have some two hundred values.
+@query(f"""WITH {OBJECTIVE_SQL}, v AS (SELECT component, round(diff, 9) AS value FROM diffs), {replicates_sql('v', 'component', SAMPLES, 8)},
+r AS (SELECT *, row_number() OVER (ORDER BY mean) AS r FROM (SELECT rep, sum({WEIGHTED} * mean) AS mean FROM v_means GROUP BY rep)),
+observed AS (SELECT sum({WEIGHTED} * mean) AS observed FROM (SELECT cell, sum(value * c) / sum(c) AS mean FROM v_c GROUP BY cell))
+SELECT round(any_value(observed), 9)::double AS observed, round(low, 9)::double AS low, round(high, 9)::double AS high FROM observed, (SELECT {ENDS_SQL('mean', SAMPLES)} FROM r) GROUP BY low, high""")
 def bootstrap_weighted_diff(spark, d):
-    return stats.weighted_diff_ci(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER).withColumns(nine("observed", "low", "high"))
+    return stats.weighted_diff_ci(objective(spark, d), cases.COMPONENTS, SAMPLES).withColumns(nine("observed", "low", "high"))
 
 
-FLIP_SQL = f"""{INDEXED_SQL}, flips AS (SELECT component, 64 * block + j AS rep, CASE WHEN contains('02468ace', substr(h, j::int + 1, 1)) THEN value ELSE -value END AS value FROM (SELECT component, value, block, sha256('3407|flip|' || component || '|' || block || '|' || idx) AS h FROM v, range({(SAMPLES - 1) // 64 + 1}) t(block)), range(64) u(j) WHERE 64 * block + j < {SAMPLES}),
-nulls AS (SELECT rep, sum(w * mean) AS stat FROM (SELECT component, rep, {WEIGHT_SQL} AS w, avg(value) AS mean FROM flips GROUP BY ALL) GROUP BY rep),
+FLIP_SQL = f"""{OBJECTIVE_SQL}, v AS (SELECT component, round(diff, 9) AS value FROM diffs), {flipped_sql('v', 'component', SAMPLES)},
+observed AS (SELECT sum({WEIGHTED} * mean) AS observed FROM (SELECT cell, sum(value * c) / sum(c) AS mean FROM v_c GROUP BY cell)),
+nulls AS (SELECT rep, sum({WEIGHTED} * mean) AS stat FROM v_flips GROUP BY rep),
 tested AS (SELECT any_value(observed) AS observed, (count(*) FILTER (round(stat, 12) >= round(observed, 12)) + 1) / {SAMPLES + 1}.0 AS p_value FROM observed, nulls)"""
-SCORE_SQL = "0.35 * avg(pass_at_1::int) FILTER (benchmark = 'click') + 0.25 * avg(pass_at_1::int) FILTER (benchmark = 'view') + 0.2 * avg(pass_at_1::int) FILTER (benchmark = 'purchase') + 0.1 * avg(pass_at_1::int) + 0.1 * (1 - avg(format_errors / 100.0))"
 
 
 @query(f"WITH {FLIP_SQL} SELECT round(observed, 9)::double AS observed, round(p_value, 9)::double AS p_value FROM tested")
 def sign_flip_pvalue(spark, d):
-    return stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER).withColumns(nine("observed", "p_value"))
-
-
-@query(f"""WITH {FLIP_SQL}, r AS (SELECT benchmark, side, avg(pass_at_1::int) AS pass_mean, avg(format_errors / 100.0)::double AS format_mean FROM logs GROUP BY ALL),
-c AS (SELECT b.benchmark, p.pass_mean + 1e-6 >= b.pass_mean - 0.01 AND p.pass_mean - 0.05 + 1e-6 >= b.pass_mean - 0.05 - 0.02 AS pass_ok, p.format_mean <= b.format_mean + 0.01 AS format_ok FROM r b JOIN r p USING (benchmark) WHERE b.side = 'base' AND p.side = 'post'),
-s AS (SELECT (SELECT avg(format_errors / 100.0)::double FROM post) AS post_format, (SELECT {SCORE_SQL} FROM base) AS b, (SELECT {SCORE_SQL} FROM post) AS p),
-g AS (SELECT post_format, (p - b) / b AS gain, (p - 0.046 - b - 0.046) / (b + 0.046) AS gain_low, p_value FROM s, tested)
+    return stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES).withColumns(nine("observed", "p_value"))
+
+
+#: Replicates of the gate's intervals.
+GATE_SAMPLES = 200
+#: Per run and group (each benchmark, and all as ``global``): intervals of the pass rate and of the rate of format errors.
+GATE_SQL = ", ".join(
+    f"{side}_groups AS (SELECT benchmark AS grp, * FROM {side} UNION ALL SELECT 'global', * FROM {side}), "
+    f"{side}_pass AS (SELECT grp, pass_at_1::int::double AS value FROM {side}_groups), {interval_sql(f'{side}_pass', 'grp', GATE_SAMPLES, 1)}, "
+    f"{side}_fmt AS (SELECT grp, format_errors / 100.0::double AS value FROM {side}_groups), {interval_sql(f'{side}_fmt', 'grp', GATE_SAMPLES, 7)}, "
+    f"{side}_score AS (SELECT {', '.join(f'sum(CASE p.cell {chr(32).join(f"WHEN {chr(39)}{b}{chr(39)} THEN {w}" for b, w in (("click", 0.35), ("view", 0.25), ("purchase", 0.2), ("global", 0.1)))} ELSE 0 END * p.{x}) + 0.1 * (1 - any_value(f.{y})) AS {x}' for x, y in (('mean', 'mean'), ('low', 'high'), ('high', 'low')))} "
+    f"FROM {side}_pass_ci p, (SELECT * FROM {side}_fmt_ci WHERE cell = 'global') f)"
+    for side in ("base", "post"))
+
+
+@query(f"""WITH {FLIP_SQL}, {GATE_SQL},
+c AS (SELECT cell AS benchmark, p.mean + 1e-6 >= b.mean - 0.01 AND p.low + 1e-6 >= b.low - 0.02 AS pass_ok, pf.mean <= bf.mean + 0.01 AS format_ok
+  FROM base_pass_ci b JOIN post_pass_ci p USING (cell) JOIN base_fmt_ci bf USING (cell) JOIN post_fmt_ci pf USING (cell) WHERE cell <> 'global'),
+s AS (SELECT (SELECT mean FROM post_fmt_ci WHERE cell = 'global') AS post_format, b.*, p.mean AS p_mean, p.low AS p_low FROM base_score b, post_score p),
+g AS (SELECT post_format, (p_mean - mean) / greatest(1e-6, mean) AS gain, (p_low - high) / greatest(1e-6, high) AS gain_low, p_value FROM s, tested)
 SELECT array_to_string(list_filter([CASE WHEN post_format >= 0.02 THEN 'format_error_rate' END, CASE WHEN gain < 0.15 THEN 'relative_improvement' END, CASE WHEN gain_low < 0.05 THEN 'relative_improvement_lower_bound' END, CASE WHEN p_value > 0.05 THEN 'significance' END,
 (SELECT string_agg('no_regression:' || benchmark, ',' ORDER BY benchmark) FROM c WHERE NOT (pass_ok AND format_ok))], lambda x: x IS NOT NULL), ',') AS failures, round(gain, 9)::double AS gain, round(gain_low, 9)::double AS gain_low, round(p_value, 9)::double AS p_value FROM g""")
 def gate_checks(spark, d):
-    """The acceptance gate from its inputs: composite scores with intervals of both runs, the sign-flip test, and reports per benchmark."""
-    around = lambda mean, width: F.array(mean, mean - width, mean + width)
-
+    """The acceptance gate from its inputs: composite scores with bootstrap intervals of both runs, the sign-flip test, and reports per benchmark."""
     def report(log):
-        return log.groupBy("benchmark").agg(F.avg(cases.metric("pass")).alias("pass_mean"), F.avg(cases.format_error_rate()).alias("format_mean")).withColumn("pass_low", F.col("pass_mean") - 0.05)
+        groups = log.withColumn("grp", F.col("benchmark")).unionByName(log.withColumn("grp", F.lit("global")))
+        return cases.report_with_intervals(groups, "grp", GATE_SAMPLES)
 
-    def scores(log):
-        passed = lambda b: around(F.avg(F.when(F.col("benchmark") == b, cases.metric("pass"))), 0.05)
-        one = log.agg(*[passed(b).alias(c) for c, b in V.BENCHMARKS.items()], around(F.avg(cases.metric("pass")), 0.05).alias("agent"), around(F.avg(cases.format_error_rate()), 0.01).alias("format_rate"))
+    def scores(found):
+        of = lambda group, metric: F.first(F.when(F.col("grp") == group, F.col(metric)), ignorenulls=True)
+        one = found.agg(*[of(b, "pass_at_1_ci").alias(c) for c, b in V.BENCHMARKS.items()], of("global", "pass_at_1_ci").alias("agent"), of("global", "format_error_rate_ci").alias("format_rate"))
         return one.select(cases.primary_score(*V.BENCHMARKS, "agent", "format_rate").alias("score"), "format_rate")
 
-    base, post = sides(spark, d)
-    tested = stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES, DIFF_ORDER)
+    def means(found):
+        return found.where("grp <> 'global'").select(F.col("grp").alias("benchmark"), F.col("pass_at_1_ci")[0].alias("pass_mean"), F.col("pass_at_1_ci")[1].alias("pass_low"), F.col("format_error_rate_ci")[0].alias("format_mean"))
+
+    base, post = (report(log) for log in sides(spark, d))
+    tested = stats.sign_flip(objective(spark, d), cases.COMPONENTS, SAMPLES)
     inputs = cases.gate_inputs(scores(base), scores(post), tested)
-    failed = cases.gate_failures(inputs, cases.regression_checks(report(base), report(post)))
+    failed = cases.gate_failures(inputs, cases.regression_checks(means(base), means(post)))
     return failed.select(F.array_join("failures", ",").alias("failures"), "gain", "gain_low", "p_value").withColumns(nine("gain", "gain_low", "p_value"))
 
 
@@ -520,6 +533,15 @@ def prm_predict(spark, d):
     return prm.predict(V.read(spark, d, "documents"), "doc_id", "text", fixed_weights(spark), 0.25, 1024).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH rows AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256('3407|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY h) - 1 AS idx FROM rows""")
+def numbered_rows(spark, d):
+    """All line items numbered in a seeded random order."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = V.read(spark, d, "lineitem").select(*key).withColumn("h", sampling.seeded(F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
+    return sampling.numbered(rows, ["h"]).drop("h")
+
+
 @query()
 def prm_train_exact(spark, d):
     """Rows only: sequential training."""
@@ -527,6 +549,14 @@ def prm_train_exact(spark, d):
     return prm.train(rows, "text", "quality", "doc_id")
 
 
+@query()
+def prm_train_logistic(spark, d):
+    """Rows only: the optimum of an iterative fit. Fitted on all labelled documents, applied to all documents."""
+    docs, labels = V.read(spark, d, "documents"), V.read(spark, d, "labels").where("quality IS NOT NULL")
+    model = prm.fit_logistic(docs.join(labels, "doc_id"), "text", "quality")
+    return prm.predict(docs, "doc_id", F.coalesce("text", F.lit("")), model.frame(spark), model.bias, mean=True)
+
+
 # --- rewards ----------------------------------------------------------------------------
 
 def completions(spark, d):
@@ -573,17 +603,32 @@ def diversity_reward(spark, d):
 ANY_SQL = lambda *ws: "(" + " OR ".join(f"contains(low, '{w}')" for w in ws) + ")::int"
 
 
-@query(f"""WITH {COMPLETIONS}, r AS (SELECT *, CASE WHEN kind = 0 THEN {V.strip_sql("'First, the test step because' || chr(10) || 'assert x edge case ' || reply")} ELSE '' END AS reasoning, CASE WHEN kind < 2 THEN {V.strip_sql('reply')} ELSE '' END AS answer FROM completions),
+#: A completion's parts, and the process reward's terms without the learned one.
+PROCESS_SQL = f"""{COMPLETIONS}, r AS (SELECT *, CASE WHEN kind = 0 THEN {V.strip_sql("'First, the test step because' || chr(10) || 'assert x edge case ' || reply")} ELSE '' END AS reasoning, CASE WHEN kind < 2 THEN {V.strip_sql('reply')} ELSE '' END AS answer FROM completions),
 m AS (SELECT *, lower(reasoning) AS low, {WORDS_SQL('reasoning')} AS n, {WORDS_SQL('answer')} AS na, len(list_intersect({SYMBOLS_SQL("prompt || chr(10) || tests")}, {SYMBOLS_SQL('reasoning')})) AS shared,
-  len(list_filter(regexp_split_to_array(reasoning, '[\\r\\n]+'), lambda x: regexp_matches(x, '\\S'))) AS lines, len(list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda w: w <> ''))) AS kinds FROM r)
-SELECT conv_id, turn, round(greatest(-0.5, least(1.0, CASE WHEN reasoning = '' THEN -0.15 ELSE 0.2 * (n >= 30)::int + 0.1 * (n >= 70)::int - 0.15 * (n > 450)::int + 0.2 * {ANY_SQL('assert', 'test')} + 0.15 * {ANY_SQL('edge', 'boundary', 'corner')} + 0.1 * {ANY_SQL('complex', 'o(')}
+  len(list_filter(regexp_split_to_array(reasoning, '[\\r\\n]+'), lambda x: regexp_matches(x, '\\S'))) AS lines, len(list_distinct(list_filter(regexp_split_to_array(lower(reasoning), '\\s+'), lambda w: w <> ''))) AS kinds FROM r)"""
+TERMS_SQL = f"""CASE WHEN reasoning = '' THEN -0.15 ELSE 0.2 * (n >= 30)::int + 0.1 * (n >= 70)::int - 0.15 * (n > 450)::int + 0.2 * {ANY_SQL('assert', 'test')} + 0.15 * {ANY_SQL('edge', 'boundary', 'corner')} + 0.1 * {ANY_SQL('complex', 'o(')}
   + 0.1 * {ANY_SQL('first', 'then', 'finally', 'step', 'plan')} + (tests <> '')::int * (0.1 * {ANY_SQL('assert', 'test')} + 0.1 * {ANY_SQL('regression', 'edge', 'boundary')})
   + 0.08 * (lines >= 2)::int + 0.07 * {ANY_SQL('because', 'therefore', 'so that', 'hence')} + 0.08 * {ANY_SQL('first', 'second', 'then', 'finally', 'step')} + 0.07 * (shared >= 2)::int - 0.12 * (kinds / greatest(1, n)::double < 0.35)::int END
-  + CASE WHEN answer = '' THEN -0.2 WHEN na < 4 THEN -0.12 WHEN na <= 220 THEN 0.06 ELSE 0 END)), 9)::double AS reward FROM m""")
+  + CASE WHEN answer = '' THEN -0.2 WHEN na < 4 THEN -0.12 WHEN na <= 220 THEN 0.06 ELSE 0 END"""
+
+
+@query(f"WITH {PROCESS_SQL} SELECT conv_id, turn, round(greatest(-0.5, least(1.0, {TERMS_SQL})), 9)::double AS reward FROM m")
 def process_reward(spark, d):
     return completions(spark, d).select("conv_id", "turn", F.round(R.process_reward("prompt", "text", "tests"), 9).alias("reward"))
 
 
+@query(f"""WITH {PROCESS_SQL}, w AS (SELECT i::int AS bucket, ({V.hash8_sql("'w' || i")} % 201 - 100) / 10000.0 AS weight FROM range(1024) t(i)),
+dots AS (SELECT conv_id, turn, sum(weight) AS dot FROM (SELECT conv_id, turn, ({V.hash8_sql('t')} % 1024)::int AS bucket FROM
+  (SELECT conv_id, turn, unnest(regexp_extract_all(lower('prompt=' || coalesce(prompt, '') || chr(10) || 'reasoning=' || reasoning || chr(10) || 'tests=' || tests || chr(10) || 'answer=' || answer), '[a-zA-Z_][a-zA-Z0-9_]+')) AS t FROM m)) JOIN w USING (bucket) GROUP BY ALL)
+SELECT conv_id, turn, round(greatest(-0.5, least(1.0, {TERMS_SQL} + 0.6 * (1 / (1 + exp(-(coalesce(dot, 0) + 0.25))) - 0.5))), 6)::double AS reward FROM m LEFT JOIN dots USING (conv_id, turn)""")
+def process_reward_learned(spark, d):
+    """The process reward with a scorer's term: its model reads prompt, reasoning, tests and answer where the row is."""
+    score = prm.scorer(fixed_weights(spark), 0.25, 1024)
+    scored = completions(spark, d).withColumn("prm", score(R.process_record("prompt", "text", "tests")))
+    return scored.select("conv_id", "turn", F.round(R.process_reward("prompt", "text", "tests", "prm"), 6).alias("reward"))
+
+
 @query(f"""WITH {V.CANDIDATES}, s AS (SELECT *, score >= 1.99 AS ok, CASE WHEN score >= 1.99 THEN 1.0 WHEN score = 0.5 THEN 0.45 ELSE 0.1 END AS frac FROM candidates)
 SELECT prompt_id, text, l_shipdate, l_quantity, l_extendedprice, round(greatest(-3.0, least(3.5, (CASE WHEN ok THEN 2.0 + CASE WHEN exec_time < 0.05 THEN 0.4 WHEN exec_time > 0.8 THEN -0.4 ELSE 0 END ELSE greatest(-0.2, 1.4 * frac) + CASE WHEN score = 0.5 THEN -0.4 ELSE -0.3 END END) * 1.01)), 9)::double AS reward FROM s""")
 def execution_reward(spark, d):

@@ -8,7 +8,7 @@ from loomspark.functions import text as X
 from loomspark.operators import cases, corpus, patches, prm, rl, templates, trajectories
 from loomspark.plans import views as V
 from loomspark.sources.work import Work
-from .catalog import draws_sql, nine, query
+from .catalog import interval_sql, nine, query
 
 NL = "chr(10)"
 
@@ -279,18 +279,25 @@ def prm_records(spark, d):
     return logs.select("conv_id", prm.record_text("prompt", "error_type", "history", "tests", "result_code").alias("text"), prm.label("all_passed", "pass_at_1").alias("label"))
 
 
+@query()
+def prm_fitted_records(spark, d):
+    """Rows only: case logs become records, a model is fitted on them at scale, and scores them."""
+    records = prm_records(spark, d)
+    model = prm.fit_logistic(records, "text", "label", 1024)
+    return prm.predict(records.select("conv_id", "text"), "conv_id", "text", model.frame(spark), model.bias, 1024, mean=True)
+
+
 # --- reports ----------------------------------------------------------------------------
 
 GROUPS = {"core": ["click", "view"], "money": ["purchase", "view"]}
 SAMPLES = 200
 REPORT_SQL = f"""{V.CASE_LOGS}, g AS (SELECT * FROM (VALUES ('core', 'click'), ('core', 'view'), ('money', 'purchase'), ('money', 'view')) t(grp, benchmark)),
-v AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT grp, event_id, pass_at_1::int::double AS a, pass_at_k::int::double AS b, format_errors / 100.0::double AS c, rounds_used::double AS rounds FROM base JOIN g USING (benchmark) UNION ALL SELECT 'global', event_id, pass_at_1::int::double, pass_at_k::int::double, format_errors / 100.0::double, rounds_used::double FROM base)),
-draws AS ({draws_sql('grp', SAMPLES)}),
-reps AS (SELECT d.grp, rep, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM draws d JOIN v ON v.grp = d.grp AND v.idx = d.idx GROUP BY ALL),
-sorted AS (SELECT grp, list(a ORDER BY a) AS a, list(b ORDER BY b) AS b, list(c ORDER BY c) AS c FROM reps GROUP BY grp),
-means AS (SELECT grp, count(*) AS total, avg(rounds) AS avg_rounds, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM v GROUP BY grp)"""
-LOW, HIGH = int(0.025 * (SAMPLES - 1)) + 1, int(0.975 * (SAMPLES - 1)) + 1
-INTERVAL_SQL = ", ".join(f"round(m{x}, 9)::double AS {name}_mean, round({x}[{LOW}], 9)::double AS {name}_low, round({x}[{HIGH}], 9)::double AS {name}_high" for x, name in zip("abc", ("pass_at_1", "pass_at_k", "format_error_rate")))
+v AS (SELECT grp, pass_at_1::int::double AS a, pass_at_k::int::double AS b, format_errors / 100.0::double AS c, rounds_used::double AS rounds FROM base JOIN g USING (benchmark) UNION ALL SELECT 'global', pass_at_1::int::double, pass_at_k::int::double, format_errors / 100.0::double, rounds_used::double FROM base),
+{", ".join(f"v{x} AS (SELECT grp, {x} AS value FROM v), {interval_sql(f'v{x}', 'grp', SAMPLES, levels)}" for x, levels in (("a", 1), ("b", 1), ("c", 7)))},
+means AS (SELECT grp, count(*) AS total, avg(rounds) AS avg_rounds FROM v GROUP BY grp)"""
+METRICS = dict(zip("abc", ("pass_at_1", "pass_at_k", "format_error_rate")))
+INTERVAL_SQL = ", ".join(f"round(v{x}_ci.{part}, 9)::double AS {name}_{part}" for x, name in METRICS.items() for part in ("mean", "low", "high"))
+JOINED_SQL = " ".join(f"JOIN v{x}_ci ON v{x}_ci.cell = grp" for x in METRICS)
 
 
 def flat(df, *metrics):
@@ -298,10 +305,10 @@ def flat(df, *metrics):
     return df.withColumns({f"{m}_{part}": F.round(F.col(f"{m}_ci")[i], 9) for m in metrics for i, part in enumerate(("mean", "low", "high"))}).drop(*[f"{m}_ci" for m in metrics])
 
 
-@query(f"WITH {REPORT_SQL} SELECT grp, total, round(avg_rounds, 9)::double AS avg_rounds, {INTERVAL_SQL} FROM means JOIN sorted USING (grp)")
+@query(f"WITH {REPORT_SQL} SELECT grp, total, round(avg_rounds, 9)::double AS avg_rounds, {INTERVAL_SQL} FROM means {JOINED_SQL}")
 def evaluation_report(spark, d):
     logs = V.case_logs(spark, d).where("side = 'base'")
-    report = cases.report_with_intervals(cases.report_groups(logs, GROUPS), "grp", "event_id", SAMPLES)
+    report = cases.report_with_intervals(cases.report_groups(logs, GROUPS), "grp", SAMPLES)
     return flat(report, "pass_at_1", "pass_at_k", "format_error_rate").withColumns(nine("avg_rounds"))
 
 

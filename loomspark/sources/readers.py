@@ -6,11 +6,12 @@ import itertools
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions.text import as_text, first_nonempty, strip
+from loomspark.operators.sampling import numbered
 
 CASE_LOG = (
     "benchmark string, id string, mode string, prompt string, tests string, pass_at_1 boolean, pass_at_k boolean, format_errors int, generated_candidates int, rounds_used int, "
@@ -103,8 +104,7 @@ def prompt_scan(df: DataFrame, n: int, order: str, prefer: tuple[str, ...] = ("t
 
 def holdout_cases(df: DataFrame, n: int, order: str) -> DataFrame:
     """Cases of a holdout: the split by priority, the first n rows, then those with a prompt and tests."""
-    rows = choose_split(df, ("holdout_clean", "test", "val_strict", "train")).orderBy(order).limit(n)
-    rows = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = numbered(choose_split(df, ("holdout_clean", "test", "val_strict", "train")), [order], name="_i").where(F.col("_i") < n)
     own = first_nonempty(df, ("id",), default=None)
     rows = rows.withColumn("id", F.coalesce(own, F.concat(F.lit("private_holdout_"), "_i"))).drop("_i")
     return rows.where((strip(F.coalesce("prompt", F.lit(""))) != "") & (strip(F.coalesce("tests", F.lit(""))) != ""))

@@ -6,8 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .readers import exists
-
 
 def work_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without it works below its warehouse, a cluster must name a shared folder."""
@@ -20,8 +18,11 @@ def work_root(spark: SparkSession) -> str:
 
 
 class Work:
+    """Frames that an operator returns may read its tables, so they stay until ``close``, or until the driver ends."""
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -29,10 +30,12 @@ class Work:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and returns a frame that reads it: lineage ends here."""
         df.write.mode("overwrite").parquet(self.path(name))
+        if not self.kept:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self.kept = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def close(self) -> None:
         """Deletes all tables of this call."""
-        if exists(self.spark, self.root):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -96,14 +96,14 @@ def test_intervals(spark):
     empty = spark.createDataFrame([], "k int, value double")
     one = spark.createDataFrame([(1, 0.5)], "k int, value double")
     many = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "k int, value double")
-    assert stats.bootstrap_ci(one, 20, ["k"]).first()[:3] == (0.5, 0.5, 0.5)
-    r = stats.bootstrap_ci(many, 60, ["k"]).first()
-    assert r.low <= r["mean"] <= r.high and stats.bootstrap_ci(empty, 10, ["k"]).count() <= 1
+    assert stats.bootstrap_ci(one, 20).first()[:3] == (0.5, 0.5, 0.5)
+    r = stats.bootstrap_ci(many, 60).first()
+    assert r.low <= r["mean"] <= r.high and stats.bootstrap_ci(empty, 10).count() <= 1
     diffs = spark.createDataFrame([(i, c, 1.0 if i % 2 else 0.5) for c in cases.COMPONENTS for i in range(6)], "i int, component string, diff double")
-    ci = stats.weighted_diff_ci(diffs, cases.COMPONENTS, 40, ["i"]).first()
+    ci = stats.weighted_diff_ci(diffs, cases.COMPONENTS, 40).first()
     assert ci.observed == pytest.approx(0.75) and ci.low <= ci.observed <= ci.high
-    p = stats.sign_flip(diffs, cases.COMPONENTS, 40, ["i"]).first().p_value
-    assert 1 / 41 <= p <= 1 and stats.sign_flip(diffs, cases.COMPONENTS, 0, ["i"]).first().p_value == 1.0
+    p = stats.sign_flip(diffs, cases.COMPONENTS, 40).first().p_value
+    assert 1 / 41 <= p <= 1 and stats.sign_flip(diffs, cases.COMPONENTS, 0).first().p_value == 1.0
     with pytest.raises(ValueError):
         stats.require_components(diffs.where("component != 'format_quality'"), cases.COMPONENTS)
 
