@@ -48,7 +48,12 @@ def answer_fingerprint(text) -> Column:
 
 def diversity_reward(prompt, text, order) -> Column:
     """First of its kind under a prompt earns, each repeat costs more."""
-    seen = F.row_number().over(Window.partitionBy(F.coalesce(col(prompt), F.lit("")), answer_fingerprint(text)).orderBy(order)) - 1
+    return repeat_reward(F.row_number().over(Window.partitionBy(F.coalesce(col(prompt), F.lit("")), answer_fingerprint(text)).orderBy(order)) - 1)
+
+
+def repeat_reward(seen) -> Column:
+    """From the number of equal answers before."""
+    seen = col(seen)
     return F.when(seen == 0, 0.08).otherwise(-F.least(F.lit(0.25), 0.10 + 0.05 * seen))
 
 

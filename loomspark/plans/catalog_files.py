@@ -7,11 +7,13 @@ import json
 from pyspark.sql import functions as F
 
 from loomspark.functions import quality as Q
+from loomspark.functions import rewards as R
 from loomspark.functions import text as X
 from loomspark.operators import repair, sampling, verify
 from loomspark.plans import views as V
 from loomspark.sources import readers, sinks
 from loomspark.sources.work import Work
+from loomspark.streaming import state
 from .catalog import SPLIT_SQL, query, split_documents
 
 S = V.strip_sql
@@ -304,3 +306,40 @@ def model_names(spark, d):
     name = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("n_nationkey") % 6 + 1).cast("int"))
     rows = V.read(spark, d, "nation").select("n_nationkey", F.replace(name, F.lit("{}"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))).alias("name"))
     return rows.select("n_nationkey", readers.looks_like_repository("name").alias("is_repository"))
+
+
+# --- streams ----------------------------------------------------------------------------
+
+#: Events as they arrive: every tenth some days late, in six batches of days.
+ARRIVED_SQL = f"""lagged AS (SELECT event_id, user_id, event_type, value, ts, {V.hash8_sql("'late|' || event_id")} AS h FROM events),
+arrived AS (SELECT *, greatest(0, least(5, (date_diff('day', DATE '2024-01-01', ts::date) + CASE WHEN h % 10 = 0 THEN h // 10 % 9 ELSE 0 END) // 6)) AS b FROM lagged),
+marks AS (SELECT b, (SELECT date_trunc('milliseconds', max(ts)) FROM arrived e WHERE e.b < t.b) - INTERVAL 2 DAY AS mark FROM range(6) t(b)),
+timely AS (SELECT a.* FROM arrived a JOIN marks USING (b) WHERE mark IS NULL OR ts > mark)"""
+
+
+def arrived(spark, d):
+    h = X.hash8(F.concat(F.lit("late|"), F.col("event_id").cast("string")))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + F.when(h % 10 == 0, F.floor(h / 10) % 9).otherwise(0)
+    number = F.greatest(F.lit(0), F.least(F.lit(5), F.floor(day / 6))).cast("int")
+    return V.read(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", number.alias("b"))
+
+
+@query(f"""WITH {ARRIVED_SQL}, n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY b, event_id) - 1 AS seen FROM timely)
+SELECT event_id, seen, round(CASE WHEN seen = 0 THEN 0.08 ELSE -least(0.25, 0.10 + 0.05 * seen) END, 9)::double AS reward FROM n""")
+def streamed_repeats(spark, d):
+    """The diversity reward on a stream: repeats are counted across micro-batches and restarts, late rows are left out."""
+    root = Work(spark, "streamed-repeats")
+    counted = lambda rows: state.repeats(rows, ["user_id", "event_type"], ["event_id"], "ts", "2 days")
+    told = state.feed(arrived(spark, d), "b", counted, spark, root.held(), 6)
+    return told.select("event_id", "seen", F.round(R.repeat_reward("seen"), 9).alias("reward"))
+
+
+@query(f"""WITH {ARRIVED_SQL}, w AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM timely),
+i AS (SELECT *, best_before IS NULL OR value > best_before AS improved FROM w), g AS (SELECT *, sum(improved::int) OVER (PARTITION BY user_id ORDER BY b, event_id) AS island FROM i)
+SELECT event_id, best_before, improved, row_number() OVER (PARTITION BY user_id, island ORDER BY b, event_id) - 1 AS stale, row_number() OVER (PARTITION BY user_id, island ORDER BY b, event_id) - 1 >= 3 AS stop FROM g""")
+def streamed_stagnation(spark, d):
+    """The best score so far and the rounds since, on a stream."""
+    root = Work(spark, "streamed-stagnation")
+    watched = lambda rows: state.stagnation(rows, ["user_id"], ["event_id"], "value", 3, "ts", "2 days")
+    told = state.feed(arrived(spark, d), "b", watched, spark, root.held(), 6)
+    return told.select("event_id", "best_before", "improved", F.col("stale_rounds").alias("stale"), "stop")

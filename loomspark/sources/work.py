@@ -27,12 +27,19 @@ class Work:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def held(self) -> str:
+        """The folder itself, made and marked to go when the driver ends."""
+        if not self.kept:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            files = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(p)
+            self.kept = files.deleteOnExit(p)
+        return self.root
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and returns a frame that reads it: lineage ends here."""
         df.write.mode("overwrite").parquet(self.path(name))
-        if not self.kept:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            self.kept = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+        self.held()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def close(self) -> None:
