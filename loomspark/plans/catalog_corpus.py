@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
-from loomspark.operators import cases, corpus, patches, prm, rl, templates, trajectories
+from loomspark.operators import cases, corpus, patches, prm, rl, search, templates, trajectories
 from loomspark.plans import views as V
 from loomspark.sources.work import Work
 from .catalog import interval_sql, nine, query
@@ -287,6 +287,54 @@ def prm_fitted_records(spark, d):
     return prm.predict(records.select("conv_id", "text"), "conv_id", "text", model.frame(spark), model.bias, 1024, mean=True)
 
 
+#: Turns as rounds of a search: eight conversations are a case's candidates, and a turn's parent is one of the eight's turns before.
+SEARCH_SQL = f"""turns AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+hashed AS (SELECT *, (turn - (SELECT min(turn) FROM turns) + 1)::int AS round, {V.hash8_sql("'node|' || conv_id || '|' || turn")} AS h FROM turns),
+nodes AS (SELECT conv_id // 8 AS "case", round, conv_id AS node, CASE WHEN round > 1 THEN conv_id // 8 * 8 + h % 8 END AS parent, text AS code, (h // 8 % 50) / 10.0::double AS node_score, (h // 400 % 5)::double AS score, (length(text) % 7)::double AS exec_time, h // 2000 % 29 = 0 AS all_passed FROM hashed),
+search AS (
+  SELECT *, row_number() OVER o AS place, first_value(node_score) OVER o AS best, 1 AS best_round, first_value(node) OVER o AS best_node, 0 AS stale,
+    bool_or(all_passed) OVER (PARTITION BY "case") AS over
+  FROM nodes WHERE round = 1 WINDOW o AS (PARTITION BY "case" ORDER BY node_score DESC, score DESC, exec_time, node)
+  UNION ALL
+  SELECT "case", round, node, parent, code, node_score, score, exec_time, all_passed, place, CASE WHEN top > best THEN top ELSE best END, CASE WHEN top > best THEN round ELSE best_round END,
+    CASE WHEN top > best THEN top_node ELSE best_node END, CASE WHEN top > best THEN 0 ELSE stale + 1 END, over
+  FROM (SELECT n.*, s.best, s.best_round, s.best_node, s.stale, row_number() OVER o AS place, first_value(n.node_score) OVER o AS top, first_value(n.node) OVER o AS top_node, bool_or(n.all_passed) OVER (PARTITION BY n."case") AS over
+        FROM nodes n JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY place) AS beam FROM (SELECT *, row_number() OVER (PARTITION BY "case", code ORDER BY place) AS twin FROM search WHERE NOT over AND stale < 2) WHERE twin = 1 AND {S("coalesce(code, '')")} <> '') WHERE beam <= 3) s
+          ON n."case" = s."case" AND n.parent = s.node AND n.round = s.round + 1
+        WINDOW o AS (PARTITION BY n."case" ORDER BY n.node_score DESC, n.score DESC, n.exec_time, n.node))),
+ends AS (SELECT * FROM search QUALIFY round = max(round) OVER (PARTITION BY "case")),
+outcome AS (SELECT "case", CASE WHEN bool_or(all_passed) THEN 'passed' ELSE 'failed' END AS status, CASE WHEN bool_or(all_passed) THEN any_value(round) ELSE any_value(best_round) END AS round,
+  CASE WHEN bool_or(all_passed) THEN arg_min(node, place) FILTER (all_passed) ELSE any_value(best_node) END AS node, any_value(round) AS n_rounds FROM ends GROUP BY "case"),
+path AS (SELECT o."case", n.round, n.node, n.parent FROM outcome o JOIN nodes n ON n."case" = o."case" AND n.round = o.round AND n.node = o.node
+  UNION ALL SELECT p."case", n.round, n.node, n.parent FROM path p JOIN nodes n ON n."case" = p."case" AND n.round = p.round - 1 AND n.node = p.parent)"""
+
+
+def search_nodes(spark, d):
+    turns = V.read(spark, d, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    start = turns.agg(F.min("turn")).first()[0] or 0
+    h = X.hash8(F.concat_ws("|", F.lit("node"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    turns = turns.withColumns({"h": h, "round": (F.col("turn") - start + 1).cast("int"), "case": F.floor(F.col("conv_id") / 8)})
+    digit = lambda low, n: F.floor(F.col("h") / low) % n
+    return turns.select(
+        "case", "round", F.col("conv_id").alias("node"), F.when(F.col("round") > 1, F.col("case") * 8 + F.col("h") % 8).alias("parent"), F.col("text").alias("code"), (digit(8, 50) / 10.0).alias("node_score"),
+        digit(400, 5).cast("double").alias("score"), (F.length("text") % 7).cast("double").alias("exec_time"), (digit(2000, 29) == 0).alias("all_passed"))
+
+
+def searched(spark, d):
+    nodes = search_nodes(spark, d)
+    return search.tree_search(nodes, nodes.agg(F.max("round")).first()[0] or 1, width=3, patience=2)
+
+
+@query(f'WITH RECURSIVE {SEARCH_SQL} SELECT "case", status, round, node, n_rounds FROM outcome')
+def search_outcomes(spark, d):
+    return searched(spark, d)[0]
+
+
+@query(f'WITH RECURSIVE {SEARCH_SQL} SELECT "case", round, node FROM path')
+def search_paths(spark, d):
+    return searched(spark, d)[1]
+
+
 # --- reports ----------------------------------------------------------------------------
 
 GROUPS = {"core": ["click", "view"], "money": ["purchase", "view"]}
