@@ -12,6 +12,7 @@ from loomspark.functions import text as X
 from loomspark.operators import repair, sampling, verify
 from loomspark.plans import views as V
 from loomspark.sources import readers, sinks
+from loomspark.sources.repository import list_files, write_files
 from loomspark.sources.work import Work
 from loomspark.streaming import state
 from .catalog import SPLIT_SQL, query, split_documents
@@ -165,29 +166,29 @@ def saved_weights(spark, d):
     return weights.select("bucket", "weight", F.lit(bias).alias("bias"), F.lit(buckets).alias("buckets"))
 
 
-def repository(spark, d) -> tuple[str, str]:
-    """Nations as files of a small repository, some of them in folders that a walk leaves out; the root and one ignored folder."""
-    root = Work(spark, "repository").root
-    for r in V.read(spark, d, "nation").collect():  # 25 rows by nature
-        folder = ("src", ".git", "node_modules", "a/b", ".tool_cache")[r.n_nationkey % 5]
-        sinks.write_text(spark, f"{root}/{folder}/{r.n_name.lower().replace(' ', '_')}{'.py' if r.n_nationkey % 2 else '.bin'}", f"nation {r.n_nationkey}\n{r.n_name}")
+def repository(spark, d) -> str:
+    """Documents as files of a repository, some of them in folders that a walk leaves out; its root."""
+    root = Work(spark, "repository").held()
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src", ".git", "node_modules", "a/b", ".tool_cache")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.concat(folder, F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".bin").otherwise(".py"))
+    write_files(V.read(spark, d, "documents").where("source IS NOT NULL").select(name.alias("path"), "text"), "path", "text", root)
     return root
 
 
-REPOSITORY_SQL = f"repo AS (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'src' ELSE 'a/b' END || '/' || replace(lower(n_name), ' ', '_') || '.py' AS path, 'nation ' || n_nationkey || {NL} || n_name AS body FROM nation WHERE n_nationkey % 5 IN (0, 3) AND n_nationkey % 2 = 1)"
+REPOSITORY_SQL = f"repo AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'src' ELSE 'a/b' END || '/' || source || '/' || doc_id || '.py' AS path, substr(text, 1, 2500) AS body FROM documents WHERE source IS NOT NULL AND doc_id % 5 IN (0, 3) AND doc_id % 3 <> 0 AND {S('substr(text, 1, 2500)')} <> '')"
 
 
 @query(f"WITH {REPOSITORY_SQL} SELECT path, body FROM repo")
 def repository_walk(spark, d):
-    return readers.repository(spark, repository(spark, d))
+    return readers.repository(spark, repository(spark, d), max_files=0)
 
 
 @query(f"WITH {REPOSITORY_SQL} SELECT path, length(body) AS n_chars FROM repo")
 def cached_index(spark, d):
     """An index kept under the repository's signature: the second call reads what the first one wrote."""
-    root, work = repository(spark, d), Work(spark, "cache").root
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    build = lambda: readers.repository(spark, root).select("path", F.length("body").cast("long").alias("n_chars"))
+    root, work = repository(spark, d), Work(spark, "cache").held()
+    files = list_files(spark, root)
+    build = lambda: readers.repository(spark, root, max_files=0).select("path", F.length("body").cast("long").alias("n_chars"))
     sinks.cached_table(spark, work, sinks.repository_signature(files), build)
     return sinks.cached_table(spark, work, sinks.repository_signature(files), lambda: 1 / 0)
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from loomspark.functions.text import as_text, first_nonempty, strip
 from loomspark.operators.sampling import numbered
+from loomspark.sources.repository import list_files, read_bodies
 
 CASE_LOG = (
     "benchmark string, id string, mode string, prompt string, tests string, pass_at_1 boolean, pass_at_k boolean, format_errors int, generated_candidates int, rounds_used int, "
@@ -21,7 +22,7 @@ CASE_LOG = (
 # Folders that a repository walk leaves out, and files that it takes.
 IGNORED_DIRS = (".git", "__pycache__", ".venv", "venv", "node_modules", "dist", "build")
 #: Hidden caches of any tool are left out too.
-CACHE_DIRS = r"\.[A-Za-z0-9]+_cache"
+CACHE_DIRS = ".*_cache"
 EXTENSIONS = (".py", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg")
 TEST_KEYS = ("tests", "test", "unit_tests", "public_tests", "private_tests", "hidden_tests")
 
@@ -140,16 +141,12 @@ def cases(df: DataFrame, benchmark: str) -> DataFrame:
     return out.select(F.lit(name).alias("benchmark"), "*")
 
 
-def repository(spark: SparkSession, root: str, max_files: int = 600, max_chars: int = 2500, ignored_dirs: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
-    """path and body of a repository's text files: allowed extensions, no ignored folders, the first by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = re.escape("/" + root.split("://")[-1].strip("/")) + "/"
-    relative = F.regexp_replace("path", f"^.*?{prefix}", "")
-    ignored = "(^|/)(" + "|".join([*(re.escape(d) for d in ignored_dirs), CACHE_DIRS]) + ")/"
-    taken = "(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$"
-    rows = files.withColumn("path", relative).where(~F.col("path").rlike(ignored) & F.lower("path").rlike(taken))
-    body = F.substring(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")), 1, max_chars)
-    return rows.orderBy("path").limit(max_files).select("path", body.alias("body")).where(strip("body") != "")
+def repository(spark: SparkSession, root: str, max_files: int = 600, max_chars: int = 2500, ignored_dirs: tuple[str, ...] = (*IGNORED_DIRS, CACHE_DIRS)) -> DataFrame:
+    """path and body of a repository's text files: allowed extensions, no ignored folders, the first by path (all if max_files isn't positive)."""
+    files = list_files(spark, root, ignored_dirs, EXTENSIONS).select("path")
+    if max_files > 0:
+        files = files.orderBy("path").limit(max_files)
+    return read_bodies(files, root, max_chars).where(strip("body") != "")
 
 
 def tasks(spark: SparkSession, rows: list[dict], columns: str = "id string, prompt string, tests string") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -63,9 +64,10 @@ def load_weights(spark: SparkSession, path: str) -> tuple[DataFrame, float, int]
 
 
 def repository_signature(files: DataFrame) -> str:
-    """A hash of paths, times and sizes (columns of the binaryFile source)."""
-    parts = F.concat_ws(":", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "|").cast("binary"), 256)).first()[0]
+    """A hash of paths, times and sizes (columns of the repository source), whatever their order: two sums over the files' hashes, and their number."""
+    part = lambda *seed: F.xxhash64(*seed, "path", "changed", "n_bytes")
+    row = files.agg(F.count("*").alias("n"), F.bit_xor(part()).alias("x"), F.sum(part(F.lit("second")).cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{row.n}|{row.x}|{row.s}".encode()).hexdigest()
 
 
 def cached_table(spark: SparkSession, root: str, signature: str, build: Callable[[], DataFrame]) -> DataFrame:

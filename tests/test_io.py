@@ -84,3 +84,42 @@ def test_stream(spark, tmp_path):
     query = case_logs.distinct_failures(logs).writeStream.format("memory").queryName("failures").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("failures").count() == 2
+
+
+def test_repository_source_enters_no_ignored_folder(spark, tmp_path, monkeypatch):
+    from loomspark.sources import repository as repo
+
+    for name in ("a.py", "b/c.py", "b/node_modules/d.py", ".git/e.py", ".mypy_cache/f.py", "b/g/h.PY", "b/g/i.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("é" * 5000)
+    want = {"a.py", "b/c.py", "b/g/h.PY"}
+    for tasks in (1, 3, 64):
+        listed = []
+        walked = repo.Walk.list
+        monkeypatch.setattr(repo.Walk, "list", lambda self, folder: listed.append(folder) or walked(self, folder))
+        reader = repo.RepositoryReader({"path": str(tmp_path), "ignored": "node_modules,.git,.*_cache", "extensions": ".py", "tasks": str(tasks)})
+        found = [p for part in reader.partitions() for batch in reader.read(part) for p in batch.column(0).to_pylist()]
+        monkeypatch.undo()
+        assert sorted(found) == sorted(want)
+        assert not any("node_modules" in f or ".git" in f or "_cache" in f for f in listed)
+    files = repo.list_files(spark, f"file://{tmp_path}", ("node_modules", ".git", ".*_cache"), (".py",))
+    assert {(r.path, r.n_bytes) for r in files.collect()} == {(p, 10_000) for p in want}
+    read = []
+    system = repo.pf.LocalFileSystem()
+
+    class Counting:
+        def open_input_file(self, path):
+            f = system.open_input_file(path)
+            return type("F", (), {"__enter__": lambda s: s, "__exit__": lambda s, *a: f.close(), "read": lambda s, n: read.append(n) or f.read(n)})()
+
+    monkeypatch.setattr(repo, "opened", lambda root: (Counting(), str(tmp_path)))
+    one = spark.createDataFrame([("a.py",)], "path string")
+    monkeypatch.setattr(type(one), "mapInArrow", lambda self, f, schema: list(f([__import__("pyarrow").RecordBatch.from_pydict({"path": ["a.py"]})])))
+    assert repo.read_bodies(one, str(tmp_path), 100)[0].column(1).to_pylist() == ["é" * 100] and read == [400]
+
+
+def test_signature_ignores_the_order_of_files(spark):
+    rows = [(f"p{i}", i, 2 * i) for i in range(20)]
+    frame = lambda r: spark.createDataFrame(r, "path string, n_bytes long, changed long")
+    assert sinks.repository_signature(frame(rows)) == sinks.repository_signature(frame(rows[::-1]).repartition(3))
+    assert sinks.repository_signature(frame(rows)) != sinks.repository_signature(frame([*rows[:-1], ("p19", 19, 39)]))
