@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import quality as Q
 from loomspark.functions import rewards as R
 from loomspark.functions import text as X
-from loomspark.operators import cases, curriculum, dedup, prm, ranking, repair, retrieval, sampling, stats, templates, verify
+from loomspark.operators import cases, curriculum, dedup, mining, prm, ranking, repair, retrieval, sampling, stats, templates, verify
 from loomspark.operators.posting_index import PostingIndex
 from loomspark.operators.resampling import flipped_sql, replicates_sql
 from loomspark.plans import views as V
@@ -257,6 +257,17 @@ def hard_example_mining(spark, d):
     return dedup.keep_first(rows, dedup.task_key(F.col("prompt"), F.col("tests")), "event_id").select("event_id", "error_type", "hardness")
 
 
+@query(f"""WITH {V.FAILURES}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt, tests ORDER BY event_id) AS rn FROM hard WHERE NOT pass_at_1 AND test_quality_score >= 1.0) WHERE rn = 1),
+capped AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY hardness DESC, event_id) AS place, count(*) OVER () AS n FROM kept)
+SELECT event_id, error_type, hardness FROM capped WHERE place <= greatest(1, floor(n * 0.2))""")
+def mined_rounds(spark, d):
+    """Hard examples of three rounds of logs, mined into a kept table, the last round first and one of them again."""
+    logs, kept = hard(spark, d), mining.HardExamples(spark, Work(spark, "hard-examples").held(), "event_id")
+    for k in (2, 0, 1, 0):
+        kept.mine(logs.where(F.floor(F.col("event_id") / 50) % 3 == k), f"round-{k}")
+    return kept.selected("error_type", 0.2, "hardness").select("event_id", "error_type", "hardness")
+
+
 CAP_SQL = f"{V.FAILURES}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY hardness DESC, event_id) AS rn, count(*) OVER () AS n FROM hard) WHERE rn <= greatest(1, floor(n * 0.2)))"
 
 
