@@ -241,6 +241,8 @@ class Feed:
         own.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         own.conf.set(f"{store}.rocksdb.changelogCheckpointing.enabled", "true")
         own.conf.set(f"{store}.rocksdb.allowFAllocate", "false")  # else each of the many small stores reserves megabytes
+        own.conf.set(f"{store}.unloadOnCommit", "true")  # else an executor keeps every store that it ever had open
+        own.conf.set(f"{store}.rocksdb.writeBufferSizeMB", "4")
         own.conf.set(f"{store}.rocksdb.boundedMemoryUsage", "true")
         own.conf.set(f"{store}.rocksdb.maxMemoryUsageMB", "256")
         own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
