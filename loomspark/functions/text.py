@@ -167,11 +167,22 @@ def contains_any(c, needles) -> Column:
     return out
 
 
+def shared_tokens(p, r) -> Column:
+    """How many tokens two arrays share as multisets: sorted together, each token's counts differ by the signs of its run, so the
+    work is that of a sort, however often tokens repeat."""
+    signed = lambda tokens, sign: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(sign).alias("s")))
+    every = F.sort_array(F.concat(signed(p, 1), signed(r, -1)))
+    state = lambda t, run, apart: F.struct(t.alias("t"), run.alias("run"), apart.alias("apart"))
+    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0))
+    step = lambda a, x: F.when(a["t"] == x["t"], state(a["t"], a["run"] + x["s"], a["apart"])).otherwise(state(x["t"], x["s"], a["apart"] + F.abs(a["run"])))
+    apart = F.aggregate(every, start, step, lambda a: a["apart"] + F.abs(a["run"]))
+    return ((F.size(p) + F.size(r) - apart) / 2).cast("int")
+
+
 def token_f1(prediction, reference) -> Column:
     """F1 of two texts' white-space tokens as multisets, on the normal form of patches."""
     p, r = words(normalise_patch(prediction)), words(normalise_patch(reference))
-    shared = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(r, lambda x: x == t))))
-    return F.coalesce(F.try_divide(2.0 * shared, F.size(p) + F.size(r)), F.lit(0.0))
+    return F.coalesce(F.try_divide(2.0 * shared_tokens(p, r), F.size(p) + F.size(r)), F.lit(0.0))
 
 
 def percent(mean, low, high) -> Column:

@@ -79,3 +79,22 @@ def test_rewards(spark):
     assert value(spark, R.self_check_reward(lit("<reasoning>assert a, assert b</reasoning>"))) == 0.5
     assert R.reward_names("dense_exec_v1") == ["format", "length", "diversity", "self_check", "execution"] and "process" in R.reward_names("??")
     assert value(spark, R.length_reward(lit("p"), lit("w " * 100), lit(""))) == 0
+
+
+def test_token_overlap_of_long_patches(spark):
+    """Multisets of tokens, and 100,000 of them in seconds."""
+    import random
+    import time
+    from collections import Counter
+
+    r = random.Random(1)
+    pairs = [(" ".join(r.choice("abcde") for _ in range(r.randrange(30))), " ".join(r.choice("abcdx") for _ in range(r.randrange(30)))) for _ in range(60)] + [("", ""), ("a", ""), (None, "b")]
+    pairs.append((" ".join(f"w{r.randrange(50_000)}" for _ in range(100_000)), " ".join(f"w{r.randrange(50_000)}" for _ in range(100_000))))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, p string, q string")
+    began = time.time()
+    got = dict(df.select("i", X.token_f1("p", "q")).collect())
+    assert time.time() - began < 30
+    for i, (p, q) in enumerate(pairs):
+        a, b = Counter((p or "").split()), Counter((q or "").split())
+        n = a.total() + b.total()
+        assert abs(got[i] - (2 * (a & b).total() / n if n else 0.0)) < 1e-12
