@@ -29,11 +29,21 @@ def metric(name: str) -> Column:
     raise ValueError(f"unsupported metric: {name}")
 
 
+def save_log(log: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """A case log as a table bucketed and sorted by the case's key, and the frame that reads it: logs saved with as many buckets are
+    compared, one with the other, without a shuffle, however often.
+
+    table: a name in the session's catalog; path: a folder that all executors share. The rows are dealt by the key first, so each bucket is one file.
+    """
+    log.repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).mode("overwrite").saveAsTable(table)
+    return log.sparkSession.table(table)
+
+
 def align_diffs(base: DataFrame, post: DataFrame, name: str, order: str, benchmark: str | None = None) -> DataFrame:
     """post - base of a metric per case: the last post row of a key wins, each base row counts, cases missing in either go."""
     if benchmark:
         base, post = base.where(F.col("benchmark") == benchmark), post.where(F.col("benchmark") == benchmark)
-    after = keep_first(post, F.struct(*KEY), order, last=True).select(*KEY, metric(name).alias("_post"))
+    after = keep_first(post, KEY, order, last=True).select(*KEY, metric(name).alias("_post"))
     return base.select(*KEY, metric(name).alias("_base")).join(after, KEY).select(*KEY, (F.col("_post") - F.col("_base")).alias("diff"))
 
 

@@ -12,10 +12,10 @@ def content_key(*parts, separator: str = "||") -> Column:
     return F.sha2(F.concat_ws(separator, *[F.coalesce(p, F.lit("")) for p in parts]).cast("binary"), 256)
 
 
-def keep_first(df: DataFrame, key: Column, order, last: bool = False) -> DataFrame:
-    """One row of each key: the first (or last) in the given order. One shuffle, on the key."""
+def keep_first(df: DataFrame, key: Column | list[str], order, last: bool = False) -> DataFrame:
+    """One row of each key: the first (or last) in the given order. One shuffle, on the key; none if df is bucketed by the key's columns."""
     order = F.col(order) if isinstance(order, str) else order
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order.desc() if last else order.asc()))
+    rank = F.row_number().over(Window.partitionBy(*(key if isinstance(key, list) else [key])).orderBy(order.desc() if last else order.asc()))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

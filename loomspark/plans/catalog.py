@@ -369,6 +369,16 @@ def paired_objective(spark, d):
     return objective(spark, d).groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 9).alias("mean"))
 
 
+@query(f"WITH {OBJECTIVE_SQL} SELECT component, count(*) AS n, round(avg(diff), 9) AS mean FROM diffs GROUP BY component")
+def bucketed_objective(spark, d):
+    """As paired_objective, from logs that are saved bucketed once and then compared for each component without a shuffle."""
+    work = Work(spark, "case-logs")
+    root = work.held()
+    base, post = (cases.save_log(log, f"{root.rpartition('/')[2].replace('-', '_')}_{name}", f"{root}/{name}", 16) for name, log in zip(("base", "post"), sides(spark, d)))
+    diffs = cases.paired_objective(base, post, base, post, "event_id", V.BENCHMARKS)
+    return diffs.groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("diff"), 9).alias("mean"))
+
+
 REPORT_SQL = "count(*) AS total, round(avg(pass_at_1::int), 9) AS pass_at_1, round(avg(pass_at_k::int), 9) AS pass_at_k, round(avg(format_errors / 100.0), 9)::double AS format_error_rate, round(avg(rounds_used), 9) AS avg_rounds"
 
 

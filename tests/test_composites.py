@@ -108,3 +108,22 @@ def test_order_statistics_by_ranges(spark):
     assert out[None] == (5, 6, 2)
     kept = sampling.share_cap(df.withColumn("id", F.monotonically_increasing_id()), "k", 0.1, "v", "id")
     assert sorted(r["count"] for r in kept.groupBy("k").count().collect()) == [2, 100, 100, 100]
+
+
+def test_bucketed_logs_are_compared_without_a_shuffle(spark, tmp_path):
+    rows = [(i, "b" + str(i % 2), "code", str(i % 40), i % 3 == 0, i % 5, 10) for i in range(200)] + [(900, None, "code", "1", True, 0, 1)]
+    logs = [spark.createDataFrame([(r[0] + k, *r[1:4], r[4] ^ (k > 0), *r[5:]) for r in rows], "event_id int, benchmark string, mode string, id string, pass_at_1 boolean, format_errors int, generated_candidates int") for k in (0, 1)]
+    saved = [cases.save_log(log, f"bucketed_{k}", f"file://{tmp_path}/{k}", 8) for k, log in enumerate(logs)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda b, p, **kw: cases.align_diffs(b, p, "pass", "event_id", **kw)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan(*logs)
+        for kw in ({}, {"benchmark": "b1"}):
+            assert "Join" in plan(*saved, **kw) and "Exchange" not in plan(*saved, **kw)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    get = lambda b, p: sorted(map(tuple, cases.align_diffs(b, p, "pass", "event_id").collect()))
+    assert get(*saved) == get(*logs) != []
+    for k in (0, 1):
+        spark.sql(f"DROP TABLE bucketed_{k}")
