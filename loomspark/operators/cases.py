@@ -191,7 +191,17 @@ def gate_inputs(base: DataFrame, post: DataFrame, p_value: DataFrame) -> DataFra
 
 
 # What a finished run has left in its folder.
-ARTIFACTS = ["run_manifest.txt", *(f"{side}_eval_{kind}{end}" for side in ("baseline", "posttrain") for kind in ("classic", "agentic") for end in (".json", "_cases.jsonl"))]
+ARTIFACTS = [
+    "run_manifest.txt",
+    "baseline_eval_classic.json",
+    "baseline_eval_classic_cases.jsonl",
+    "baseline_eval_agentic.json",
+    "baseline_eval_agentic_cases.jsonl",
+    "posttrain_eval_classic.json",
+    "posttrain_eval_classic_cases.jsonl",
+    "posttrain_eval_agentic.json",
+    "posttrain_eval_agentic_cases.jsonl",
+]
 
 
 def require_artifacts(spark, folder: str, *more: str) -> None:

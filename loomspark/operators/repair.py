@@ -101,6 +101,33 @@ def numbers(text, kind=float) -> list:
     return out
 
 
+def numbers_of(text, pattern: str = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", kind: str = "double") -> Column:
+    """As ``numbers``, of a column: decimal numbers, blanks about them allowed."""
+    parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), strip)
+    return F.transform(F.filter(parts, lambda x: x.rlike(f"^({pattern})$")), lambda x: x.cast(kind))
+
+
+def or_default(values: Column, default: list) -> Column:
+    return F.when(F.size(values) > 0, values).otherwise(F.array(*[F.lit(x) if not isinstance(x, Column) else x for x in default]))
+
+
+def temperatures(text) -> Column:
+    """As ``parse_temperatures``, of a column."""
+    return or_default(F.transform(numbers_of(text), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.5), t))), [0.2, 0.8])
+
+
+def schedule(text, base) -> Column:
+    """As ``parse_schedule``, of columns."""
+    base = F.greatest(F.lit(4), col(base)).cast("int")
+    return or_default(F.transform(numbers_of(text, r"[+-]?\d+", "int"), lambda n: F.greatest(F.lit(1), n)), [base, F.greatest(F.lit(4), base - 2), F.greatest(F.lit(4), base - 4)])
+
+
+def strategies(text) -> Column:
+    """As ``parse_strategies``, of a column."""
+    parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), lambda x: F.lower(strip(x)))
+    return or_default(F.filter(parts, lambda x: x.isin(*STRATEGIES)), ["minimal_diff", "api_first", "test_first"])
+
+
 def parse_temperatures(text) -> list[float]:
     return [max(0.0, min(1.5, t)) for t in numbers(text)] or [0.2, 0.8]
 

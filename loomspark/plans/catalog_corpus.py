@@ -374,18 +374,18 @@ def error_counts(spark, d):
     return cases.error_counts(runs, "user_id").select("user_id", F.array_join(F.array_sort(entries), ",").alias("errors"))
 
 
-@query("SELECT n_regionkey, array_to_string(list_sort(list_distinct(list(n_name) FILTER (n_nationkey % 2 = 0 OR n_nationkey % 3 = 0))), ',') AS resolved FROM nation GROUP BY n_regionkey")
+@query("SELECT c_nationkey, array_to_string(list_sort(list_distinct(list(c_name) FILTER (c_custkey % 2 = 0 OR c_custkey % 3 = 0))), ',') AS resolved FROM customer GROUP BY c_nationkey")
 def harness_report_ids(spark, d):
-    record = F.struct(F.col("n_name").alias("instance_id"), (F.col("n_nationkey") % 3 == 0).alias("resolved"))
-    report = V.read(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("resolved_ids"), F.collect_list(record).alias("instances"))
-    return report.select("n_regionkey", F.array_join(cases.resolved_ids(report, ["resolved_ids"], ["instances"]), ",").alias("resolved"))
+    record = F.struct(F.col("c_name").alias("instance_id"), (F.col("c_custkey") % 3 == 0).alias("resolved"))
+    report = V.read(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))).alias("resolved_ids"), F.collect_list(record).alias("instances"))
+    return report.select("c_nationkey", F.array_join(cases.resolved_ids(report, ["resolved_ids"], ["instances"]), ",").alias("resolved"))
 
 
-@query("SELECT n_nationkey, n_nationkey::double AS mean, (CASE WHEN n_nationkey % 4 >= 2 THEN n_nationkey + 1 ELSE n_nationkey END)::double AS low, (CASE WHEN n_nationkey % 4 >= 2 THEN n_nationkey + 2 ELSE n_nationkey END)::double AS high FROM nation")
+@query("SELECT c_custkey, c_custkey::double AS mean, (CASE WHEN c_custkey % 4 >= 2 THEN c_custkey + 1 ELSE c_custkey END)::double AS low, (CASE WHEN c_custkey % 4 >= 2 THEN c_custkey + 2 ELSE c_custkey END)::double AS high FROM customer")
 def report_intervals(spark, d):
-    k = F.col("n_nationkey").cast("double")
-    rows = V.read(spark, d, "nation").select("n_nationkey", F.slice(F.array(k, k + 1, k + 2, k + 3), 1, (F.col("n_nationkey") % 4 + 1).cast("int")).alias("values"))
-    return rows.select("n_nationkey", *[cases.interval_of("values")[i].alias(n) for i, n in enumerate(("mean", "low", "high"))])
+    k = F.col("c_custkey").cast("double")
+    rows = V.read(spark, d, "customer").select("c_custkey", F.slice(F.array(k, k + 1, k + 2, k + 3), 1, (F.col("c_custkey") % 4 + 1).cast("int")).alias("values"))
+    return rows.select("c_custkey", *[cases.interval_of("values")[i].alias(n) for i, n in enumerate(("mean", "low", "high"))])
 
 
 @query(f"SELECT item_id, {chat_sql(f'CASE WHEN item_id % 2 = 0 THEN {sql_text(templates.SYSTEM_CASE_PATCH)} ELSE {sql_text(templates.SYSTEM_CASE_CODE)} END', 'text')} AS prompt FROM benchmark")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from loomspark.functions import quality as Q
 from loomspark.functions import rewards as R
 from loomspark.functions import text as X
-from loomspark.operators import repair, sampling, verify
+from loomspark.operators import cases, curriculum, repair, verify
 from loomspark.plans import views as V
 from loomspark.sources import readers, sinks
 from loomspark.sources.repository import list_files, write_files
@@ -157,11 +155,13 @@ def run_manifest(spark, d):
     return spark.read.text(path).select(F.substring_index("value", "=", 1).alias("key"), F.regexp_replace("value", "^[^=]*=", "").alias("value")).where("key IN ('seed', 'events')")
 
 
-@query("SELECT i::int AS bucket, i / 8.0::double AS weight, 0.5::double AS bias, 1024 AS buckets FROM range(1024) t(i)")
+@query("SELECT (doc_id % 1024)::int AS bucket, sum(n_chars) / 8.0::double AS weight, (SELECT count(*) FROM documents) / 4.0::double AS bias, 1024 AS buckets FROM documents GROUP BY ALL")
 def saved_weights(spark, d):
-    path = Work(spark, "weights").path("model")
-    rows = spark.range(-1, 1024).select(F.col("id").cast("int").alias("bucket"), F.when(F.col("id") < 0, 0.5).otherwise(F.col("id") / 8.0).alias("weight"))
-    sinks.save_weights(rows, path, 1024)
+    """Weights made of documents' lengths, written as a model and read again."""
+    docs, path = V.read(spark, d, "documents"), Work(spark, "weights").held() + "/model"
+    weights = docs.groupBy((F.col("doc_id") % 1024).cast("int").alias("bucket")).agg((F.sum("n_chars") / 8.0).alias("weight"))
+    bias = docs.agg(F.lit(-1).alias("bucket"), (F.count("*") / 4.0).alias("weight"))
+    sinks.save_weights(weights.unionByName(bias), path, 1024)
     weights, bias, buckets = sinks.load_weights(spark, path)
     return weights.select("bucket", "weight", F.lit(bias).alias("bias"), F.lit(buckets).alias("buckets"))
 
@@ -193,17 +193,23 @@ def cached_index(spark, d):
     return sinks.cached_table(spark, work, sinks.repository_signature(files), lambda: 1 / 0)
 
 
-@query("SELECT 'task_' || i AS id, 'Write f' || i AS prompt, 'assert f' || i || '() == ' || i AS tests FROM range(50) t(i)")
+@query("SELECT item_id::varchar AS id, coalesce(text, '') AS prompt, 'assert f' || item_id || '()' AS tests FROM benchmark WHERE item_id IS NOT NULL")
 def task_table(spark, d):
-    return readers.tasks(spark, [{"id": f"task_{i}", "prompt": f"Write f{i}", "tests": f"assert f{i}() == {i}"} for i in range(50)])
+    rows = V.read(spark, d, "benchmark").withColumn("tests", F.concat(F.lit("assert f"), F.col("item_id").cast("string"), F.lit("()")))
+    return readers.tasks(rows, "item_id", "text", "tests")
 
 
-@query("SELECT * FROM (VALUES ('train.py', '--epochs', true), ('train.py', '--seed', false), ('gate.py', '--alpha', true)) t(script, flag, declared)")
+@query("""WITH passed AS (SELECT 'p' || doc_id % 3 || '.py' AS program, unnest(list_distinct(['--f' || n_chars % 7, '--g' || n_chars % 4])) AS flag FROM documents WHERE n_chars IS NOT NULL),
+declared AS (SELECT DISTINCT 'p' || doc_id % 2 || '.py' AS program, '--f' || doc_id % 5 AS flag FROM documents)
+SELECT program, flag, count(*) AS n, (program, flag) IN (SELECT (program, flag) FROM declared) AS declared FROM passed WHERE program IN (SELECT program FROM declared) GROUP BY program, flag""")
 def command_flag_drift(spark, d):
-    """Flags that a script passes, and whether the programs declare them."""
-    shell = "python3 train.py --epochs 3 \\\n  --seed 1\npython gate.py --alpha 0.05\n"
-    sources = {"train.py": 'p.add_argument("--epochs", type=int)', "gate.py": "p.add_argument('--alpha')\np.add_argument('--beta')"}
-    return spark.createDataFrame(readers.flag_drift(shell, sources), "script string, flag string, declared boolean")
+    """Flags that documents' scripts pass, and whether the programs' sources, a line of each from every document, declare them."""
+    docs = V.read(spark, d, "documents")
+    text = lambda c, n: (F.col(c) % n).cast("string")
+    script = F.concat(F.lit("set -e; python3 -u p"), text("doc_id", 3), F.lit(".py --f"), text("n_chars", 7), F.lit(" 1 \\\n  --g"), text("n_chars", 4), F.lit("\npython other.py --h\n"))
+    source = F.concat(F.lit("p.add_argument('--f"), text("doc_id", 5), F.lit("', type=int)"))
+    sources = docs.select(F.concat(F.lit("p"), text("doc_id", 2), F.lit(".py")).alias("program"), source.alias("source"))
+    return readers.flag_drift(docs.select(script.alias("script")), "script", sources, "program", "source")
 
 
 # --- verifier ---------------------------------------------------------------------------
@@ -217,20 +223,20 @@ SHAPES = [
     ("def f(x):\n    return 1", "assert f(1) == 1\nboom()\nassert f(2) == 1", 0.1, "runtime", 1, 1),
     ("import random\nrandom.seed(5)\ndef f(x):\n    return random.random()", "a = f(1)\nassert a != 0.6229016948897019\nassert 0 <= a < 1", 2.0, "", 2, 2),
 ]
-SHAPES_SQL = f"CASE n_nationkey % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(SHAPES))) + " END"
+SHAPES_SQL = f"CASE conv_id % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(SHAPES))) + " END"
 
 
 def shape_sql(column: int) -> str:
     return SHAPES_SQL.format(*(f"'{s[column]}'" if isinstance(s[column], str) else s[column] for s in SHAPES))
 
 
-@query(f"SELECT n_nationkey::varchar AS n_nationkey, unnest(range(0, 2))::int AS round, {shape_sql(2)}::double AS score, {shape_sql(3)} AS error_type, {shape_sql(4)}::int AS assert_passed, {shape_sql(5)}::int AS assert_total FROM nation")
+@query(f"SELECT conv_id::varchar AS conv_id, unnest(range(0, 2))::int AS round, {shape_sql(2)}::double AS score, {shape_sql(3)} AS error_type, {shape_sql(4)}::int AS assert_passed, {shape_sql(5)}::int AS assert_total FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)")
 def verifier_runs(spark, d):
     """Small programs of known outcome, run with two seeds each; code is only run where it is allowed, as here."""
-    at = F.col("n_nationkey") % len(SHAPES) + 1
+    at = F.col("conv_id") % len(SHAPES) + 1
     pick = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SHAPES]), at.cast("int"))
-    rows = V.read(spark, d, "nation").select("n_nationkey", pick(0).alias("code"), pick(1).alias("tests"))
-    return verify.run_verifier(rows, "n_nationkey", "code", "tests", rounds=2, seconds=5.0, allow_execution=True).drop("exec_time")
+    rows = V.read(spark, d, "conversations").where("conv_id IS NOT NULL").select("conv_id").distinct().select("conv_id", pick(0).alias("code"), pick(1).alias("tests"))
+    return verify.run_verifier(rows, "conv_id", "code", "tests", rounds=2, seconds=5.0, allow_execution=True).drop("exec_time")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END::int AS passed, CASE WHEN doc_id % 2 = 0 THEN 7 END::int AS total FROM documents")
@@ -284,29 +290,52 @@ def unfenced_code(spark, d):
     return V.read(spark, d, "documents").select("doc_id", X.without_fences(fenced).alias("code"))
 
 
-def as_json(value) -> str:
-    return json.dumps(value, sort_keys=True)
-
-
-@query("""SELECT * FROM (VALUES ('temperatures', '[0.3, 1.5]'), ('temperatures_default', '[0.2, 0.8]'), ('schedule', '[1, 6]'), ('schedule_default', '[8, 6, 4]'), ('strategies', '["api_first", "balanced"]'), ('strategies_default', '["minimal_diff", "api_first", "test_first"]'),
-('stage_drop', '0.2'), ('stage_drop_default', '0.05'), ('weights', '{"code": 0.5, "reasoning": 0.25, "repo": 0.25}')) t(setting, value)""")
+@query("""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) % 40 / 10.0::double AS t, conv_id % 5 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '0.2|0.8' ELSE least(1.5, round(t, 1))::double::varchar || '|1.5' END AS temperatures,
+  CASE WHEN turn % 3 = 0 THEN greatest(4, k) || '|' || greatest(4, greatest(4, k) - 2) || '|4' ELSE greatest(1, k - 2) || '|6' END AS schedule,
+  CASE WHEN turn % 3 = 0 THEN 'minimal_diff|api_first|test_first' ELSE 'api_first|balanced' END AS strategies FROM t""")
 def parsed_settings(spark, d):
-    """What the parsers of settings make of given texts."""
-    drops = repair.parse_stage_drops("mid:0.2,bad")
-    rows = {
-        "temperatures": repair.parse_temperatures("0.3,x,9"), "temperatures_default": repair.parse_temperatures(""), "schedule": repair.parse_schedule("0,6", 8), "schedule_default": repair.parse_schedule("", 8),
-        "strategies": repair.parse_strategies("api_first, nothing, Balanced"), "strategies_default": repair.parse_strategies(""), "stage_drop": repair.stage_drop("core_mid", drops),
-        "stage_drop_default": repair.stage_drop("core_other", drops), "weights": sampling.parse_weights("code:2,repo:1,reasoning:1"),
-    }
-    return spark.createDataFrame([(k, as_json(v)) for k, v in rows.items()], "setting string, value string")
-
-
-@query("""SELECT n_nationkey, n_nationkey % 6 = 0 AS is_repository FROM nation""")
+    """Settings as texts, made of each turn, and what the parsers make of them."""
+    c = V.read(spark, d, "conversations").withColumns({"k": F.col("conv_id") % 5, "t": (F.length(F.coalesce("text", F.lit(""))) % 40 / 10.0).cast("string")})
+    given = lambda *parts: F.when(F.col("turn") % 3 == 0, "none, given").otherwise(F.concat(*parts))
+    parsed = {
+        "temperatures": repair.temperatures(given(F.col("t"), F.lit(", x,9"))), "schedule": repair.schedule(given((F.col("k") - 2).cast("string"), F.lit(",6,1.5")), "k"),
+        "strategies": repair.strategies(given(F.lit("api_first, nothing, Balanced")))}
+    return c.select("conv_id", "turn", *[F.array_join(v.cast("array<string>"), "|").alias(k) for k, v in parsed.items()])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN greatest(1, n_chars % 9) ELSE greatest(1, n_chars % 9 + n_chars % 5 + 2) END AS budget FROM documents WHERE n_chars IS NOT NULL")
+def candidate_budgets(spark, d):
+    """All candidates that a case's rounds and itself were given."""
+    n = F.col("n_chars").cast("int")
+    history = F.when(F.col("doc_id") % 4 != 0, F.array(n % 5, F.lit(None).cast("int"), F.lit(2)))
+    return V.read(spark, d, "documents").where("n_chars IS NOT NULL").select("doc_id", cases.candidate_budget(history, n % 9).alias("budget"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'repo_easy' WHEN 1 THEN 'core_easy' WHEN 2 THEN 'core_hard' END AS stage, n_chars AS most FROM documents WHERE n_chars IS NOT NULL),
+p AS (SELECT *, greatest(1024, most) - 256 AS room, coalesce(regexp_matches(stage, 'repo|hard|expert|replay'), false) AS long FROM s), q AS (SELECT *, least(CASE WHEN long THEN 3072 ELSE 1536 END, room - 256) AS prompt FROM p)
+SELECT doc_id, prompt::int AS prompt, least(CASE WHEN long THEN 2048 ELSE 1400 END, room - prompt)::int AS completion, array_to_string([(greatest(1, most % 13) // (doc_id % 3 + 1) + (i < greatest(1, most % 13) % (doc_id % 3 + 1))::int)::int FOR i IN range(doc_id % 3 + 1)], '|') AS shares FROM q""")
+def stage_lengths(spark, d):
+    """Prompt and completion lengths of stages within contexts, and a budget shared out."""
+    stage = F.element_at(F.array(F.lit("repo_easy"), F.lit("core_easy"), F.lit("core_hard"), F.lit(None).cast("string")), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = V.read(spark, d, "documents").where("n_chars IS NOT NULL")
+    prompt, completion = curriculum.context_lengths(stage, "n_chars")
+    shares = curriculum.split_budget(F.col("n_chars") % 13, F.col("doc_id") % 3 + 1)
+    return docs.select("doc_id", prompt.alias("prompt"), completion.alias("completion"), F.array_join(shares.cast("array<string>"), "|").alias("shares"))
+
+
+@query(f"WITH m AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS n, doc_id % 12 AS k FROM documents) SELECT doc_id, round(greatest(1.5, least(4.0, 2.0 + 1.5 * (0.6 * least(1.0, n / 600.0) + 0.4 * least(1.0, k / 8.0)))), 9)::double AS seconds FROM m")
+def verifier_timeouts(spark, d):
+    tests = F.repeat(F.lit("assert x\n"), (F.col("doc_id") % 12).cast("int"))
+    return V.read(spark, d, "documents").select("doc_id", F.round(Q.verifier_timeout("text", tests), 9).alias("seconds"))
+
+
+@query("""SELECT c_custkey, c_custkey % 6 = 0 AS is_repository FROM customer""")
 def model_names(spark, d):
     shapes = ("owner/{}", "/models/{}", "./{}", "{}", "a b/{}", "owner/{}/x")
-    name = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("n_nationkey") % 6 + 1).cast("int"))
-    rows = V.read(spark, d, "nation").select("n_nationkey", F.replace(name, F.lit("{}"), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))).alias("name"))
-    return rows.select("n_nationkey", readers.looks_like_repository("name").alias("is_repository"))
+    name = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    rows = V.read(spark, d, "customer").select("c_custkey", F.replace(name, F.lit("{}"), F.replace(F.lower("c_name"), F.lit("#"), F.lit("-"))).alias("name"))
+    return rows.select("c_custkey", readers.looks_like_repository("name").alias("is_repository"))
 
 
 # --- streams ----------------------------------------------------------------------------

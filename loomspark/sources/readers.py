@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 
 from pyspark.errors import AnalysisException
@@ -149,29 +148,37 @@ def repository(spark: SparkSession, root: str, max_files: int = 600, max_chars:
     return read_bodies(files, root, max_chars).where(strip("body") != "")
 
 
-def tasks(spark: SparkSession, rows: list[dict], columns: str = "id string, prompt string, tests string") -> DataFrame:
-    """A literal task table."""
-    return spark.createDataFrame([tuple(r[c.split()[0]] for c in columns.split(", ")) for r in rows], columns)
+def tasks(rows: DataFrame, key: str, prompt, tests) -> DataFrame:
+    """A task table: id, prompt and tests as texts, blank where there is none; rows without an id are left out."""
+    text = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    return rows.where(F.col(key).isNotNull()).select(text(key).alias("id"), text(prompt).alias("prompt"), text(tests).alias("tests"))
 
 
-def command_flags(script: str) -> dict[str, set[str]]:
-    """Long flags that a shell script passes to each Python file."""
-    joined = re.sub(r"\\\n", " ", script)
-    found: dict[str, set[str]] = {}
-    for name, rest in re.findall(r"python3?\s+(?:-\w\s+)*(\S+\.py)([^\n;&|]*)", joined):
-        found.setdefault(name, set()).update(re.findall(r"(--[A-Za-z][\w-]*)", rest))
-    return found
+#: A call of a Python program in a shell script, with what follows up to the command's end; a long flag; a declaration of arguments.
+CALL, FLAG, DECLARATION = r"python3?\s+(?:-\w\s+)*\S+\.py[^\n;&|]*", r"(--[A-Za-z][\w-]*)", r"(?s)add_argument\((.*?)\)"
 
 
-def declared_flags(source: str) -> set[str]:
-    """Long flags that an argparse source declares."""
-    return set(itertools.chain.from_iterable(re.findall(r"[\"'](--[A-Za-z][\w-]*)[\"']", call) for call in re.findall(r"add_argument\((.*?)\)", source, re.S)))
+def command_flags(scripts: DataFrame, script: str) -> DataFrame:
+    """scripts with program and flag: a row for each long flag that a shell script passes to a Python program."""
+    joined = F.regexp_replace(script, r"\\\n", " ")
+    calls = scripts.withColumn("_call", F.explode(F.regexp_extract_all(joined, F.lit(CALL), 0)))
+    calls = calls.withColumn("program", F.regexp_extract("_call", r"(?:-\w\s+)*(\S+\.py)", 1))
+    return calls.withColumn("flag", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("_call", r"\S+\.py(.*)", 1), F.lit(FLAG), 1)))).drop("_call")
 
 
-def flag_drift(script: str, sources: dict[str, str]) -> list[tuple[str, str, bool]]:
-    """Each flag that a shell script passes to one of the sources, and whether the source declares it."""
-    passed = command_flags(script)
-    return [(name, flag, flag in declared_flags(sources[name])) for name in sorted(passed) if name in sources for flag in sorted(passed[name])]
+def declared_flags(sources: DataFrame, program: str, source: str) -> DataFrame:
+    """program and flag: the long flags that a program's source declares."""
+    calls = F.regexp_extract_all(source, F.lit(DECLARATION), 1)
+    flags = F.flatten(F.transform(calls, lambda c: F.regexp_extract_all(c, F.lit(f"[\"']{FLAG}[\"']"), 1)))
+    return sources.select(F.col(program).alias("program"), F.explode(flags).alias("flag")).distinct()
+
+
+def flag_drift(scripts: DataFrame, script: str, sources: DataFrame, program: str, source: str) -> DataFrame:
+    """Each different (program, flag) that scripts pass to one of the sources' programs, in how many scripts, and whether its source declares it."""
+    passed = command_flags(scripts, script).groupBy("program", "flag").agg(F.count("*").alias("n"))
+    known = sources.select(F.col(program).alias("program")).distinct()
+    declared = declared_flags(sources, program, source).withColumn("declared", F.lit(True))
+    return passed.join(known, "program", "left_semi").join(declared, ["program", "flag"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
 
 
 def looks_like_repository(name) -> Column:

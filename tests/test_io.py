@@ -70,10 +70,15 @@ def test_cases(spark):
     assert [r.id for r in readers.holdout_cases(hold, 3, "i").orderBy("i").collect()] == ["private_holdout_0", "private_holdout_2"]
 
 
-def test_flags():
-    script = "python a.py --x 1 \\\n  --y\npython b.py --z\n"
-    assert readers.command_flags(script) == {"a.py": {"--x", "--y"}, "b.py": {"--z"}}
-    assert readers.declared_flags("p.add_argument('--x', type=int)\np.add_argument('--y')") == {"--x", "--y"}
+def test_flags(spark):
+    script = "python3 -u a.py --x 1 \\\n --y=2\npython b.py --z; python c.py\npython3 a.py --x --w"
+    scripts = spark.createDataFrame([(1, script), (2, None), (3, "")], "id int, script string")
+    assert {(r.id, r.program, r.flag) for r in readers.command_flags(scripts, "script").collect()} == {(1, "a.py", f) for f in ("--x", "--y", "--w")} | {(1, "b.py", "--z")}
+    sources = spark.createDataFrame([("a.py", "p.add_argument('--x', type=int)\np.add_argument(\n  \"-y\", \"--y\")"), ("b.py", "")], "program string, source string")
+    assert {tuple(r) for r in readers.declared_flags(sources, "program", "source").collect()} == {("a.py", "--x"), ("a.py", "--y")}
+    drift = readers.flag_drift(scripts, "script", sources, "program", "source").collect()
+    assert {(r.program, r.flag, r.n, r.declared) for r in drift} == {("a.py", "--x", 2, True), ("a.py", "--y", 1, True), ("a.py", "--w", 1, False), ("b.py", "--z", 1, False)}
+
 
 
 def test_stream(spark, tmp_path):

@@ -57,11 +57,9 @@ def test_order_statistics_and_tiers(spark):
 
 
 def test_budgets():
-    assert curriculum.split_budget(8, 3) == [3, 3, 2]
     assert curriculum.allocate_steps([0.2, 0.3, 0.3, 0.2], 1500) == [306, 444, 444, 306]
     assert curriculum.allocate_steps([0.15] * 3 + [0.55 / 3] * 3, 1500) == [228, 228, 228, 272, 272, 272]
     assert curriculum.allocate_steps([0.5, 0.5, 0.1], 2) == [1, 1, 0] and curriculum.allocate_steps([], 5) == []
-    assert curriculum.context_lengths("repo_hard", 8192) == (3072, 2048) and sum(curriculum.context_lengths("easy", 1024)) <= 768
 
 
 def test_pairs_and_beams(spark):
@@ -163,3 +161,23 @@ def test_repairs(spark):
     assert repair.parse_temperatures("0.1,x,9") == [0.1, 1.5] and repair.parse_temperatures("") == [0.2, 0.8]
     assert repair.parse_schedule("", 6) == [6, 4, 4] and repair.parse_schedule("3,0", 6) == [3, 1]
     assert repair.parse_strategies("api_first,no") == ["api_first"] and repair.stage_drop("core_easy", repair.parse_stage_drops("easy:0.3,mid:x")) == 0.3
+
+
+def test_budgets(spark):
+    df = spark.createDataFrame([("repo_hard", 8192, 8, 3), ("easy", 1024, 2, 5), (None, 3000, 0, 1), ("x_Expert", 4000, 7, 7)], "stage string, most int, k int, parts int")
+    rows = df.select("most", *[c.alias(n) for c, n in zip(curriculum.context_lengths("stage", "most"), ("p", "c"))], curriculum.split_budget("k", "parts").alias("b")).collect()
+    assert [(r.p, r.c) for r in rows] == [(3072, 2048), (512, 256), (1536, 1208), (3072, 672)]
+    assert [r.b for r in rows] == [[3, 3, 2], [1, 1, 0, 0, 0], [1], [1] * 7]
+    assert all(r.p + r.c <= max(1024, r.most) - 256 for r in rows)
+    for ratios, total in (([0.1, 0.2, 0.7], 100), ([0, 0, 0], 95), ([1, 1, 1], 4), ([3, 1], 61)):
+        steps = curriculum.allocate_steps(ratios, total)
+        assert sum(steps) == total and all(s >= (30 if total >= 30 * len(ratios) else 1) for s in steps)
+
+
+def test_settings_of_columns_parse_as_texts_do(spark):
+    from loomspark.operators import repair
+
+    texts = ["0.3,x,9", "", None, " 1 , -2,.5", "0,6", "api_first, nothing, Balanced", "1e-1,5.", ",,"]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "i int, t string, base int")
+    for r in df.select("i", repair.temperatures("t").alias("a"), repair.schedule("t", "base").alias("b"), repair.strategies("t").alias("c")).collect():
+        assert (r.a, r.b, r.c) == (repair.parse_temperatures(texts[r.i]), repair.parse_schedule(texts[r.i], r.i), repair.parse_strategies(texts[r.i]))
