@@ -122,17 +122,20 @@ def sigmoid(x) -> Column:
 
 
 def case_complexity(prompt, tests) -> Column:
+    """From 0 to 1. Weights, and the words and asserts of a case that is as complex as can be."""
     asserts = F.regexp_count(F.coalesce(col(tests), F.lit("")), F.lit(r"\bassert\b"))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.least(F.lit(1.0), F.size(words(prompt)) / 600.0) + 0.4 * F.least(F.lit(1.0), asserts / 8.0)))
 
 
 def verifier_timeout(prompt, tests) -> Column:
+    """Seconds for a case. The least, the most and what complexity adds."""
     return F.greatest(F.lit(1.5), F.least(F.lit(4.0), 2.0 + 1.5 * case_complexity(prompt, tests)))
 
 
 def score_fraction(score, error_type) -> Column:
     """The share of asserts that a run's score stands for where they weren't counted."""
     s, e = col(score), F.lower(strip(F.coalesce(col(error_type), F.lit(""))))
+    # Shares by error and score.
     return (
         F.when(s >= 1.99, 1.0).when(e == "assertion", 0.45).when(e.isin("runtime", "syntax"), 0.1).when(e.isin("timeout", "security"), 0.0)
         .when(s >= 0.5, 0.35).when(s > 0, 0.15).otherwise(0.0))

@@ -64,6 +64,7 @@ def structure_score(reasoning, prompt, tests) -> Column:
     w = words(r)
     dull = (F.size(w) > 0) & (F.size(F.array_distinct(F.transform(w, F.lower))) / F.greatest(F.lit(1), F.size(w)) < 0.35)
     part = lambda test, worth: F.when(test, worth).otherwise(0.0)
+    # Signs of structure and what they are worth.
     score = (
         part(lines >= 2, 0.08) + part(contains_any(r, ["because", "therefore", "so that", "hence"]), 0.07)
         + part(contains_any(r, ["first", "second", "then", "finally", "step"]), 0.08) + part(shared >= 2, 0.07) - part(dull, 0.12))
@@ -85,6 +86,7 @@ def process_reward(prompt, text, tests, prm=None) -> Column:
     error = lambda kind: F.contains(F.lower(F.coalesce(col(prompt), F.lit(""))), F.lit(f"error_type={kind}"))
     part = lambda test, worth: F.when(test, worth).otherwise(0.0)
     tested = F.contains(expected, F.lit("assert"))
+    # Keywords and what they are worth.
     rules = (
         part(n >= 30, 0.20) + part(n >= 70, 0.10) - part(n > 450, 0.15) + part(has("assert", "test"), 0.20) + part(has("edge", "boundary", "corner"), 0.15)
         + part(has("complex", "o("), 0.10) + part(has("first", "then", "finally", "step", "plan"), 0.10)

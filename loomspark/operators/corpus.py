@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.quality import answer_flags
 from loomspark.functions.text import answer_of, column_text, first_truthy, not_blank, strip
+from loomspark.sources.readers import READ_ERRORS
 from . import dedup, sampling, templates
 
 #: What each kind of source must have: columns of which the first one present counts. A row with a blank side goes.
@@ -127,7 +128,7 @@ def formatted(sources: dict[str, tuple[str, str, DataFrame]], row_key: str) -> D
 def build(sources: dict, row_key: str, save, cap: int = 25_000, weights: str = "", holdout: float = 0.10, val: float = 0.05, most_missing: int = 8) -> Corpus:
     """From raw sources to splits. sources: name to (kind, category, loader); save writes a frame once and returns it reread.
 
-    Sources whose loader fails count as missing. Each source is capped, sources are mixed by category, records without
+    Sources that can't be read count as missing; any other error of a loader is raised. Each source is capped, sources are mixed by category, records without
     answer tags go, then later copies of the same prompt and answer, then answers that don't parse.
     """
     loaded, missing = {}, []
@@ -136,7 +137,7 @@ def build(sources: dict, row_key: str, save, cap: int = 25_000, weights: str = "
             rows = load()
             rows.schema  # an unreadable source fails here, before anything runs
             loaded[name] = (kind, category, rows)
-        except Exception:
+        except READ_ERRORS:
             missing.append(name)
     if len(missing) > most_missing:
         raise RuntimeError(f"missing sources: {', '.join(missing)}")
@@ -158,7 +159,8 @@ def build_repository_set(bugs: list[DataFrame], trajectories: list[DataFrame], r
         raise ValueError("no repository source")
     records = tagged_swe(reduce(DataFrame.unionByName, parts))
     first = dedup.keep_first(records, dedup.prompt_answer_key("prompt", answer_of("text")), F.struct(sampling.seeded("row_key"), F.col("source"), F.col("row_key")))
-    return with_split(sampling.shuffled_head(first, most, "row_key"))
+    # the cut is found by ranges, so that no task meets all texts
+    return with_split(sampling.first_of_each(first, None, [sampling.seeded("row_key"), F.col("row_key"), F.col("source")], F.lit(most)) if most > 0 else first)
 
 
 def manifest(corpus: Corpus, splits: dict[str, int], settings: dict) -> dict:

@@ -26,8 +26,13 @@ STRATEGIES = {
     "test_first": "Prioritize behaviors implied by tests/regressions and edge conditions.",
     "balanced": "Balance correctness, minimality, and maintainability.",
 }
+# The system's words of a task with its repository, and the shares that stages drop.
 CONTEXT_SYSTEM = "You are an autonomous software engineer. Use the repository context to solve the task. Return executable Python code in <answer> tags. Keep reasoning concise."
 STAGE_DROPS = {"easy": 0.15, "mid": 0.10, "hard": 0.05, "expert": 0.03}
+# The words about a task, a failed turn and a patch to be refined.
+TASK, CONTEXT, ONE_CANDIDATE = "Task:\n", "\n\nRepository Context:\n", "\n\nReturn one candidate in <answer> tags."
+DEBUG_ROUND, FAILURE, PREVIOUS, CORRECT = "Self-debug round ", "\nFailure details:\n", "\nPrevious code:\n", "\n\nProvide corrected code in <answer> tags only."
+REFINE_ROUND, REFINE = "Patch refinement round ", ". Return a valid unified git patch with file headers and hunks. "
 
 
 def empty(c) -> Column:
@@ -47,7 +52,7 @@ def repair_policy(error_type, stderr) -> Column:
 
 
 def context_prefix(task, context) -> Column:
-    user = F.concat(F.lit("Task:\n"), empty(task), F.lit("\n\nRepository Context:\n"), empty(context), F.lit("\n\nReturn one candidate in <answer> tags."))
+    user = F.concat(F.lit(TASK), empty(task), F.lit(CONTEXT), empty(context), F.lit(ONE_CANDIDATE))
     return F.concat(turn("system", F.lit(CONTEXT_SYSTEM)), turn("user", user))
 
 
@@ -56,15 +61,15 @@ def repair_prompt(prefix, completion, code, error_type, stderr, stdout, round_)
     said = strip(F.replace(empty(completion), F.lit("<|im_end|>"), F.lit("")))
     failure = F.concat(F.lit("error_type="), empty(error_type), F.lit("\nstderr="), F.substring(empty(stderr), 1, 1800), F.lit("\nstdout="), F.substring(empty(stdout), 1, 400), F.lit("\n"))
     block = F.concat(
-        F.lit("Self-debug round "), empty(round_), F.lit(".\n"), repair_policy(error_type, stderr)["policy"], F.lit("\nFailure details:\n"), failure,
-        F.lit("\nPrevious code:\n"), empty(code), F.lit("\n\nProvide corrected code in <answer> tags only."))
+        F.lit(DEBUG_ROUND), empty(round_), F.lit(".\n"), repair_policy(error_type, stderr)["policy"], F.lit(FAILURE), failure,
+        F.lit(PREVIOUS), empty(code), F.lit(CORRECT))
     return F.concat(col(prefix), turn("assistant", said), turn("user", block), F.lit(ASSISTANT))
 
 
 def patch_repair_prompt(prompt, patch, round_, strategy) -> Column:
     table = F.create_map(*[F.lit(x) for kv in STRATEGIES.items() for x in kv])
     ask = F.coalesce(F.try_element_at(table, empty(strategy)), F.lit(STRATEGIES["balanced"]))
-    critique = F.concat(F.lit("Patch refinement round "), empty(round_), F.lit(". Return a valid unified git patch with file headers and hunks. "), ask)
+    critique = F.concat(F.lit(REFINE_ROUND), empty(round_), F.lit(REFINE), ask)
     return F.concat(col(prompt), turn("assistant", F.concat(F.lit("<answer>\n"), empty(patch), F.lit("\n</answer>"))), turn("user", critique), F.lit(ASSISTANT))
 
 

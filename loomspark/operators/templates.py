@@ -63,6 +63,14 @@ TEMPLATES = {
 }
 
 
+# Labels inside records.
+ISSUE, UNKNOWN_ISSUE = "Issue: Resolving ", "Unknown Issue"
+STEP_ACTION, STEP_OBSERVATION = "\n[Action]: ", "\n[Observation]: "
+LOG_ACTION, LOG_OBSERVATION = "Action: ", "Observation: "
+COMMIT, COMMIT_CONTEXT, COMMIT_CUT = "Commit Message / Issue: ", "\n\nPre-Commit Context / Code:\n", "\n...[Context truncated for efficiency]"
+COMMIT_DIFF = "Git Patch Diff:\n"
+
+
 def chat(system: str | Column, user: Column, assistant: Column) -> Column:
     return F.concat(turn("system", F.lit(system) if isinstance(system, str) else system), turn("user", user), assistant)
 
@@ -105,18 +113,18 @@ def steps(trajectory: str, f) -> Column:
 
 
 def format_trajectory(df: DataFrame, source: str | None = None) -> DataFrame:
-    issue = F.coalesce(F.nullif(strip(column_text(df, "instance_id")), F.lit("")), F.lit("Unknown Issue"))
+    issue = F.coalesce(F.nullif(strip(column_text(df, "instance_id")), F.lit("")), F.lit(UNKNOWN_ISSUE))
     act, obs = (lambda s, f=f: strip(F.coalesce(s[f], F.lit(""))) for f in ("action", "observation"))
-    lines = steps("trajectory", lambda s: F.array(F.concat(F.lit("\n[Action]: "), act(s), F.lit("\n[Observation]: "), obs(s))))
-    log = steps("trajectory", lambda s: F.filter(F.array(F.concat(F.lit("Action: "), act(s)), F.concat(F.lit("Observation: "), F.substring(obs(s), 1, 240))), lambda x: ~x.isin("Action: ", "Observation: ")))
-    user = F.concat(F.lit("Issue: Resolving "), issue, F.lit("\n"), F.array_join(lines, ""))
+    lines = steps("trajectory", lambda s: F.array(F.concat(F.lit(STEP_ACTION), act(s), F.lit(STEP_OBSERVATION), obs(s))))
+    log = steps("trajectory", lambda s: F.filter(F.array(F.concat(F.lit(LOG_ACTION), act(s)), F.concat(F.lit(LOG_OBSERVATION), F.substring(obs(s), 1, 240))), lambda x: ~x.isin(LOG_ACTION, LOG_OBSERVATION)))
+    user = F.concat(F.lit(ISSUE), issue, F.lit("\n"), F.array_join(lines, ""))
     return record(df, chat(SYSTEM_TRAJECTORY, user, assistant_block(first_truthy(df, PATCH_KEYS), F.array_join(F.slice(log, 1, 20), "\n"))), source)
 
 
 def format_commit(df: DataFrame, source: str | None = None) -> DataFrame:
-    user = F.concat(F.lit("Commit Message / Issue: "), strip(column_text(df, "message")), F.lit("\n\nPre-Commit Context / Code:\n"), strip(column_text(df, "old_contents")))
-    user = F.when(F.length(user) > 3000, F.concat(F.substring(user, 1, 3000), F.lit("\n...[Context truncated for efficiency]"))).otherwise(user)
-    answer = F.concat(F.lit("Git Patch Diff:\n"), strip(column_text(df, "diff")))
+    user = F.concat(F.lit(COMMIT), strip(column_text(df, "message")), F.lit(COMMIT_CONTEXT), strip(column_text(df, "old_contents")))
+    user = F.when(F.length(user) > 3000, F.concat(F.substring(user, 1, 3000), F.lit(COMMIT_CUT))).otherwise(user)
+    answer = F.concat(F.lit(COMMIT_DIFF), strip(column_text(df, "diff")))
     return record(df, chat(SYSTEM_COMMIT, user, assistant_block(answer, column_text(df, "analysis", "explanation"))), source)
 
 

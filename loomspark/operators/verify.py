@@ -57,12 +57,14 @@ def violations(code: pa.Array) -> pa.Array:
 
 
 def limits(seconds: float) -> None:
+    # Limits of a run.
     for what, most in ((resource.RLIMIT_CPU, max(1, int(seconds))), (resource.RLIMIT_AS, 512 << 20), (resource.RLIMIT_FSIZE, 1 << 20), (resource.RLIMIT_NOFILE, 32)):
         resource.setrlimit(what, (most, most + 1 if what == resource.RLIMIT_CPU else most))
 
 
 def run(code: str, seconds: float = 2.0) -> dict:
     """score, exec_time, stdout, stderr and error_type of one run."""
+    # Scores of outcomes.
     bad = violation(code)
     if bad:
         return {"score": 0.0 if bad == "syntax" else -1.0, "exec_time": 0.0, "stdout": "", "stderr": bad, "error_type": bad}

@@ -26,6 +26,10 @@ EXTENSIONS = (".py", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".ini", "
 TEST_KEYS = ("tests", "test", "unit_tests", "public_tests", "private_tests", "hidden_tests")
 
 
+#: What a loader raises if its source can't be read; anything else is a fault of the loader.
+READ_ERRORS = (AnalysisException, OSError)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -76,7 +80,7 @@ def tolerant(sources: dict, most_missing: int = 0) -> tuple[dict[str, DataFrame]
     for name, load in sources.items():
         try:
             found[name] = load()
-        except Exception:
+        except READ_ERRORS:
             missing.append(name)
     if len(missing) > most_missing:
         raise RuntimeError(f"missing sources: {', '.join(missing)}")
