@@ -154,7 +154,8 @@ def feed(batches: DataFrame, number: str, stream, spark: SparkSession, root: str
     batches.write.partitionBy(number).parquet(f"{root}/cut")
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path(f"{root}/fed"))
+    for name in ("fed", "told"):
+        files.mkdirs(path(f"{root}/{name}"))
     own = stateful_session(spark)
     out = None
     for k in range(total):

@@ -55,3 +55,7 @@ def test_stagnation_across_restarts(spark):
         want[i] = (best.get(k), better, stale[k], stale[k] >= 3)
         best[k] = max(score, best.get(k, score))
     assert got == want
+
+
+def test_nothing_arrives(spark):
+    assert run(spark, [], lambda s: state.repeats(s, ["k"], ["id"], "at", "1 day"), 1).count() == 0
