@@ -188,7 +188,7 @@ class Feed:
         gate = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(self.gates)).cast("int")
         cut = sold.select("client", sliced(alone).cast("long").alias("slice"), split.alias("split"), "id", "at", "batch", F.lit(SALE).alias("kind"), gate.alias("gate"))
         none = {"seq": F.lit(MISSING), "cents": F.lit(MISSING), "op": F.lit(None).cast("string")}
-        self.write(cut.coalesce(files).unionByName(ticks.coalesce(1)).withColumns(none), "sales")
+        self.write(cut.coalesce(files).unionByName(ticks.coalesce(1 + self.gates * (batches + 1) // 1_000_000)).withColumns(none), "sales")
         self.ws.delete(self.ws.root, at_exit=True)
         cut = changed.select("client", sliced(F.lit(0)).cast("long").alias("slice"), split.alias("split"), "id", "at", "batch", F.lit(CHANGE).alias("kind"), "seq", "cents", "op")
         self.write(cut.coalesce(files), "changes")
