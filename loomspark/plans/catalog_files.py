@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import quality as Q
 from loomspark.functions import rewards as R
 from loomspark.functions import text as X
-from loomspark.operators import cases, curriculum, repair, verify
+from loomspark.operators import cases, curriculum, repair, sampling, verify
 from loomspark.plans import views as V
 from loomspark.sources import readers, sinks
 from loomspark.sources.repository import list_files, write_files
