@@ -37,3 +37,13 @@ def test_no_row_beyond_a_default_limit_is_lost(spark, tmp_path, name, n, source)
 def test_source_heads(spark, tiny):
     found = QUERIES["source_heads"](spark, tiny).groupBy("source").count().collect()
     assert found and max(r["count"] for r in found) <= 10
+
+
+def test_copies_of_a_program_run_once(spark):
+    code = "def f(x):\n    return x"
+    rows = spark.createDataFrame([(i, code if i % 3 else code.replace("x", "y"), "assert f(1) == 1") for i in range(600)] + [(600, None, None)], "k int, c string, t string")
+    found = verify.run_verifier(rows, "k", "c", "t", rounds=2, allow_execution=True)
+    runs = found.select("k", "round", "score", "assert_passed", "exec_time").collect()
+    assert {(r.k, r.round) for r in runs} == {(str(i), r) for i in range(601) for r in (0, 1)}
+    assert all(r.score == 2.0 for r in runs) and all(r.assert_passed == (r.k != "600") for r in runs)
+    assert len({r.exec_time for r in runs}) <= 3 * 2  # three programs, two seeds
