@@ -16,6 +16,8 @@ from loomspark.functions.quality import features, sigmoid
 from loomspark.sources.work import Work
 
 BUCKETS = 8192
+#: Rows of a batch that are worked on at once.
+SLICE = 512
 
 
 def featurise(df: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
@@ -57,11 +59,18 @@ def label(all_passed, pass_at_1) -> Column:
     return F.when(F.coalesce(F.col(all_passed), F.lit(False)) | F.coalesce(F.col(pass_at_1), F.lit(False)), 1).otherwise(0)
 
 
+def slices(batches):
+    """Batches of SLICE rows at most, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def packed(df: DataFrame, text: str, target: str, buckets: int, order: str | None = None) -> DataFrame:
     """Labelled texts as (o,) y and x: each row's different buckets and their counts, 8 bytes an entry."""
 
     def pack(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.column(batch.num_columns - 1):
                 found, counts = np.unique(row.values.to_numpy(), return_counts=True)
@@ -91,7 +100,7 @@ def loss_and_gradient(batches, w: np.ndarray):
     """Of packed rows, each as shares of its tokens: their number, the sums of the loss and of its gradient (the bias last), and of the squares."""
     size = len(w) - 1
     n, loss, gradient, squares = 0, 0.0, np.zeros(size + 1), np.zeros(size)
-    for batch in batches:
+    for batch in slices(batches):
         y = batch.column(0).to_numpy(zero_copy_only=False) > 0
         rows = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in batch.column(1)]
         at = np.cumsum([0] + [r.shape[1] for r in rows])
@@ -122,14 +131,32 @@ def fit_logistic(df: DataFrame, text: str, target: str, buckets: int = BUCKETS,
     buckets, work = max(256, int(buckets)), Work(df.sparkSession, "prm-logistic")
     rows = work.save(packed(df.where(F.col(target).isNotNull()), text, target, buckets), "packed")
 
+    kind, names = "n long, loss double, sums binary", ["n", "loss", "sums"]
+    tasks = math.isqrt(rows.rdd.getNumPartitions())
+
+    def sums_row(n: int, loss: float, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([loss]), pa.array([sums.tobytes()], pa.binary())], names)
+
     def total(w: np.ndarray):
         def partial(batches):
             n, loss, gradient, squares = loss_and_gradient(batches, w)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([np.concatenate((gradient, squares)).tobytes()], pa.binary())], ["n", "loss", "sums"])
+                yield sums_row(n, loss, np.concatenate((gradient, squares)))
+
+        def added(batches):
+            n, loss, sums = 0, 0.0, np.zeros(2 * buckets + 1)
+            for batch in batches:
+                for row in zip(*batch.columns):
+                    n, loss = n + row[0].as_py(), loss + row[1].as_py()
+                    sums += np.frombuffer(row[2].as_buffer())
+            if n:
+                yield sums_row(n, loss, sums)
 
-        parts = rows.mapInArrow(partial, "n long, loss double, sums binary").rdd.map(lambda r: (r.n, r.loss, np.frombuffer(r.sums)))
-        return parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
+        # sums meet in as many tasks as the root of the partitions, those on the driver: a stage has one worker a core
+        parts = rows.mapInArrow(partial, kind)
+        parts = parts.repartition(tasks).mapInArrow(added, kind) if tasks > 4 else parts
+        found = [(r.n, r.loss, np.frombuffer(r.sums)) for r in parts.collect()]
+        return tuple(sum(c) for c in zip(*found))
 
     if rows.isEmpty():
         raise ValueError("no labelled rows")
@@ -173,24 +200,30 @@ def fit_logistic(df: DataFrame, text: str, target: str, buckets: int = BUCKETS,
 def train(df: DataFrame, text: str, target: str, order: str, buckets: int = BUCKETS, epochs: int = 3, rate: float = 0.08, l2: float = 1e-6) -> DataFrame:
     """bucket and weight (bucket -1: the bias) by one pass after another over the rows in order.
 
-    Sequential by definition, so all rows meet in one task. Texts are hashed and counted where they are; what arrives is
-    each row's buckets with counts, packed: 8 bytes for each of at most ``buckets`` entries, so some 100,000 whole texts a GB.
+    Sequential by definition, so all rows meet in one task, one epoch after another: Spark sorts them (on disk, where memory
+    is short), and the task takes them batch by batch, so it holds the weights and some rows, whatever the number of rows.
+    Texts are hashed and counted where they are, once; what arrives is each row's buckets with counts, 8 bytes an entry.
     """
-    buckets, epochs = max(256, int(buckets)), max(1, int(epochs))
-
-    def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("o")
-        targets, packed = table["y"].to_numpy(), table["x"]
-        w, bias = np.zeros(buckets), 0.0
-        for _ in range(epochs):
-            for y, x in zip(targets, packed):
+    buckets, epochs, spark = max(256, int(buckets)), max(1, int(epochs)), df.sparkSession
+
+    def learn(batches, w: np.ndarray, bias: float):
+        w, n = w.copy(), 0
+        for batch in slices(batches):
+            n += batch.num_rows
+            for y, x in zip(batch["y"].to_numpy(zero_copy_only=False), batch["x"]):
                 found, counts = np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1)
                 z = bias + float(w[found] @ counts)
                 gradient = (1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))) - (y > 0)
                 bias -= rate * gradient
                 w[found] -= rate * (gradient * counts + l2 * w[found])
-        used = np.flatnonzero(w)
-        return pa.table({"bucket": pa.array(np.concatenate(([-1], used)).astype(np.int32)), "weight": pa.array(np.concatenate(([bias], w[used])))})
-
-    rows = packed(df, text, target, buckets, order).withColumn("g", F.lit(0))
-    return rows.groupBy("g").applyInArrow(lambda table: learn(table.drop_columns("g")), "bucket int, weight double")
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()], pa.binary())], ["bias", "weights"])
+
+    rows = Work(spark, "prm-train").save(packed(df, text, target, buckets, order), "packed")
+    w, bias, seen = np.zeros(buckets), 0.0, False
+    for _ in range(epochs):
+        start = (w, bias)
+        for r in rows.repartition(1).sortWithinPartitions("o").mapInArrow(lambda b, start=start: learn(b, *start), "bias double, weights binary").collect():
+            w, bias, seen = np.frombuffer(r.weights), r.bias, True
+    used = [(int(b), float(w[b])) for b in np.flatnonzero(w)]
+    return spark.createDataFrame([(-1, float(bias)), *used] if seen else [], "bucket int, weight double")

@@ -1,11 +1,16 @@
 """Queries whose SQL takes whole tables, on tables larger than the operators' default limits; and queries found failing or slow."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers all catalogues
-from loomspark.operators import verify
+from loomspark.operators import prm, sampling, verify
 from loomspark.plans.catalog import ORACLES, QUERIES
 
 
@@ -47,3 +52,36 @@ def test_copies_of_a_program_run_once(spark):
     assert {(r.k, r.round) for r in runs} == {(str(i), r) for i in range(601) for r in (0, 1)}
     assert all(r.score == 2.0 for r in runs) and all(r.assert_passed == (r.k != "600") for r in runs)
     assert len({r.exec_time for r in runs}) <= 3 * 2  # three programs, two seeds
+
+
+def test_training_gathers_no_group(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("all rows in one table")
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", refused)
+    df = spark.createDataFrame([(i, "good answer" if i % 2 else "bad reply", i % 2) for i in range(300)], "i int, t string, y int")
+    found = {r.bucket: r.weight for r in prm.train(df.repartition(5), "t", "y", "i", 256).collect()}
+    assert -1 in found and len(found) > 2
+    assert prm.train(df.where("false"), "t", "y", "i", 256).count() == 0
+
+
+def test_a_pass_works_on_few_rows_at_once():
+    x = np.stack((np.arange(200), np.ones(200))).astype(np.int32).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 10_000, pa.int32()), pa.array([x] * 10_000, pa.binary())], ["y", "x"])
+    tracemalloc.start()
+    n, _, gradient, _ = prm.loss_and_gradient([batch], np.zeros(257))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and gradient[-1] == pytest.approx(-5_000) and most < 20 << 20
+
+
+def test_numbers_need_one_shuffle(spark):
+    df = spark.range(5_000).select("id", (F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
+    for by in (None, "k"):
+        found = sampling.numbered(df, ["h"], by)
+        # rows themselves pass no window and no second sort: only the totals do
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number") == 0
+        rows = found.collect()
+        for key in {getattr(r, by) for r in rows} if by else {None}:
+            own = sorted((r.idx, r.h) for r in rows if by is None or r.k == key)
+            assert [i for i, _ in own] == list(range(len(own))) and [h for _, h in own] == sorted(h for _, h in own)
