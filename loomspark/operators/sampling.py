@@ -136,21 +136,23 @@ def order_statistics(df: DataFrame, value: str, places: dict[str, Column], by: l
 def numbered(df: DataFrame, order: list, by: str | None = None, name: str = "idx") -> DataFrame:
     """df with each row's number, from 0, in an order without ties: of all rows, or within ``by``.
 
-    Rows are dealt by ranges of the key and the order and written once; a range numbers its rows alone, after as many
-    as the ranges before it hold (one total per range and key). So no task has more than a range, whatever holds most rows.
+    Rows are dealt by ranges of the key and the order, sorted there and written once with their place in the range; the
+    ranges' totals (one row per range and key) say how many rows come before. So no task has more than a range, whatever
+    holds most rows, and rows are shuffled and sorted once.
     """
     keys = [by] if by else []
-    ranged = Work(df.sparkSession, "numbered").save(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_t"))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_range").alias("_r"), *[F.col(k).alias("_k") for k in keys], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    local = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1)
-    same = F.col("_range") == F.col("_r")
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = Work(df.sparkSession, "numbered").save(ranged, "ranges")
+    range_of = F.shiftright("_place", 33)
+    totals = ranged.groupBy(range_of.alias("_r"), *[F.col(k).alias("_k") for k in keys]).agg(F.count("*").alias("_t"), F.min("_place").alias("_first"))
+    before = (Window.partitionBy(*["_k"] * len(keys)) if keys else Window.partitionBy(F.lit(0))).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    same = range_of == F.col("_r")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col("_k"))
     # without a key there is one total a range
-    rows = local.join(totals if keys else F.broadcast(totals), same)
-    return rows.withColumn(name, (F.col("_before") + F.col(name)).cast("long")).drop("_range", "_r", "_k", "_before")
+    rows = ranged.join(totals if keys else F.broadcast(totals), same)
+    return rows.withColumn(name, F.col("_before") + F.col("_place") - F.col("_first")).drop("_place", "_r", "_k", "_first", "_before")
 
 
 def first_of_each(df: DataFrame, by: str | None, order: list[Column], most: Column) -> DataFrame:
