@@ -51,6 +51,11 @@ def weighed(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked.join(found, "term").crossJoin(F.broadcast(totals)).select("query", "term", (F.col("times") * idf).alias("weight")), totals
 
 
+def documents_at_once(n: int) -> int:
+    """Documents that a task scores at once for n queries: each of their terms may meet every query, so few."""
+    return max(1, min(256, 4_000_000 // max(n, 1)))
+
+
 def by_tasks(docs: DataFrame, asked: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
     weights, totals = weighed(docs, asked)
     mean_len = max(1.0, totals.first().mean_len or 0.0)
@@ -66,7 +71,7 @@ def by_tasks(docs: DataFrame, asked: DataFrame, symbols: DataFrame, k: int) -> D
         best, docs_type = Best(n, k), pa.int64()
         for batch in batches:
             docs_type = batch.column(0).type
-            step = max(1, 4_000_000 // max(n, 1))
+            step = documents_at_once(n)
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 scores = np.zeros((some.num_rows, n))
@@ -103,7 +108,7 @@ class Postings:
         value = part(counts.astype(float), owner)
         n = self.starts[code + 1] - self.starts[code]
         at = np.repeat(self.starts[code] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        np.add.at(scores, (np.repeat(owner, n), self.queries[at]), np.repeat(value, n) * self.weights[at])
+        scores += np.bincount(np.repeat(owner, n) * scores.shape[1] + self.queries[at], np.repeat(value, n) * self.weights[at], scores.size).reshape(scores.shape)
 
 
 class Best:

@@ -10,8 +10,10 @@ from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers all catalogues
-from loomspark.operators import prm, sampling, verify
+from loomspark.operators import prm, retrieval, sampling, verify
+from loomspark.operators.posting_index import PostingIndex
 from loomspark.plans.catalog import ORACLES, QUERIES
+from loomspark.sources.work import Work
 
 
 def documents(spark, folder, n: int, source: str) -> str:
@@ -85,3 +87,14 @@ def test_numbers_need_one_shuffle(spark):
         for key in {getattr(r, by) for r in rows} if by else {None}:
             own = sorted((r.idx, r.h) for r in rows if by is None or r.k == key)
             assert [i for i, _ in own] == list(range(len(own))) and [h for _, h in own] == sorted(h for _, h in own)
+
+
+def test_queries_and_documents_meet_in_small_steps(spark):
+    assert [retrieval.documents_at_once(n) for n in (0, 200, 8_000_000)] == [256, 256, 1]
+    docs = spark.createDataFrame([(i, f"src/p{i % 3}", " ".join(f"word{(i * j) % 97}" for j in range(1, 60))) for i in range(700)], "i long, p string, b string")
+    asked = spark.createDataFrame([(q, f"word{q} word{q + 1} p1 Name_x") for q in range(40)], "q long, t string")
+    found = retrieval.retrieve(retrieval.index(docs, "i", "p", "b"), asked, "q", "t", 5)
+    kept = PostingIndex(spark, Work(spark, "small-steps").held(), buckets=4)
+    kept.refresh(docs.withColumn("s", F.xxhash64("b")), "i", "p", "b", "s")
+    rows = lambda df: sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.collect())
+    assert rows(found) == rows(kept.search(asked, "q", "t", 5)) and len(rows(found)) == 200
