@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import strip
 from loomspark.sources.readers import exists
+from loomspark.sources.work import Work
 from . import stats
 from .dedup import keep_first
 
@@ -92,9 +93,9 @@ def group_report(log: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return benchmark_report(log.join(F.broadcast(mapping), "benchmark"), "grp").unionByName(benchmark_report(log.withColumn("grp", F.lit("global")), "grp"))
 
 
-def classic_case(samples: DataFrame, case: str, order: str, passed: str) -> DataFrame:
-    """pass_at_1 is the first sample's, pass_any_k that of any sample (not the unbiased estimator)."""
-    return samples.groupBy(case).agg(F.min_by(passed, order).alias("pass_at_1"), F.bool_or(passed).alias("pass_any_k"), F.count("*").alias("generated_candidates"))
+def classic_case(samples: DataFrame, case: str, order: str, passed: str, *more: Column) -> DataFrame:
+    """pass_at_1 is the first sample's, pass_any_k that of any sample (not the unbiased estimator). more: further figures of a case's samples."""
+    return samples.groupBy(case).agg(F.min_by(passed, order).alias("pass_at_1"), F.bool_or(passed).alias("pass_any_k"), F.count("*").alias("generated_candidates"), *more)
 
 
 def verifier_rollup(runs: DataFrame, by: str) -> DataFrame:
@@ -156,12 +157,13 @@ def primary_score(lcb, bcb, swe, agent, fmt) -> Column:
 def report_with_intervals(log: DataFrame, by: str, samples: int, seed: int = 3407) -> DataFrame:
     """The evaluation report: per group the number of cases, and mean, low and high of each metric.
 
-    by: the group column. Each metric is resampled on its own.
+    by: the group column. Each metric is resampled on its own. The log is read once: cases with the same figures are counted into a table.
     """
     rows = log.select(by, metric("pass").alias("pass_at_1"), F.coalesce("pass_at_k", F.lit(False)).cast("double").alias("pass_at_k"), format_error_rate().alias("format_error_rate"), F.coalesce("rounds_used", F.lit(1)).cast("double").alias("rounds"))
-    out = rows.groupBy(by).agg(F.count("*").alias("total"), F.avg("rounds").alias("avg_rounds"))
+    rows = Work(log.sparkSession, "report").save(rows.groupBy(*rows.columns).agg(F.count("*").alias("c")), "counts")
+    out = rows.groupBy(by).agg(F.sum("c").alias("total"), (F.sum(F.col("rounds") * F.col("c")) / F.sum("c")).alias("avg_rounds"))
     for name in ("pass_at_1", "pass_at_k", "format_error_rate"):
-        ci = stats.bootstrap_ci(rows.select(by, F.col(name).alias("value")), samples, by, seed)
+        ci = stats.bootstrap_ci(rows.select(by, F.col(name).alias("value"), "c"), samples, by, seed)
         out = out.join(ci.select(by, F.array("mean", "low", "high").alias(f"{name}_ci")), by)
     return out
 

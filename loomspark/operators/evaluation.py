@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import cases, stats
 from loomspark.functions.text import strip
+from loomspark.sources.work import Work
 
 # Groups of benchmarks that a report sums up.
 GROUPS = {
@@ -50,13 +51,18 @@ def scopes(log: DataFrame, groups: dict[str, list[str]] = GROUPS) -> DataFrame:
 
 
 def report(log: DataFrame, samples: int, groups: dict[str, list[str]] = GROUPS) -> DataFrame:
-    """scope, total, avg_rounds, and mean, low and high of each metric; of resolve_proxy where cases have one."""
-    rows = scopes(log, groups)
+    """scope, total, avg_rounds, and mean, low and high of each metric; of resolve_proxy where cases have one.
+
+    The log is read once: cases of a benchmark with the same figures are counted into a table, and scopes and metrics work on the counts.
+    """
     passed = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     values: dict[str, Column] = {"pass_at_1": passed("pass_at_1"), "pass_at_k": passed("pass_at_k"), "format_error_rate": cases.format_error_rate(), "resolve_proxy": F.col("resolve_proxy")}
-    out = rows.groupBy("scope").agg(F.count("*").alias("total"), F.avg(F.coalesce("rounds_used", F.lit(1))).alias("avg_rounds"))
-    for name, value in values.items():
-        ci = stats.bootstrap_ci(rows.select("scope", value.alias("value")), samples, "scope")
+    figures = log.select("benchmark", F.coalesce("rounds_used", F.lit(1)).cast("long").alias("rounds"), *[value.alias(name) for name, value in values.items()])
+    counts = Work(log.sparkSession, "report").save(figures.groupBy(*figures.columns).agg(F.count("*").alias("c")), "counts")
+    rows = scopes(counts, groups)
+    out = rows.groupBy("scope").agg(F.sum("c").alias("total"), (F.sum(F.col("rounds") * F.col("c")) / F.sum("c")).alias("avg_rounds"))
+    for name in values:
+        ci = stats.bootstrap_ci(rows.select("scope", F.col(name).alias("value"), "c"), samples, "scope")
         out = out.join(ci.select("scope", F.array("mean", "low", "high").alias(f"{name}_ci")), "scope", "left")
     return out
 

@@ -114,9 +114,11 @@ def value_draws(counts: np.ndarray, draws: np.ndarray, block: int, size: int, se
 
 
 def counted(values: DataFrame, by: str | None) -> DataFrame:
-    """by (a string, empty without one), idx from 0, value and c: the distinct values of each group in order, and how often they stand."""
+    """by (a string, empty without one), idx from 0, value and c: the distinct values of each group in order, and how often they stand.
+    A column ``c`` of the values says how often each row stands."""
     group = F.col(by).cast("string") if by else F.lit("")
-    counts = values.where("value IS NOT NULL").select(group.alias("by"), F.col("value").cast("double").alias("value")).groupBy("by", "value").agg(F.count("*").alias("c"))
+    times = F.col("c") if "c" in values.columns and by != "c" else F.lit(1)
+    counts = values.where("value IS NOT NULL").select(group.alias("by"), F.col("value").cast("double").alias("value"), times.cast("long").alias("c")).groupBy("by", "value").agg(F.sum("c").alias("c"))
     return numbered(counts, ["value"], "by")
 
 

@@ -17,7 +17,7 @@ def interval(reps: DataFrame, samples: int, by: list[str]) -> DataFrame:
 
 
 def bootstrap_ci(values: DataFrame, samples: int, by: str | None = None, seed: int = SEED) -> DataFrame:
-    """mean, low and high of ``value`` per group, and n; a single value or no samples give the mean three times. Nulls don't count."""
+    """mean, low and high of ``value`` per group, and n; a single value or no samples give the mean three times. Nulls don't count; a column ``c`` says how often a row stands."""
     named = [F.col("by").cast(values.schema[by].dataType).alias(by)] if by else []
     observed, reps = replicates(values, max(samples, 1), seed, by)
     if samples <= 0:

@@ -66,7 +66,7 @@ PARTS = {"a": "pass_at_1", "b": "pass_at_k", "c": "format_error_rate", "p": "res
 def assembled(spark, d):
     c = V.candidates(spark, d).withColumn("o", F.concat(F.col("l_shipdate").cast("string"), "text"))
     passed = F.col("score") >= 1.99
-    classic = cases.classic_case(c.withColumn("passed", passed), "prompt_id", "o", "passed").join(c.groupBy("prompt_id").agg(F.count_if(F.col("score") < 0.2).alias("format_errors")), "prompt_id")
+    classic = cases.classic_case(c.withColumn("passed", passed), "prompt_id", "o", "passed", F.count_if(F.col("score") < 0.2).alias("format_errors"))
     name = F.element_at(F.array(F.lit("mbpp"), F.lit("humaneval"), F.lit("private_holdout")), (F.col("prompt_id") % 3 + 1).cast("int"))
     classic = classic.select(name.alias("benchmark"), F.col("prompt_id").cast("string").alias("id"), "pass_at_1", F.col("pass_any_k").alias("pass_at_k"), "format_errors", "generated_candidates")
     e = V.read(spark, d, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int")).withColumn("id", F.col("event_id").cast("string"))

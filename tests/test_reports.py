@@ -55,6 +55,22 @@ def test_report(spark, tmp_path):
     assert "global/" in {r.scope for r in evaluation.lines(found).where(F.col("line").startswith("pass_at_1: 42.86%")).collect()}
 
 
+def test_a_report_reads_its_log_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = [(b, str(i), i % 2 == 0, True, i % 3, 4, i % 4 + 1, i % 5 / 4) for i in range(30) for b in ("mbpp", "private_holdout", None)]
+    log = spark.createDataFrame(rows, evaluation.LOG).withColumn("benchmark", seen("benchmark"))
+    found = {r.scope: r for r in evaluation.report(log, 20).collect()}
+    assert read.value == len(rows)
+    assert (found["global/"].total, found["benchmark/mbpp"].total) == (90, 30) and found["global/"].avg_rounds == pytest.approx(sum(r[6] for r in rows) / 90)
+    assert found["benchmark/mbpp"].resolve_proxy_ci[0] == pytest.approx(0.5) and found["global/"].format_error_rate_ci[0] == pytest.approx(0.25)
+
+
 def test_a_timeout_is_tried_again_with_more_time(monkeypatch):
     spent = []
 
