@@ -1,23 +1,23 @@
 """Valid-time sale enrichment: each sale gets the version of its client that held when it was sold.
 
-Sales and client changes come in numbered batches, late and out of order. Two chained
-``transformWithState`` stages of one Structured Streaming query work on them. The *gate*, keyed by
-a hash of the sale, holds sales until the watermark H has passed their time of sale. What it
-releases reaches the *version stage*, keyed by client, which adds the batch's versions, answers the
-released sales, and then forgets the versions that no sale behind H can need: of those valid up to H
-all but the last. The query is started anew for each batch on one checkpoint, and its answers go
-through the exactly-once file sink, so a batch that an executor's loss cut short runs again alike.
-
-A key of the gate is one of some hundred parts of the sales' hashes, a key of the version stage one
-of some hundred parts of the clients' hashes: a call works on thousands of rows as arrays. Their
-numbers follow the counted rows. Sales carry a row number in their hash, so equal sales part. A
-client with over 1/512 of all rows (there can be 512 at most, so that list is bounded) is split by
-time of validity into slices of six hours, each a key of its own, so that its versions and sales
-spread. A slice answers from its own versions and reports what it holds (so many versions past H,
-its last version, whether it keeps one from before H); such reports, one a batch and slice, carry a
-version on to later slices that had none, tell which slice keeps the only version from before H,
-and sum up the client's versions. Pruning is lazy: a key prunes with the H of the batch before when
-it is met next, before anything is added, which gives the same versions.
+Sales and client changes come in numbered batches, late and out of order. A ``transformWithState``
+stage of a Structured Streaming query works on them, keyed by client. It keeps clients' versions and
+the sales that wait until the watermark H has passed their time of sale. In each batch it adds the
+versions, answers the sales that are due, and then forgets the versions that no sale behind H can
+need: of those valid up to H all but the last. The query is started anew for each batch on one
+checkpoint, and its answers go through the exactly-once file sink, so a batch that an executor's loss
+cut short runs again alike. Every start opens a state store in each partition of a stage, so there is
+one stage and not one for sales and one for versions.
+
+A key is one of some hundred parts of the clients' hashes: a call works on thousands of rows as
+arrays. Their number follows the counted rows, and a tick a batch wakes each. A client with over
+1/512 of all rows (there can be 512 at most, so that list is bounded) is split by time of validity
+into slices of six hours, each in a part of its own hash, so that its versions and sales spread. A
+slice answers from its own versions and reports what it holds (so many versions past H, its last
+version, whether it keeps one from before H); such reports, one a batch and slice, carry a version
+on to later slices that had none, tell which slice keeps the only version from before H, and sum up
+the client's versions. Pruning is lazy: a key prunes with the H of the batch before when it is met
+next, before anything is added, which gives the same versions.
 
 Times travel as microseconds since 1970, missing numbers as the smallest long (which sorts as null
 does, first, and is always below H).
@@ -49,24 +49,25 @@ MISSING = -(2**63)
 BEFORE, AFTER = -(2**62), 2**62
 #: Width of a slice of a client that holds over this share of all rows, and over so many rows.
 SLICE, SHARE, LEAST = 6 * HOUR, 512, 10_000
-#: Rows a key of either stage is to have.
+#: Rows a key is to have.
 KEY_ROWS = 30_000
 
-CHANGE, SALE, TICK = 0, 1, 2
+CHANGE, SALE, TICK, WAKE = 0, 1, 2, 3
 FED = "kind int, client long, slice long, split boolean, id long, at long, seq long, cents long, op string"
 TOLD = "rec string, client long, slice long, split boolean, id long, at long, n_held long, change long, v_at long, cents long, op string, kept boolean, stale boolean"
-NUMBERS = ("client", "slice", "split", "id", "at", "seq", "cents")
+NUMBERS = ("kind", "client", "slice", "split", "id", "at", "seq", "cents")
 
 
 def micros(column: str) -> str:
     return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))"
 
 
-class Kept(StatefulProcessor):
-    """A processor whose state, per key, is a table of rows in order, as one Arrow block."""
+class Clients(StatefulProcessor):
+    """Keeps clients' versions and waiting sales, and answers the sales that H (``due``) has passed; prunes first with the H of the
+    batch before (``past``). The state is, per key, a table of rows in order, as one Arrow block."""
 
-    def __init__(self, past: int):
-        self.past = past
+    def __init__(self, past: int, due: int):
+        self.past, self.due = past, due
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("rows", "block binary")
@@ -90,33 +91,20 @@ class Kept(StatefulProcessor):
     def close(self) -> None:
         pass
 
-
-class Gate(Kept):
-    """Holds sales until H (``past``) has passed them."""
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sales = pd.concat([self.load(), *(r[r["kind"] == SALE][[*NUMBERS, "op"]] for r in rows)], ignore_index=True)
-        due = sales["at"].to_numpy(np.int64) < self.past
-        self.store(sales[~due])
-        out = sales[due].assign(kind=SALE)
-        out["split"] = out["split"].astype(bool)
-        yield out[[c.split()[0] for c in FED.split(", ")]]
-
-
-class Versions(Kept):
-    """Keeps clients' versions and answers sales; prunes first with the H of the batch before (``past``)."""
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([r for r in rows], ignore_index=True)
+        rows = pd.concat([r for r in rows], ignore_index=True)[[*NUMBERS, "op"]]
         held = self.load()
+        waiting, held = held[held["kind"] == SALE], held[held["kind"] == CHANGE]
         owner, at = held[["client", "slice"]].to_numpy(np.int64), held["at"].to_numpy(np.int64)
         last = np.ones(len(held), bool)
         last[:-1] = (owner[1:] != owner[:-1]).any(axis=1) | (at[1:] > self.past)
         held = held[(at > self.past) | last]
-        versions = pd.concat([held, rows[rows["kind"] == CHANGE][[*NUMBERS, "op"]]], ignore_index=True)
+        versions = pd.concat([held, rows[rows["kind"] == CHANGE]], ignore_index=True)
         versions = versions.sort_values(["client", "slice", "at", "seq", "id"], kind="stable", ignore_index=True)
-        self.store(versions)
-        asked = rows[rows["kind"] != CHANGE]
+        sales = pd.concat([waiting, rows[rows["kind"] == SALE]], ignore_index=True)
+        due = sales["at"].to_numpy(np.int64) < self.due
+        self.store(pd.concat([versions, sales[~due]], ignore_index=True))
+        asked = pd.concat([sales[due], rows[rows["kind"] == TICK]], ignore_index=True)
         if len(asked):
             yield self.answer(versions, asked)
 
@@ -175,27 +163,26 @@ class Feed:
         n = {r["of"]: r["n"] for r in sold.agg(F.lit("sales").alias("of"), F.count("*").alias("n")).unionAll(changes.agg(F.lit("changes"), F.count("*"))).collect()}
         total = sum(n.values())
         heavy = [r["client"] for r in owners.where((F.col("n") >= max(least, total // SHARE)) & (F.col("client") != MISSING)).select("client").collect()]
-        self.gates, self.parts = max(64, n["sales"] // KEY_ROWS), max(64, total // KEY_ROWS)
+        self.parts = max(64, total // KEY_ROWS)
         split = F.col("client").isin(heavy) if heavy else F.lit(False)
         sliced = lambda other: F.when(split & (F.col("at") != MISSING), F.floor(F.col("at") / SLICE)).when(split, -1 - F.pmod(F.xxhash64("id"), F.lit(512))).otherwise(other)
         files = max(16, total // 2_000_000)
 
-        ticks = self.spark.range(self.gates * (batches + 1)).select(
+        ticks = self.spark.range(self.parts * (batches + 1)).select(
             F.lit(MISSING).alias("client"), F.lit(0).cast("long").alias("slice"), F.lit(False).alias("split"), F.lit(MISSING).alias("id"), F.lit(MISSING).alias("at"),
-            F.expr(f"cast(id DIV {self.gates} AS int)").alias("batch"), F.lit(TICK).alias("kind"), F.expr(f"cast(id % {self.gates} AS int)").alias("gate"))
+            F.expr(f"cast(id DIV {self.parts} AS int)").alias("batch"), F.lit(WAKE).alias("kind"), F.expr(f"cast(id % {self.parts} AS int)").alias("part"))
         # sales without client have no versions to meet: they spread
         alone = F.when(F.col("client") == MISSING, F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(0)
-        gate = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(self.gates)).cast("int")
-        cut = sold.select("client", sliced(alone).cast("long").alias("slice"), split.alias("split"), "id", "at", "batch", F.lit(SALE).alias("kind"), gate.alias("gate"))
+        cut = sold.select("client", sliced(alone).cast("long").alias("slice"), split.alias("split"), "id", "at", "batch", F.lit(SALE).alias("kind")).withColumn("part", self.part())
         none = {"seq": F.lit(MISSING), "cents": F.lit(MISSING), "op": F.lit(None).cast("string")}
-        self.write(cut.coalesce(files).unionByName(ticks.coalesce(1 + self.gates * (batches + 1) // 1_000_000)).withColumns(none), "sales")
+        self.write(cut.coalesce(files).unionByName(ticks.coalesce(1 + self.parts * (batches + 1) // 1_000_000)).withColumns(none), "sales")
         self.ws.delete(self.ws.root, at_exit=True)
         cut = changed.select("client", sliced(F.lit(0)).cast("long").alias("slice"), split.alias("split"), "id", "at", "batch", F.lit(CHANGE).alias("kind"), "seq", "cents", "op")
         self.write(cut.coalesce(files), "changes")
 
         marks = []
         for name in ("sales", "changes"):
-            top = {r["batch"]: r["top"] for r in self.read(name, "batch int, kind int, at long").where((F.col("kind") != TICK) & (F.col("at") != MISSING)).groupBy("batch").agg(F.max("at").alias("top")).collect()}
+            top = {r["batch"]: r["top"] for r in self.read(name, "batch int, kind int, at long").where(F.col("kind").isin(SALE, CHANGE) & (F.col("at") != MISSING)).groupBy("batch").agg(F.max("at").alias("top")).collect()}
             marks.append([max((v for k, v in top.items() if k < b), default=None) for b in range(batches)])
         mark = lambda top: BEFORE if top is None else top - hours * HOUR
         self.late = [mark(top) for top in marks[1]] + [BEFORE]
@@ -203,6 +190,9 @@ class Feed:
         if heavy:
             self.write(self.asked(), "ticks")
 
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("client", "slice"), F.lit(self.parts)).cast("int")
+
     def asked(self) -> DataFrame:
         """A row for each batch and slice that may hold a version: those not over at the last pruning, and the last one before."""
         at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("batch") + 1)
@@ -255,12 +245,11 @@ class Feed:
         for batch in range(self.batches + 1):
             self.give(batch)
             source = lambda name, schema: own.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/fed/{name}")
-            released = source("sales", FED + ", gate int").groupBy("gate").transformWithStateInPandas(Gate(self.past[batch]), FED, "Append", "None")
             changes = source("changes", FED)
             is_late = (F.col("kind") == CHANGE) & (F.col("at") < self.late[batch])
-            met = released.unionByName(changes.where(~is_late & (F.col("client") != MISSING)))
-            part = F.pmod(F.xxhash64("client", "slice"), F.lit(self.parts)).cast("int")
-            answers = met.withColumn("part", part).groupBy("part").transformWithStateInPandas(Versions([BEFORE, *self.past][batch]), TOLD, "Append", "None")
+            met = source("sales", FED + ", part int").unionByName(changes.where(~is_late & (F.col("client") != MISSING)).withColumn("part", self.part()))
+            clients = Clients([BEFORE, *self.past][batch], self.past[batch])
+            answers = met.groupBy("part").transformWithStateInPandas(clients, TOLD, "Append", "None")
             fields = {c: F.lit(None).cast(t) for c, t in (f.split() for f in TOLD.split(", "))}
             late = changes.where(is_late).select(*[({"rec": F.lit("late"), "id": F.col("id"), "split": F.lit(False)}.get(c, v)).alias(c) for c, v in fields.items()])
             out = answers.unionByName(late).withColumn("batch", F.lit(batch).cast("long"))

@@ -85,6 +85,22 @@ def test_batches_without_rows_move_on(spark):
     assert run(spark, sales, changes, batches=3, days=12) == simulate(sales, changes, 3, 12)
 
 
+def test_a_start_opens_one_store_a_partition(spark, monkeypatch):
+    """Each start has but one stateful stage."""
+    seen, run_query = [], op.Feed.run
+
+    def watched(feed):
+        out = run_query(feed)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{feed.ws.root}/checkpoint/state")
+        seen.extend(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+        return out
+
+    monkeypatch.setattr(op.Feed, "run", watched)
+    sales, changes = shop(4, 60, 12)
+    assert run(spark, sales, changes, batches=1, days=12) == simulate(sales, changes, 1, 12)
+    assert seen == ["0"]
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [], batches=1) == Counter()
 
