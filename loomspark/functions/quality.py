@@ -74,9 +74,15 @@ def parses_as_python(code: pa.Array) -> pa.Array:
 
 def answer_flags(text) -> Column:
     """Kind of a text's answer (missing, patch or code) and whether it is in order."""
-    answer = answer_of(text)
+    return flags_of(answer_of(text))
+
+
+def flags_of(answer) -> Column:
+    """As answer_flags, of the answer itself."""
+    answer = col(answer)
     missing, patch = answer == "", looks_like_patch(answer)
-    code_ok = ~missing & ~patch & parses_as_python(without_fences(answer, ("```python", "```")))
+    # only code goes to the parser
+    code_ok = parses_as_python(F.when(~missing & ~patch, without_fences(answer, ("```python", "```"))))
     patch_ok = ~missing & patch & patch_parseable(answer)
     kind = F.when(missing, "missing").when(patch, "patch").otherwise("code")
     return F.struct(kind.alias("answer_kind"), code_ok.alias("answer_ast_ok"), patch_ok.alias("answer_patch_ok"), (code_ok | patch_ok).alias("answer_quality_ok"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.quality import answer_flags
+from loomspark.functions.quality import flags_of
 from loomspark.functions.text import answer_of, column_text, first_truthy, not_blank, strip
 from loomspark.sources.readers import READ_ERRORS
 from . import dedup, sampling, templates
@@ -144,10 +144,11 @@ def build(sources: dict, row_key: str, save, cap: int = 25_000, weights: str = "
     records = save(formatted(loaded, row_key), "formatted")
     capped = sampling.cap_per_key(records, "source", cap, "row_key")
     mixed = sampling.mix_by_category(capped, "category", sampling.parse_weights(weights), "row_key")
-    flagged = tagged(mixed).withColumn("_flags", answer_flags("text")).select("*", "_flags.*").drop("_flags")
-    flagged = save(flagged, "flagged")
-    first = save(dedup.keep_first(flagged, dedup.prompt_answer_key("prompt", answer_of("text")), F.struct("source", "row_key")), "first")
-    before, kept = flagged.count(), first.count()
+    # the answer is found once, for its flags and the key, and isn't shuffled; records are written once, after dedup
+    answered = tagged(mixed).withColumn("_answer", answer_of("text"))
+    flagged = answered.withColumns({"_flags": flags_of("_answer"), "_key": dedup.prompt_answer_key("prompt", "_answer")}).select("*", "_flags.*").drop("_flags", "_answer")
+    first = save(dedup.keep_first(flagged, ["_key"], F.struct("source", "row_key")).drop("_key"), "first")
+    before, kept = tagged(mixed).count(), first.count()
     good = with_split(first.where("answer_quality_ok"), holdout, val)
     return Corpus(good, quality_metrics(first, before, before - kept), quality_metrics(good, before, before - kept), missing)
 

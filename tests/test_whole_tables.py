@@ -1,5 +1,7 @@
 """Queries whose SQL takes whole tables, on tables larger than the operators' default limits; and queries found failing or slow."""
 
+import random
+import time
 import tracemalloc
 
 import duckdb
@@ -10,6 +12,7 @@ from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers all catalogues
+from loomspark.functions import text as X
 from loomspark.operators import prm, retrieval, sampling, verify
 from loomspark.operators.posting_index import PostingIndex
 from loomspark.plans.catalog import ORACLES, QUERIES
@@ -98,3 +101,34 @@ def test_queries_and_documents_meet_in_small_steps(spark):
     kept.refresh(docs.withColumn("s", F.xxhash64("b")), "i", "p", "b", "s")
     rows = lambda df: sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.collect())
     assert rows(found) == rows(kept.search(asked, "q", "t", 5)) and len(rows(found)) == 200
+
+
+def test_blanks_inside_a_text_cost_no_time(spark):
+    """An expression tried every blank of a run: 200,000 in a row took some 10^10 steps."""
+    run = "a" + " " * 200_000 + "b"
+    began = time.perf_counter()
+    row = spark.createDataFrame([(f" {run} \n",)], "t string").select(X.strip("t").alias("s"), X.not_blank("t").alias("b")).first()
+    assert row.s == run and row.b and time.perf_counter() - began < 20
+
+
+def test_text_expressions_say_what_they_said(spark):
+    """strip, answers and normal forms against the expressions that define them, on odd signs, tags and blanks."""
+    rng, parts = random.Random(5), [*X.SPACES, "\x1c", "\x00", "​", "é", "Ω", "İ", "K", "中文", "😀", "<answer>", "</answer>", "<ANSWER>", "<answer", "</", "|", "a_Z", "09", "!\"#.;:=?@[\\]^`{}~\x7f", "x y"]
+    texts = [None, "", *X.SPACES, *("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000))]
+    c = F.coalesce("t", F.lit(""))
+    old_strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    old_normal = F.regexp_replace(old_strip(F.regexp_replace(F.lower(c), r"(?U)\s+", " ")), r"[^a-z0-9_<>/| ]", "")
+    old_answer = old_strip(F.regexp_extract(c, r"(?s)<answer>\s*(.*?)\s*</answer>", 1))
+    pairs = {"strip": (X.strip("t"), old_strip(F.col("t"))), "answer": (X.answer_of("t"), old_answer), "normal": (X.normalise_for_dedup("t"), old_normal)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, (new, old) in pairs.items():
+        apart = df.select("t", new.alias("new"), old.alias("old")).where("NOT new <=> old").collect()
+        assert not apart, (name, apart[:3])
+
+
+def test_corpus_writes_texts_twice(spark, tmp_path, monkeypatch):
+    """Records are written as they come and once after dedup, and patches aren't parsed as Python."""
+    saved = []
+    monkeypatch.setattr(Work, "save", lambda self, df, name, save=Work.save: saved.append(name) or save(self, df, name))
+    found = QUERIES["corpus_metrics"](spark, documents(spark, tmp_path, 300, "src1")).where("at = 'after'").first()
+    assert saved == ["formatted", "first"] and found["patch_answers"] == found["total"] > 0
